@@ -143,20 +143,27 @@ class _Disagree(Exception):
 _CODERS: dict[str, Coder] = {}
 
 
+def coder(tokenizer: str) -> Coder:
+    """The worker's coder for a tokenizer file."""
+    if tokenizer not in _CODERS:
+        engine = load(tokenizer)
+        if not isinstance(engine, ByteEngine):
+            raise ValueError(f"{tokenizer} is no byte-level BPE without normalisation")
+        _CODERS[tokenizer] = Coder(engine)
+    return _CODERS[tokenizer]
+
+
 def encode_documents(docs: DataFrame, tokenizer: str, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ``n_tokens``, digests of ids and of the decoded text, and, unless turned off, both themselves."""
     schema = f"{id_col} long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * with_ids
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
-        engine = load(tokenizer)
-        if not isinstance(engine, ByteEngine):
-            raise ValueError(f"{tokenizer} is no byte-level BPE without normalisation")
-        coder = _CODERS.setdefault(tokenizer, Coder(engine))
+        code = coder(tokenizer).code
         for batch in by_bytes(batches):
             counts, ids_hash, text_hash, all_ids, decoded = [], [], [], [], []
             for text in batch.column(1).to_pylist():
-                ids, back = coder.code(text)
+                ids, back = code(text)
                 counts.append(len(ids) // 4)
                 ids_hash.append(sha256(ids).hexdigest())
                 text_hash.append(sha256(back).hexdigest())

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_chunks, fingerprints, packing, quality_rules, token_counts
+from . import bpe_chunks, chat_template, fingerprints, language_id, packing, quality_model, quality_rules, token_counts
+from .common import id_crc
+from .storage import checkpointed
 
 # The end-of-document token of the packing contract.
 END_ID = 2
@@ -27,10 +30,33 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_edits(_table(spark, sf_dir, "documents"))
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat_template.conversation_digests(chat_template.format_conversations(turns))
+
+
+def _held_out(column: str = "doc_id") -> Column:
+    return F.coalesce(id_crc(column) % 5 == 0, F.lit(False))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    net = language_id.train(*language_id.sample_windows(docs, id_crc() % 5 != 0))
+    return language_id.predict_languages(docs, net).select("doc_id", _held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID, with_ids=False)
 
 
+def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = checkpointed(quality_model.document_statistics(_table(spark, sf_dir, "documents")))
+    forest = quality_model.fit(stats, _table(spark, sf_dir, "labels"), id_crc() % 5 != 0)
+    return quality_model.score(stats, forest, threshold=0.3).select("doc_id", _held_out().alias("held_out"), "score", "predicted")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.apply_policy(quality_rules.ledger(_table(spark, sf_dir, "documents")))
     base = quality_rules.policy_mask("base")
@@ -39,7 +65,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe_chunk_reuse, op3_fingerprints, op7_packing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe_chunk_reuse, op3_fingerprints, op4_chat_format, op6_language_id, op7_packing, op9_quality_model, op10_quality_rules)}
 
 ORACLES: dict[str, str] = {
     "op10_quality_rules": r"""
