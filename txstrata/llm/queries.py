@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_chunks, chat_template, fingerprints, language_id, packing, quality_model, quality_rules, token_counts
+from . import bpe_chunks, chat_template, fingerprints, jaccard_join, language_id, packing, quality_model, quality_rules, token_counts
 from .common import id_crc
 from .storage import checkpointed
 
@@ -51,6 +51,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID, with_ids=False)
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"), width=5, percent=75)
+
+
 def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = checkpointed(quality_model.document_statistics(_table(spark, sf_dir, "documents")))
     forest = quality_model.fit(stats, _table(spark, sf_dir, "labels"), id_crc() % 5 != 0)
@@ -65,7 +69,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe_chunk_reuse, op3_fingerprints, op4_chat_format, op6_language_id, op7_packing, op9_quality_model, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe_chunk_reuse, op3_fingerprints, op4_chat_format, op6_language_id, op7_packing, op8_jaccard_join, op9_quality_model, op10_quality_rules)}
 
 ORACLES: dict[str, str] = {
     "op10_quality_rules": r"""
