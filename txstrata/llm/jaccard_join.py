@@ -199,7 +199,12 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents, with all their columns, less those whose component has a lesser id."""
-    gone = jaccard_components(docs, width, percent, id_col, text_col).filter(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("gone_id"))
-    return docs.join(gone, docs[id_col] == gone.gone_id, "left_anti")
+    """Documents, with all their columns, less those whose component has a lesser id; one of equal rows.
 
+    Documents with a null id stay.
+    """
+    gone = jaccard_components(docs, width, percent, id_col, text_col).filter(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("gone_id"))
+    kept = docs.join(gone, docs[id_col] == F.col("gone_id"), "left_anti")
+    again = docs.groupBy(docs[id_col].alias("again_id")).count().filter("count > 1 AND again_id IS NOT NULL").select("again_id")
+    on = kept[id_col] == F.col("again_id")
+    return kept.join(again, on, "left_anti").unionByName(kept.join(again, on, "left_semi").dropDuplicates([id_col, text_col]))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_chunks, chat_template, fingerprints, jaccard_join, language_id, packing, quality_model, quality_rules, token_counts
+from . import bpe_chunks, chat_template, fingerprints, jaccard_join, language_id, lm_scoring, packing, quality_model, quality_rules, token_counts
 from .common import id_crc
 from .storage import checkpointed
 
@@ -37,6 +37,10 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_template.conversation_digests(chat_template.format_conversations(turns))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(_table(spark, sf_dir, "documents"), folds=5, fold=1)
+
+
 def _held_out(column: str = "doc_id") -> Column:
     return F.coalesce(id_crc(column) % 5 == 0, F.lit(False))
 
@@ -69,7 +73,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe_chunk_reuse, op3_fingerprints, op4_chat_format, op6_language_id, op7_packing, op8_jaccard_join, op9_quality_model, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe_chunk_reuse, op3_fingerprints, op4_chat_format, op5_lm_scoring, op6_language_id, op7_packing, op8_jaccard_join, op9_quality_model, op10_quality_rules)}
 
 ORACLES: dict[str, str] = {
     "op10_quality_rules": r"""
