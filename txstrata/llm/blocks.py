@@ -10,6 +10,7 @@ and nothing comes to the driver but the corpus' size in bytes.
 
 from __future__ import annotations
 
+import ctypes
 import math
 from collections.abc import Callable, Iterator
 
@@ -22,7 +23,7 @@ from . import elias_fano
 from .common import BATCH_BYTES, by_bytes, texts_only
 
 #: Bytes of text in a block, about; bytes a task holds before it sends what it has for each block.
-BLOCK_BYTES, HELD_BYTES = 12 << 20, 24 << 20
+BLOCK_BYTES, HELD_BYTES = 8 << 20, 16 << 20
 
 
 class Corpus:
@@ -62,6 +63,7 @@ class Corpus:
                     writer.write_table(part)
                 yield pa.RecordBatch.from_arrays([pa.array([int(block[order[start]])], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "payload"])
                 start = end
+            release_memory()
 
         dealing = frame.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).select("doc_id", "block", "text")
         self.blocks = dealing.mapInArrow(deal, "block int, payload binary").repartition(n, "block")
@@ -94,6 +96,7 @@ class Corpus:
             kinds.append(-1)
             sent.append(b"")
             n = len(shards)
+            release_memory()
             return pa.table({"shard": pa.array(shards, pa.int32()), "block": pa.array([block] * n, pa.int32()), "kind": pa.array(kinds, pa.int32()), "sent": pa.array(sent, pa.binary())})
 
         def merged(table: pa.Table) -> pa.Table:
@@ -103,6 +106,8 @@ class Corpus:
                 if kind >= 0:
                     asked.setdefault(kind, []).append((block, *unpack_counted(sent)))
             out = answer(asked, n_blocks)
+            del asked
+            release_memory()
             return pa.table({"block": pa.array([b for b, _ in out], pa.int32()), "shard": pa.array([shard] * len(out), pa.int32()), "reply": pa.array([r for _, r in out], pa.binary())})
 
         asked = self.blocks.groupBy("block").applyInArrow(requests, "shard int, block int, kind int, sent binary")
@@ -115,7 +120,9 @@ class Corpus:
             if not own.num_rows:
                 return empty
             by_shard = sorted(zip(replies.column("shard").to_pylist(), replies.column("reply").to_pylist(), strict=True))
-            return pa.concat_tables(use(payload_batches(own.column("payload")), [r for _, r in by_shard]))
+            out = pa.concat_tables(use(payload_batches(own.column("payload")), [r for _, r in by_shard]))
+            release_memory()
+            return out
 
         from pyspark.sql.pandas.types import to_arrow_schema
         from pyspark.sql.types import _parse_datatype_string
@@ -124,6 +131,15 @@ class Corpus:
         return self.blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
 
+def release_memory() -> None:
+    """Gives freed memory back to the system, since an idle worker's counts against its executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def payload_batches(payloads: pa.ChunkedArray) -> Iterator[pa.RecordBatch]:
     """Batches (doc_id, text) of a block, in the order in which their payloads are sorted."""
     for data in sorted(payloads.to_pylist()):

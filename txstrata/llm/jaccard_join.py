@@ -145,8 +145,10 @@ def _use(bits: int, width: int, percent: int):
     return use
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that are linked."""
+def _verified(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that are linked; only sets that some pair names are moved."""
+    named = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    sets = rows.filter("shingles IS NOT NULL").select("class", "shingles").join(named, "class", "left_semi").dropDuplicates(["class"])
     left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
@@ -165,16 +167,17 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     answers = corpus.answers(_ask(bits, width), _answer)
     rows = checkpointed(corpus.with_answers(answers, _use(bits, width, percent), SCHEMA))
 
-    sets = rows.filter("tokens IS NOT NULL").dropDuplicates(["class"]).select("class", F.col("n_shingles").alias("n"), "matches", "tokens", "levels", "shingles")
-    entries = sets.select("class", "n", "matches", F.explode(F.arrays_zip("tokens", "levels")).alias("e")).select("class", "n", "matches", F.col("e.tokens").alias("token"), F.col("e.levels").alias("level"))
-    # One shuffle by shingle finds both leaders; shingles of a single class lead nowhere.
-    lead = entries.groupBy("token").agg(F.min(F.struct("class", "n")).alias("lo"), F.max(F.struct("class", "n")).alias("hi")).filter("lo.class < hi.class")
-    met = entries.join(lead, "token").select(F.col("class").alias("b"), F.col("n").alias("nb"), F.explode(F.array("lo", "hi")).alias("l")).select("b", "nb", F.col("l.class").alias("a"), F.col("l.n").alias("na"))
-    first = met.filter((F.col("a") != F.col("b")) & _alike(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = checkpointed(_verified(first, sets, percent))
+    heads = rows.filter("tokens IS NOT NULL").select("class", F.col("n_shingles").alias("n"), "matches", "tokens", "levels").dropDuplicates(["class"])
+    every = heads.select("class", "n", "matches", F.explode(F.arrays_zip("tokens", "levels")).alias("e")).select("class", "n", "matches", F.col("e.tokens").alias("token"), F.col("e.levels").alias("level"))
+    # Both leaders of each shingle; shingles of a single class lead nowhere and are left here.
+    lead = every.groupBy("token").agg(F.min(F.struct("class", "n")).alias("lo"), F.max(F.struct("class", "n")).alias("hi")).filter("lo.class < hi.class")
+    entries = checkpointed(every.join(lead, "token"))
+    met = entries.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.explode(F.array("lo", "hi")).alias("l")).select("b", "nb", F.col("l.class").alias("a"), F.col("l.n").alias("na"))
+    first = checkpointed(met.filter((F.col("a") != F.col("b")) & _alike(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    links = checkpointed(_verified(first, rows, percent))
     groups = connected_components(links, "a", "b")
 
-    grouped = entries.join(groups.withColumnRenamed("vertex", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    grouped = entries.drop("lo", "hi").join(groups.withColumnRenamed("vertex", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     open_ = grouped.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("token")
     across = checkpointed(grouped.join(open_, "token", "left_semi"))
     at = across.select("token", "component").distinct()
@@ -186,7 +189,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
         pairs.withColumn("m", wanted).filter("la <= m AND lb <= m").groupBy(F.least("va", "vb").alias("a"), F.greatest("va", "vb").alias("b"), "m").count().filter("count >= m").select("a", "b")
         .join(first, ["a", "b"], "left_anti")
     )
-    late = checkpointed(_verified(second, sets, percent))
+    late = checkpointed(_verified(checkpointed(second), rows, percent))
     if late.limit(1).count():
         groups = connected_components(links.union(late), "a", "b")
 
