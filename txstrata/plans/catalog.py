@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analytics, registry
+from . import analytics, registry, structure
 
-for _module in (analytics,):
+for _module in (analytics, structure):
     _module.register_all()
 
 

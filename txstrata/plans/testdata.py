@@ -17,8 +17,8 @@ def canonical(spark: SparkSession, sf_dir: str) -> Tables:
     txid = F.concat(F.lit("T"), F.col("l_orderkey"))
     place = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
 
-    def side(rows: DataFrame, index: str, address) -> DataFrame:
-        return rows.select(txid.alias("txid"), (F.row_number().over(place) - 1).cast("long").alias(index), F.concat(F.lit("A"), address).alias("address"), cents("l_extendedprice").alias("amount_sats"))
+    def side(rows: DataFrame, index: str, address, amount) -> DataFrame:
+        return rows.select(txid.alias("txid"), (F.row_number().over(place) - 1).cast("long").alias(index), F.concat(F.lit("A"), address).alias("address"), amount.alias("amount_sats"))
 
     k = F.get_json_object("props", "$.k").cast("long")
     home = lambda n: F.concat(F.lit("10.0."), F.floor(n / 256), F.lit("."), n % 256)
@@ -29,8 +29,8 @@ def canonical(spark: SparkSession, sf_dir: str) -> Tables:
     )
     return {
         "transactions": orders.select(F.concat(F.lit("T"), "o_orderkey").alias("txid"), cents("o_totalprice").alias("fee_sats"), F.col("o_orderpriority").alias("script_type")),
-        "transaction_inputs": side(items.filter("l_linenumber <= 3"), "input_index", F.col("l_suppkey")),
-        "transaction_outputs": side(items.filter("l_linenumber > 3"), "output_index", F.col("l_partkey") % 250),
+        "transaction_inputs": side(items.filter("l_linenumber <= 3"), "input_index", F.col("l_suppkey") * 300 + F.col("l_orderkey") % 300, cents("l_extendedprice")),
+        "transaction_outputs": side(items.filter("l_linenumber > 3"), "output_index", F.col("l_partkey") * 15 + F.col("l_orderkey") % 15, F.round(F.col("l_extendedprice") / 10000).cast("long") * 1_000_000),
         "network_observations": observed,
         "transaction_sources": observed.select("txid", "source_record_id"),
         "source_records": events.select(F.concat(F.lit("S"), "event_id").alias("source_record_id"), F.lit("events").alias("source_file"), F.lit("json").alias("source_format"), F.sha2(F.lit("events"), 256).alias("source_file_sha256"), F.col("event_id").cast("long").alias("record_index")),
@@ -50,8 +50,8 @@ _PLACE = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_pa
 #: The canonical relations for DuckDB: name and body.
 SQL_TABLES: dict[str, str] = {
     "transactions": "SELECT 'T' || o_orderkey AS txid, cast(round(o_totalprice * 100) AS BIGINT) AS fee_sats, o_orderpriority AS script_type FROM orders",
-    "transaction_inputs": f"SELECT 'T' || l_orderkey AS txid, cast({_PLACE} AS BIGINT) AS input_index, 'A' || l_suppkey AS address, cast(round(l_extendedprice * 100) AS BIGINT) AS amount_sats FROM lineitem WHERE l_linenumber <= 3",
-    "transaction_outputs": f"SELECT 'T' || l_orderkey AS txid, cast({_PLACE} AS BIGINT) AS output_index, 'A' || (l_partkey % 250) AS address, cast(round(l_extendedprice * 100) AS BIGINT) AS amount_sats FROM lineitem WHERE l_linenumber > 3",
+    "transaction_inputs": f"SELECT 'T' || l_orderkey AS txid, cast({_PLACE} AS BIGINT) AS input_index, 'A' || (l_suppkey * 300 + l_orderkey % 300) AS address, cast(round(l_extendedprice * 100) AS BIGINT) AS amount_sats FROM lineitem WHERE l_linenumber <= 3",
+    "transaction_outputs": f"SELECT 'T' || l_orderkey AS txid, cast({_PLACE} AS BIGINT) AS output_index, 'A' || (l_partkey * 15 + l_orderkey % 15) AS address, cast(round(l_extendedprice / 10000) AS BIGINT) * 1000000 AS amount_sats FROM lineitem WHERE l_linenumber > 3",
     "network_observations": f"""SELECT 'O' || event_id AS observation_id, 'T' || (event_id % 1500) AS txid, ts AS observed_at, {_HOME.format("user_id")} AS src_ip,
         CASE WHEN k < 20 THEN {_HOME.format("k")} ELSE '192.168.1.' || k END AS dst_ip, cast(1024 + user_id % 5 AS BIGINT) AS src_port, cast(8000 + k % 7 AS BIGINT) AS dst_port,
         upper(event_type[1:2]) AS reported_geo_country, CASE WHEN k % 10 <> 0 THEN cast(64512 + k % 13 AS BIGINT) END AS reported_asn, 'S' || event_id AS source_record_id
