@@ -182,11 +182,11 @@ def register_all() -> None:
         UNION ALL SELECT 'inputs', input_index, address, amount_sats FROM transaction_inputs WHERE txid = 'T7' UNION ALL SELECT 'outputs', output_index, address, amount_sats FROM transaction_outputs WHERE txid = 'T7'
         UNION ALL SELECT 'observations', epoch_us(observed_at), observation_id, NULL FROM network_observations WHERE txid = 'T7'
         UNION ALL SELECT 'provenance', r.record_index, s.source_record_id, NULL FROM transaction_sources s JOIN source_records r ON r.source_record_id = s.source_record_id WHERE s.txid = 'T7'"""))
-    register("address_activity", on(lambda t: lookups.address_activity(t, "A42")), sql("""
-        SELECT 'A42' AS address, (SELECT count(*) FROM address_tx WHERE address = 'A42') AS transaction_count, (SELECT count(*) FROM transaction_inputs WHERE address = 'A42') AS input_count,
-               (SELECT cast(coalesce(sum(amount_sats), 0) AS BIGINT) FROM transaction_inputs WHERE address = 'A42') AS total_input_sats, (SELECT count(*) FROM transaction_outputs WHERE address = 'A42') AS output_count,
-               (SELECT cast(coalesce(sum(amount_sats), 0) AS BIGINT) FROM transaction_outputs WHERE address = 'A42') AS total_output_sats, min(observed_at) AS first_observed_at, max(observed_at) AS last_observed_at
-        FROM network_observations WHERE txid IN (SELECT txid FROM address_tx WHERE address = 'A42')"""))
+    register("address_activity", on(lambda t: lookups.address_activity(t, "A22452")), sql("""
+        SELECT 'A22452' AS address, (SELECT count(*) FROM address_tx WHERE address = 'A22452') AS transaction_count, (SELECT count(*) FROM transaction_inputs WHERE address = 'A22452') AS input_count,
+               (SELECT cast(coalesce(sum(amount_sats), 0) AS BIGINT) FROM transaction_inputs WHERE address = 'A22452') AS total_input_sats, (SELECT count(*) FROM transaction_outputs WHERE address = 'A22452') AS output_count,
+               (SELECT cast(coalesce(sum(amount_sats), 0) AS BIGINT) FROM transaction_outputs WHERE address = 'A22452') AS total_output_sats, min(observed_at) AS first_observed_at, max(observed_at) AS last_observed_at
+        FROM network_observations WHERE txid IN (SELECT txid FROM address_tx WHERE address = 'A22452')"""))
     register("high_value", on(lookups.high_value_transactions), sql("SELECT txid, total_output_sats, fee_sats, input_count, output_count FROM tx_summary ORDER BY total_output_sats DESC, txid LIMIT 20"))
     register("high_fee", on(lookups.high_fee_transactions), sql("SELECT txid, fee_sats, total_input_sats, CASE WHEN total_input_sats > 0 THEN round(fee_sats::DOUBLE / total_input_sats, 5) END AS fee_to_input_ratio FROM tx_summary ORDER BY fee_sats DESC, txid LIMIT 20"))
     register("transaction_summaries", on(lookups.transaction_summaries), sql("SELECT * FROM tx_summary ORDER BY txid LIMIT 100"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analytics, registry, structure
+from . import analytics, learned, registry, structure
 
-for _module in (analytics, structure):
+for _module in (analytics, structure, learned):
     _module.register_all()
 
 

@@ -10,7 +10,7 @@ from .analytics import CUTOFF, ENRICHED, IP_SQL, enrichment, on, sql
 from .registry import register
 from .testdata import canonical
 
-ADDRESS = "A3000"
+ADDRESS = "A22452"
 
 
 # A damaged copy of the canonical tables, so that every check has something to find
