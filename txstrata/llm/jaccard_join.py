@@ -11,8 +11,8 @@ and the verifications left when m of them must agree.  Frequencies come from
 Equal sets are one class, represented once.  Links between classes are first
 sought with one leader for each shingle (the least, then the greatest class),
 so that large groups of near copies need no pairs of all their members.  Then
-every remaining pair of classes that share enough prefix shingles and lie in
-different components is verified too: no link between components is lost.
+every remaining pair of classes in different components that shares enough
+prefix shingles, at places that allow the similarity, is verified too: no link between components is lost.
 
 Defined results: null and empty texts and those without words have no set and
 are linked with nothing; under ``width`` words the whole sequence is one
@@ -98,7 +98,7 @@ def _answer(asked: dict, n_blocks: int) -> list[tuple[int, bytes]]:
     return [(block, codes[np.searchsorted(keys, own)].tobytes()) for block, own, _ in lists]
 
 
-SCHEMA = "doc_id long, n_shingles long, class binary, matches int, tokens array<long>, levels array<int>, shingles array<long>"
+SCHEMA = "doc_id long, n_shingles long, class binary, matches int, tokens array<long>, levels array<int>, positions array<int>, shingles array<long>"
 
 
 def _use(bits: int, width: int, percent: int):
@@ -110,7 +110,7 @@ def _use(bits: int, width: int, percent: int):
         seen: set[bytes] = set()
         for (ids, key, bounds), cut in zip(held, short, strict=True):
             freq = value[np.searchsorted(distinct, cut)]
-            classes, matches, tokens, levels, sets = [], [], [], [], []
+            classes, matches, tokens, levels, places, sets = [], [], [], [], [], []
             a, b = mix64(key), mix64(key + np.uint64(0x51ED))
             total = np.zeros((2, len(key) + 1), dtype=np.uint64)
             np.cumsum(a, out=total[0, 1:])
@@ -119,7 +119,7 @@ def _use(bits: int, width: int, percent: int):
                 digest = None if hi == lo else (total[:, hi] - total[:, lo]).tobytes()
                 classes.append(digest)
                 m = 0
-                token = level = own = None
+                token = level = place = own = None
                 if digest and digest not in seen:
                     seen.add(digest)
                     k, f = key[lo:hi], freq[lo:hi]
@@ -130,15 +130,17 @@ def _use(bits: int, width: int, percent: int):
                     if len(shared):
                         token = k[head[shared]].view(np.int64)
                         level = np.maximum(shared - base + 2, 1).astype(np.int32)
+                        place = shared.astype(np.int32)
                         own = k.view(np.int64)
                 matches.append(m)
                 tokens.append(token)
                 levels.append(level)
+                places.append(place)
                 sets.append(own)
             yield pa.table(
                 {
                     "doc_id": ids, "n_shingles": pa.array(np.diff(bounds)), "class": pa.array(classes, pa.binary()), "matches": pa.array(matches, pa.int32()),
-                    "tokens": pa.array(tokens, pa.list_(pa.int64())), "levels": pa.array(levels, pa.list_(pa.int32())), "shingles": pa.array(sets, pa.list_(pa.int64())),
+                    "tokens": pa.array(tokens, pa.list_(pa.int64())), "levels": pa.array(levels, pa.list_(pa.int32())), "positions": pa.array(places, pa.list_(pa.int32())), "shingles": pa.array(sets, pa.list_(pa.int64())),
                 }
             )
 
@@ -160,6 +162,49 @@ def _alike(percent: int):
     return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
 
 
+#: Cells of the positional filter: steps of the size, and parts of a set that positions are counted in.
+SIZE_STEP, PLACES = 1.05, 64
+
+
+def _reach(place, percent: int):
+    """How many times a set's own size the other may be at most, if the first shared shingle stands at this share of it."""
+    return (1 - place) * (100 + percent) / percent - 1
+
+
+def _across(entries: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes in different components that a shingle allows to be similar.
+
+    The first shingle that two similar sets share, at the places i and j of
+    their orders, leaves at most min(|r| - i, |s| - j) in common.  Entries of a
+    shingle are put in cells by size and place; only cells that can meet this
+    bound meet, and in them only entries of different components.
+    """
+    grouped = entries.join(groups.withColumnRenamed("vertex", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    open_ = grouped.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("token")
+    size, place = F.floor(F.log("n") / float(np.log(SIZE_STEP))).cast("int"), F.floor(F.col("place") * PLACES / F.col("n")).cast("int")
+    held = checkpointed(grouped.join(open_, "token", "left_semi").select("token", "class", "n", "place", "component", size.alias("u"), place.alias("v")))
+    at = held.select("token", "u", "v", "component").distinct()
+    cells = at.select("token", "u", "v").distinct()
+    other = cells.select("token", F.col("u").alias("u2"), F.col("v").alias("v2"))
+    least = lambda u: F.pow(F.lit(SIZE_STEP), F.col(u) - 0.001)
+    most = lambda u: F.pow(F.lit(SIZE_STEP), F.col(u) + 1.001)
+    mine, theirs = _reach(F.col("v") / PLACES, percent), _reach(F.col("v2") / PLACES, percent)
+    meeting = cells.join(other, "token").filter((F.struct("u", "v") <= F.struct("u2", "v2")) & (least("u2") <= mine * most("u")) & (least("u") <= theirs * most("u2")) & (mine * theirs >= 0.999) & (mine > 0))
+    at2 = at.select("token", F.col("u").alias("u2"), F.col("v").alias("v2"), F.col("component").alias("component2"))
+    met = meeting.join(at, ["token", "u", "v"]).join(at2, ["token", "u2", "v2"]).filter("component <> component2")
+    held2 = held.select("token", *[F.col(c).alias(f"{c}2") for c in ("class", "n", "place", "component", "u", "v")])
+    left = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
+    pairs = met.join(held, ["token", "u", "v", "component"]).join(held2, ["token", "u2", "v2", "component2"]).filter(percent * (F.col("n") + F.col("n2")) <= (100 + percent) * left)
+    return pairs.select(F.least("class", "class2").alias("a"), F.greatest("class", "class2").alias("b")).distinct()
+
+
+def _enough_matches(pairs: DataFrame, entries: DataFrame) -> DataFrame:
+    """Pairs that share as many prefix shingles as the lesser class asks for."""
+    probe = entries.select(F.col("class").alias("a"), "token", F.col("level").alias("la"), F.col("matches").alias("m"))
+    met = entries.select(F.col("class").alias("b"), "token", F.col("level").alias("lb"))
+    return pairs.join(probe, "a").join(met, ["b", "token"]).filter("la <= m AND lb <= m").groupBy("a", "b", "m").count().filter("count >= m").select("a", "b")
+
+
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ``n_shingles`` and ``component_id`` (the least id reachable by links) of every document."""
     corpus = Corpus(docs, id_col, text_col)
@@ -167,8 +212,8 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     answers = corpus.answers(_ask(bits, width), _answer)
     rows = checkpointed(corpus.with_answers(answers, _use(bits, width, percent), SCHEMA))
 
-    heads = rows.filter("tokens IS NOT NULL").select("class", F.col("n_shingles").alias("n"), "matches", "tokens", "levels").dropDuplicates(["class"])
-    every = heads.select("class", "n", "matches", F.explode(F.arrays_zip("tokens", "levels")).alias("e")).select("class", "n", "matches", F.col("e.tokens").alias("token"), F.col("e.levels").alias("level"))
+    heads = rows.filter("tokens IS NOT NULL").select("class", F.col("n_shingles").alias("n"), "matches", "tokens", "levels", "positions").dropDuplicates(["class"])
+    every = heads.select("class", "n", "matches", F.explode(F.arrays_zip("tokens", "levels", "positions")).alias("e")).select("class", "n", "matches", F.col("e.tokens").alias("token"), F.col("e.levels").alias("level"), F.col("e.positions").alias("place"))
     # Both leaders of each shingle; shingles of a single class lead nowhere and are left here.
     lead = every.groupBy("token").agg(F.min(F.struct("class", "n")).alias("lo"), F.max(F.struct("class", "n")).alias("hi")).filter("lo.class < hi.class")
     entries = checkpointed(every.join(lead, "token"))
@@ -177,19 +222,9 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     links = checkpointed(_verified(first, rows, percent))
     groups = connected_components(links, "a", "b")
 
-    grouped = entries.drop("lo", "hi").join(groups.withColumnRenamed("vertex", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    open_ = grouped.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("token")
-    across = checkpointed(grouped.join(open_, "token", "left_semi"))
-    at = across.select("token", "component").distinct()
-    meeting = at.withColumnRenamed("component", "ca").join(at.withColumnRenamed("component", "cb"), "token").filter("ca < cb")
-    side = lambda s: across.select("token", F.col("component").alias(f"c{s}"), F.col("class").alias(f"v{s}"), F.col("n").alias(f"n{s}"), F.col("matches").alias(f"m{s}"), F.col("level").alias(f"l{s}"))
-    pairs = meeting.join(side("a"), ["token", "ca"]).join(side("b"), ["token", "cb"]).filter(_alike(percent))
-    wanted = F.when(F.col("va") < F.col("vb"), F.col("ma")).otherwise(F.col("mb"))  # the lesser class probes
-    second = (
-        pairs.withColumn("m", wanted).filter("la <= m AND lb <= m").groupBy(F.least("va", "vb").alias("a"), F.greatest("va", "vb").alias("b"), "m").count().filter("count >= m").select("a", "b")
-        .join(first, ["a", "b"], "left_anti")
-    )
-    late = checkpointed(_verified(checkpointed(second), rows, percent))
+    pairs = checkpointed(_across(entries.filter("level = 1"), groups, percent).join(first, ["a", "b"], "left_anti"))
+    second = _enough_matches(pairs, entries)
+    late = checkpointed(_verified(second, rows, percent))
     if late.limit(1).count():
         groups = connected_components(links.union(late), "a", "b")
 
