@@ -58,8 +58,7 @@ def ngram_keys(h: np.ndarray, of: np.ndarray, bits: int, order: int = ORDER) ->
     """Keys of the n-gram that ends at each token, for the orders 2 to ``order``; short histories begin with a mark."""
     succ_bits = min(SUCCESSOR_BITS, bits - 8)
     new = np.concatenate([[True], of[1:] != of[:-1]]) if len(of) else np.zeros(0, bool)
-    successor = mix64(h) >> np.uint64(64 - succ_bits)
-    salt = successor & np.uint64(15)
+    salt = mix64(h) & np.uint64(15)
     context, begun, keys = np.zeros(len(h), dtype=np.uint64), np.zeros(len(h), dtype=bool), []
     previous = h
     for n in range(2, order + 1):
@@ -69,6 +68,7 @@ def ngram_keys(h: np.ndarray, of: np.ndarray, bits: int, order: int = ORDER) ->
         word = np.where(before_begin, _BEGIN, shifted)
         context = mix64(context * np.uint64(7) + word)
         previous, begun = word, before_begin
+        successor = mix64(context * np.uint64(3) + h) >> np.uint64(64 - succ_bits)  # relative to its context
         keys.append(((mix64(context + salt) >> np.uint64(64 - (bits - succ_bits))) << np.uint64(succ_bits)) | successor)
     return keys
 
