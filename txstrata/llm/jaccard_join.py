@@ -8,11 +8,11 @@ prefix, that makes the estimated work least: the entries that its prefix meets,
 and the verifications left when m of them must agree.  Frequencies come from
 :mod:`blocks`; a shingle that no other document has is never sent.
 
-Equal sets are one class, represented once.  Links between classes are first
-sought with one leader for each shingle (the least, then the greatest class),
-so that large groups of near copies need no pairs of all their members.  Then
-every remaining pair of classes in different components that shares enough
-prefix shingles, at places that allow the similarity, is verified too: no link between components is lost.
+Equal sets are one class, represented once.  The least class that has a shingle
+leads it; the classes of one leader meet in one task (in chunks, if there are
+many), where sets are compared one after another and pairs that are connected
+already are passed over.  Every pair of classes that shares a shingle meets in
+a task, so no link between components is lost, and only links are sent on.
 
 Defined results: null and empty texts and those without words have no set and
 are linked with nothing; under ``width`` words the whole sequence is one
@@ -147,62 +147,111 @@ def _use(bits: int, width: int, percent: int):
     return use
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that are linked; only sets that some pair names are moved."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    sets = rows.filter("shingles IS NOT NULL").select("class", "shingles").join(named, "class", "left_semi").dropDuplicates(["class"])
-    left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    union = F.size("sa") + F.size("sb") - common
-    return pairs.join(right, "b").join(left, "a").filter(100 * common >= percent * union).select("a", "b")
+class _Parts:
+    """Labels of items that are joined one link at a time."""
 
+    def __init__(self, n: int) -> None:
+        self.label = np.arange(n)
 
-def _alike(percent: int):
-    return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    def join(self, a: int, b: int) -> None:
+        x, y = self.label[a], self.label[b]
+        self.label[self.label == max(x, y)] = min(x, y)
 
 
-#: Cells of the positional filter: steps of the size, and parts of a set that positions are counted in.
-SIZE_STEP, PLACES = 1.05, 64
+def spanning_links(n: np.ndarray, matches: np.ndarray, tokens: list, levels: list, places: list, sets: list, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Links that connect what all links between the given sets connect.
 
-
-def _reach(place, percent: int):
-    """How many times a set's own size the other may be at most, if the first shared shingle stands at this share of it."""
-    return (1 - place) * (100 + percent) / percent - 1
-
-
-def _across(entries: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes in different components that a shingle allows to be similar.
-
-    The first shingle that two similar sets share, at the places i and j of
-    their orders, leaves at most min(|r| - i, |s| - j) in common.  Entries of a
-    shingle are put in cells by size and place; only cells that can meet this
-    bound meet, and in them only entries of different components.
+    Sets are taken one after another.  Those before it that share enough prefix
+    shingles, at places and with sizes that allow the similarity, and are not
+    yet in its component, are verified all at once.
+    """
+    count = len(n)
+    size = np.array([len(t) for t in tokens])
+    of = np.repeat(np.arange(count), size)
+    token, level, place = (np.concatenate(x) for x in (tokens, levels, places))
+    order = np.lexsort((of, token))
+    first = np.flatnonzero(np.concatenate([[True], token[order][1:] != token[order][:-1]]))
+    group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+    where = np.empty(len(order), dtype=np.int64)
+    where[order] = np.arange(len(order))
+    start, end = first[group[where]], where  # the entries of the same shingle that come before
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    owner, lv, pl = of[order], level[order], place[order]
+    parts, links = _Parts(count), []
+    for d in range(1, count):
+        own = np.arange(bounds[d], bounds[d + 1])
+        run = end[own] - start[own]
+        total = int(run.sum())
+        if not total:
+            continue
+        mine = np.repeat(own, run)
+        at = np.repeat(start[own], run) + np.arange(total) - np.repeat(np.cumsum(run) - run, run)
+        other = owner[at]
+        new = parts.label[other] != parts.label[d]
+        mine, at, other = mine[new], at[new], other[new]
+        alike = 100 * np.minimum(n[other], n[d]) >= percent * np.maximum(n[other], n[d])
+        within = (level[mine] <= matches[other]) & (lv[at] <= matches[other]) & alike  # the earlier set probes
+        left = np.minimum(n[other] - pl[at], n[d] - place[mine])
+        # The place bound holds at the first shared shingle, so at one of them at least.
+        fits = percent * (n[other] + n[d]) <= (100 + percent) * left
+        if not within.any():
+            continue
+        agreed = np.bincount(other[within], minlength=count) >= np.maximum(matches, 1)
+        agreed &= np.bincount(other[within & fits], minlength=count) > 0
+        found = np.flatnonzero(agreed)
+        if not len(found):
+            continue
+        for i in range(0, len(found), 512):
+            part = found[i : i + 512]
+            flat = np.concatenate([sets[k] for k in part])
+            ends = np.cumsum([len(sets[k]) for k in part])
+            spot = np.minimum(np.searchsorted(sets[d], flat), len(sets[d]) - 1)
+            hits = np.concatenate([[0], np.cumsum(sets[d][spot] == flat)])
+            common = hits[ends] - hits[ends - n[part]]
+            for k in part[100 * common >= percent * (n[part] + n[d] - common)]:
+                if parts.label[k] != parts.label[d]:
+                    parts.join(int(k), d)
+                    links.append((int(k), d))
+    return links
+
+
+#: Classes of one leader that a task compares; more are dealt into chunks, and each pair of chunks is a task of its own.
+CHUNK = 2048
+
+
+def _links(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between classes, enough to connect what all links connect.
+
+    The least class that has a shingle leads it.  All classes of a leader's
+    shingles meet once, with their whole prefixes and sets, however many
+    shingles they share, and only links leave a task; so no pairs are sent.
     """
-    grouped = entries.join(groups.withColumnRenamed("vertex", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    open_ = grouped.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("token")
-    size, place = F.floor(F.log("n") / float(np.log(SIZE_STEP))).cast("int"), F.floor(F.col("place") * PLACES / F.col("n")).cast("int")
-    held = checkpointed(grouped.join(open_, "token", "left_semi").select("token", "class", "n", "place", "component", size.alias("u"), place.alias("v")))
-    at = held.select("token", "u", "v", "component").distinct()
-    cells = at.select("token", "u", "v").distinct()
-    other = cells.select("token", F.col("u").alias("u2"), F.col("v").alias("v2"))
-    least = lambda u: F.pow(F.lit(SIZE_STEP), F.col(u) - 0.001)
-    most = lambda u: F.pow(F.lit(SIZE_STEP), F.col(u) + 1.001)
-    mine, theirs = _reach(F.col("v") / PLACES, percent), _reach(F.col("v2") / PLACES, percent)
-    meeting = cells.join(other, "token").filter((F.struct("u", "v") <= F.struct("u2", "v2")) & (least("u2") <= mine * most("u")) & (least("u") <= theirs * most("u2")) & (mine * theirs >= 0.999) & (mine > 0))
-    at2 = at.select("token", F.col("u").alias("u2"), F.col("v").alias("v2"), F.col("component").alias("component2"))
-    met = meeting.join(at, ["token", "u", "v"]).join(at2, ["token", "u2", "v2"]).filter("component <> component2")
-    held2 = held.select("token", *[F.col(c).alias(f"{c}2") for c in ("class", "n", "place", "component", "u", "v")])
-    left = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
-    pairs = met.join(held, ["token", "u", "v", "component"]).join(held2, ["token", "u2", "v2", "component2"]).filter(percent * (F.col("n") + F.col("n2")) <= (100 + percent) * left)
-    return pairs.select(F.least("class", "class2").alias("a"), F.greatest("class", "class2").alias("b")).distinct()
-
-
-def _enough_matches(pairs: DataFrame, entries: DataFrame) -> DataFrame:
-    """Pairs that share as many prefix shingles as the lesser class asks for."""
-    probe = entries.select(F.col("class").alias("a"), "token", F.col("level").alias("la"), F.col("matches").alias("m"))
-    met = entries.select(F.col("class").alias("b"), "token", F.col("level").alias("lb"))
-    return pairs.join(probe, "a").join(met, ["b", "token"]).filter("la <= m AND lb <= m").groupBy("a", "b", "m").count().filter("count >= m").select("a", "b")
+    heads = rows.filter("tokens IS NOT NULL").select("class", "tokens").dropDuplicates(["class"])
+    every = heads.select("class", F.explode("tokens").alias("token"))
+    lead = every.groupBy("token").agg(F.min("class").alias("leader"), F.max("class").alias("last")).filter("leader < last").select("token", "leader")
+    met = checkpointed(every.join(lead, "token").select("leader", "class").distinct())
+    chunks = met.groupBy("leader").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    own = F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int")
+    pair = lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j"))
+    dealt = met.join(chunks, "leader").withColumn("task", F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), pair)))
+    named = met.select("class").distinct()
+    sets = rows.filter("shingles IS NOT NULL").select("class", "n_shingles", "matches", "tokens", "levels", "positions", "shingles").join(named, "class", "left_semi").dropDuplicates(["class"])
+    full = dealt.join(sets, "class").select("leader", "task.i", "task.j", "class", "n_shingles", "matches", "tokens", "levels", "positions", "shingles")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by("class")
+        name = table.column("class").to_pylist()
+
+        def lists(column: str) -> list[np.ndarray]:
+            a = table.column(column).combine_chunks()
+            return np.split(np.asarray(a.flatten()), a.offsets.to_numpy()[1:-1] - a.offsets[0].as_py())
+
+        tokens, levels, places = (lists(c) for c in ("tokens", "levels", "positions"))
+        sets = [x.view(np.uint64) for x in lists("shingles")]
+        found = spanning_links(table.column("n_shingles").to_numpy(), table.column("matches").to_numpy(), tokens, levels, places, sets, percent)
+        return pa.table({"a": pa.array([name[x] for x, _ in found], pa.binary()), "b": pa.array([name[y] for _, y in found], pa.binary())})
+
+    return full.groupBy("leader", "i", "j").applyInArrow(compare, "a binary, b binary").distinct()
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,21 +261,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     answers = corpus.answers(_ask(bits, width), _answer)
     rows = checkpointed(corpus.with_answers(answers, _use(bits, width, percent), SCHEMA))
 
-    heads = rows.filter("tokens IS NOT NULL").select("class", F.col("n_shingles").alias("n"), "matches", "tokens", "levels", "positions").dropDuplicates(["class"])
-    every = heads.select("class", "n", "matches", F.explode(F.arrays_zip("tokens", "levels", "positions")).alias("e")).select("class", "n", "matches", F.col("e.tokens").alias("token"), F.col("e.levels").alias("level"), F.col("e.positions").alias("place"))
-    # Both leaders of each shingle; shingles of a single class lead nowhere and are left here.
-    lead = every.groupBy("token").agg(F.min(F.struct("class", "n")).alias("lo"), F.max(F.struct("class", "n")).alias("hi")).filter("lo.class < hi.class")
-    entries = checkpointed(every.join(lead, "token"))
-    met = entries.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.explode(F.array("lo", "hi")).alias("l")).select("b", "nb", F.col("l.class").alias("a"), F.col("l.n").alias("na"))
-    first = checkpointed(met.filter((F.col("a") != F.col("b")) & _alike(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    links = checkpointed(_verified(first, rows, percent))
-    groups = connected_components(links, "a", "b")
-
-    pairs = checkpointed(_across(entries.filter("level = 1"), groups, percent).join(first, ["a", "b"], "left_anti"))
-    second = _enough_matches(pairs, entries)
-    late = checkpointed(_verified(second, rows, percent))
-    if late.limit(1).count():
-        groups = connected_components(links.union(late), "a", "b")
+    groups = connected_components(_links(rows, percent), "a", "b")
 
     class_id = rows.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
     named = class_id.join(groups.withColumnRenamed("vertex", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
