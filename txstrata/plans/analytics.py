@@ -108,7 +108,7 @@ COMPONENTS = (
 
 ADDRESS_SQL = f"""SELECT p.address, {", ".join(map(_ZERO, ("input_occurrence_count", "output_occurrence_count", "unique_input_tx_count", "unique_output_tx_count")))}, unique_tx_count, {_ZERO("total_input_sats")}, {_ZERO("total_output_sats")},
     mean_input_sats, mean_output_sats, max_input_sats, max_output_sats, CASE WHEN unique_output_tx_count > 0 THEN round(coalesce(unique_input_tx_count, 0)::DOUBLE / unique_output_tx_count, 5) END AS input_output_tx_ratio,
-    CASE WHEN total_output_sats > 0 THEN round(coalesce(total_input_sats, 0)::DOUBLE / total_output_sats, 5) END AS input_output_value_ratio, {_ZERO("co_transaction_address_count")}, {_ZERO("network_observation_count")},
+    CASE WHEN total_output_sats > 0 THEN round(coalesce(total_input_sats, 0)::DOUBLE / total_output_sats, 12) END AS input_output_value_ratio, {_ZERO("co_transaction_address_count")}, {_ZERO("network_observation_count")},
     {_TIMES}, {_ZERO("active_hour_count")}, {_RATE}, z.n AS bipartite_component_size
     FROM (SELECT address, count(*) AS unique_tx_count FROM address_tx GROUP BY address) p JOIN sized z ON z.v = 'a:' || p.address
     LEFT JOIN ({values_sql("input", "address", "count(*) AS input_occurrence_count, count(DISTINCT txid) AS unique_input_tx_count", False)}) a ON a.address = p.address
@@ -212,7 +212,7 @@ def register_all() -> None:
     register("tx_features", on_scope(features.transaction_features), sql(_at_two(transaction_features_sql())), places=2)
     register("co_transaction_count", on_scope(lambda s: features.co_transaction_counts(s["address_transactions"])), sql("SELECT l.address, count(DISTINCT r.address) AS co_transaction_address_count FROM address_tx l JOIN address_tx r ON l.txid = r.txid AND l.address <> r.address GROUP BY l.address"))
     register("address_time", on_scope(lambda s: features.timing(s["address_observations"], "address")), sql(_at_two(timing_sql("address_seen", "address"))), places=2)
-    register("address_features", on_scope(features.address_features), sql(ADDRESS_SQL.replace(", 5)", ", 4)").replace(", 2)", ", 4)"), *COMPONENTS, recursive=True), places=4)
+    register("address_features", on_scope(features.address_features), sql(ADDRESS_SQL.replace(", 5)", ", 4)").replace(", 2)", ", 4)"), *COMPONENTS, recursive=True), places=4, finer={"input_output_value_ratio": 12})
     register("ip_roles", on_scope(lambda s: features.ip_role_counts(s["ip_observations"])), sql(IP_ROLES))
     register("ip_entropy", on_scope(lambda s: features.entropies(s["ip_observations"], "ip")), sql(entropy_sql("ip_seen", "ip")))
     register("ip_bursts", on_scope(lambda s: features.bursts(s["ip_observations"], "ip")), sql(bursts_sql("ip_seen", "ip")))

@@ -13,21 +13,21 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def comparable(frame: DataFrame, places: int = 5) -> DataFrame:
+def comparable(frame: DataFrame, places: int = 5, finer: dict[str, int] | None = None) -> DataFrame:
     """Doubles rounded and exact sums as 64-bit integers, so that two engines give the same cells."""
     kinds = dict(frame.dtypes)
 
     def cell(name: str):
         if kinds[name] in ("double", "float"):
-            return F.round(F.col(name).cast("double") + 0.0, places).alias(name)
+            return F.round(F.col(name).cast("double") + 0.0, (finer or {}).get(name, places)).alias(name)
         return F.col(name).cast("long").alias(name) if kinds[name].startswith("decimal") or kinds[name] == "int" else F.col(name)
 
     return frame.select(*map(cell, frame.columns))
 
 
-def register(name: str, query: Query, sql: str | None = None, places: int = 5) -> None:
+def register(name: str, query: Query, sql: str | None = None, places: int = 5, finer: dict[str, int] | None = None) -> None:
     if name in QUERIES:
         raise ValueError(f"{name} is registered twice")
-    QUERIES[name] = lambda spark, sf_dir: comparable(query(spark, sf_dir), places)
+    QUERIES[name] = lambda spark, sf_dir: comparable(query(spark, sf_dir), places, finer)
     if sql:
         ORACLES[name] = sql
