@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from txstrata.operators import communities, enrich, entities, features, generate, graph, integrity, learning, lookups, metrics
 from txstrata.operators.components import connected_components
 from txstrata.operators.ranking import with_rank
+from txstrata.operators.rounds import Rounds
 from txstrata.streaming.activity import streaming_activity
 
 COIN = 100_000_000
@@ -154,9 +155,23 @@ def test_components_and_bridges_against_brute_force(spark):
     n = len(set(groups(edges).values()))
     want = {e for e in edges if len(set(groups([x for x in edges if x != e]).values())) > n}
     assert {(r["a"], r["b"]) for r in graph.bridges(frame).collect()} == want and want
+    assert {r["vertex"]: r["component"] for r in connected_components(frame, "a", "b", one_task=0).collect()} == groups(edges)
+    assert {(r["a"], r["b"]) for r in graph.bridges(frame, one_task=0).collect()} == want
     assert connected_components(frame.limit(0), "a", "b").count() == 0 and graph.bridges(frame.limit(0)).count() == 0
 
 
+def test_rounds_of_a_long_path_keep_estimates_bounded(spark):
+    order = np.random.default_rng(3).permutation(5000).tolist()
+    path = spark.createDataFrame([(f"v{a:04d}", f"v{b:04d}") for a, b in zip(order, order[1:], strict=False)], "a string, b string")
+    found = connected_components(path, "a", "b", one_task=0)
+    assert found.agg(F.count("*"), F.min("component"), F.max("component")).first() == (5000, "v0000", "v0000")
+    frame, rounds = spark.range(10).toDF("k"), Rounds(spark)
+    for _ in range(30):  # a join of a frame with itself, round after round
+        was, frame = frame, rounds.keep(frame.join(frame.select("k"), "k"))
+        rounds.drop(was)
+    assert frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 40 and frame.count() == 10
+
+
 def test_entities(spark):
     txs = {
         "1": ([("A", 1), ("B", 1)], [("OA", 2)], 0), "2": ([("B", 1), ("C", 1)], [("OB", 2)], 0),
