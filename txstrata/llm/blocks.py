@@ -1,11 +1,15 @@
 """Corpus-wide counts of hashed keys, asked and answered by blocks of documents.
 
-Documents are dealt into blocks of a bounded size by a hash of their id.  A
-block sends each distinct key once, with its own count, to the shard that owns
-the key's range; key lists are Elias-Fano coded.  A shard merges the counts of
-all blocks and answers each block's lists in order, so no row per occurrence is
-shuffled, no hot key meets in one task (a key has at most one entry per block)
-and nothing comes to the driver but the corpus' size in bytes.
+Documents are dealt into blocks of a bounded size by a hash of their id and
+text.  A block sends each distinct key once, with its own count, towards the
+shard that owns the key's range; key lists are Elias-Fano coded.  Messages are
+routed like digits of a number: at each level a node takes in at most ``FAN``
+messages, merges them, and sends its keys on to at most ``FAN`` nodes, by the
+next bits of the keys; answers come back the same way.  So a block, and a node,
+sends a fixed number of messages a level, whatever the corpus' size, and the
+number of levels follows its logarithm.  No row per occurrence is shuffled, no
+hot key meets in one task (a key has at most one entry in each message) and
+nothing comes to the driver but the corpus' size in bytes.
 """
 
 from __future__ import annotations
@@ -13,11 +17,16 @@ from __future__ import annotations
 import ctypes
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from . import elias_fano
 from .common import BATCH_BYTES, by_bytes, texts_only
@@ -26,14 +35,100 @@ from .common import BATCH_BYTES, by_bytes, texts_only
 BLOCK_BYTES, HELD_BYTES = 8 << 20, 16 << 20
 
 
+#: Bits of a key that a level of routing looks at; a node takes in and sends out up to 2**FAN_BITS messages.
+FAN_BITS = 7
+
+MESSAGE, REPLY = "node long, child int, kind int, sent binary", "node long, part int, reply binary"
+
+
+@dataclass
+class Asked:
+    """Ascending distinct keys of ``bits`` bits, their counts, and ``notes``, bytes that hold for a key wherever it is."""
+
+    keys: np.ndarray
+    counts: np.ndarray
+    bits: int
+    notes: np.ndarray | None = None
+
+    def pack(self) -> bytes:
+        return pack_counted(self.keys, self.counts, self.bits) + (b"" if self.notes is None else self.notes.T.tobytes())
+
+    @staticmethod
+    def unpack(data: bytes, bits: int, notes: int) -> Asked:
+        keys, counts, used = unpack_counted(data)
+        return Asked(keys, counts, bits, np.frombuffer(data, np.uint8, notes * len(keys), used).reshape(notes, len(keys)).T)
+
+    def cut(self, a: int, b: int, bits: int) -> Asked:
+        """The keys from a to b, without their common first bits."""
+        return Asked(self.keys[a:b] & np.uint64((1 << bits) - 1), self.counts[a:b], bits, None if self.notes is None else self.notes[a:b])
+
+    def parts(self, width: int) -> np.ndarray:
+        """Bounds of the parts that the first ``width`` bits make."""
+        return np.searchsorted(self.keys >> np.uint64(self.bits - width), np.arange((1 << width) + 1, dtype=np.uint64))
+
+
+def merge(lists: list[Asked]) -> Asked:
+    """Distinct keys of all lists, with their counts added."""
+    keys = np.concatenate([x.keys for x in lists])
+    counts = np.concatenate([x.counts for x in lists])
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    total = np.add.reduceat(counts[order], first) if len(first) else np.zeros(0, np.int64)
+    return Asked(keys[first], total, lists[0].bits, np.concatenate([x.notes for x in lists])[order[first]])
+
+
+@dataclass
+class Answered:
+    """For each kind, rows of bytes in the order of the keys asked for, and sums over all shards."""
+
+    rows: list[np.ndarray]
+    sums: np.ndarray
+
+    def pack(self) -> bytes:
+        head = np.array([len(self.sums), len(self.rows), *(x for r in self.rows for x in r.shape)], dtype=np.uint64)
+        return head.tobytes() + self.sums.astype(np.uint64).tobytes() + b"".join(np.ascontiguousarray(r.T).tobytes() for r in self.rows)
+
+    @staticmethod
+    def unpack(data: bytes) -> Answered:
+        n_sums, n_rows = np.frombuffer(data, np.uint64, 2).tolist()
+        shapes = np.frombuffer(data, np.uint64, 2 * n_rows, 16).astype(np.int64).reshape(n_rows, 2).tolist()
+        at = 16 * (1 + n_rows)
+        sums = np.frombuffer(data, np.uint64, n_sums, at)
+        at += 8 * n_sums
+        rows = []
+        for n, width in shapes:
+            rows.append(np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T)
+            at += n * width
+        return Answered(rows, sums)
+
+    @staticmethod
+    def together(parts: list[Answered]) -> Answered:
+        """Answers to the parts of a list, in order, as one."""
+        if not parts:
+            return Answered([], np.zeros(0, np.uint64))
+        return Answered([np.concatenate(r) for r in zip(*(p.rows for p in parts), strict=True)], sum(p.sums for p in parts))
+
+
+def as_bytes(values: np.ndarray) -> np.ndarray:
+    """Unsigned 64-bit values as rows of bytes."""
+    return np.ascontiguousarray(values, dtype="<u8").view(np.uint8).reshape(-1, 8)
+
+
+def from_bytes(rows: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(rows).view("<u8").reshape(-1).astype(np.int64)
+
+
 class Corpus:
     """Blocks of a table of documents: (block, payload), and their number."""
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> None:
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, fan_bits: int = FAN_BITS) -> None:
         frame = texts_only(docs, id_col, text_col)
         self.n_bytes = frame.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
         self.n_blocks = n = max(1, math.ceil(self.n_bytes / block_bytes))
-        self.shard_bits = max(0, math.ceil(math.log2(n)))
+        self.shard_bits = bits = max(0, math.ceil(math.log2(n)))
+        #: Bits of a key that each level of routing looks at.
+        self.widths = [min(fan_bits, bits - b) for b in range(0, max(1, bits), fan_bits)]
         #: Bits that tell apart as many keys as the corpus can have words.
         self.word_bits = max(10, math.ceil(math.log2(max(2, self.n_bytes / 2))))
 
@@ -51,7 +146,7 @@ class Corpus:
 
         def dealt(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table = pa.Table.from_batches(held).combine_chunks()
-            block = table.column("block").to_numpy()
+            block = blocks_of(table.column("hash").to_numpy(), n)
             order = np.argsort(block, kind="stable")
             ends = np.flatnonzero(np.append(np.diff(block[order]), 1)) + 1
             rows = table.select(["doc_id", "text"])
@@ -61,74 +156,138 @@ class Corpus:
                 part = rows.take(pa.array(order[start:end]))
                 with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
                     writer.write_table(part)
-                yield pa.RecordBatch.from_arrays([pa.array([int(block[order[start]])], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "payload"])
+                yield pa.RecordBatch.from_arrays([pa.array([int(block[order[start]])], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "payload"])
                 start = end
             release_memory()
 
-        dealing = frame.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).select("doc_id", "block", "text")
-        self.blocks = dealing.mapInArrow(deal, "block int, payload binary").repartition(n, "block")
+        dealing = frame.select("doc_id", F.xxhash64("doc_id", "text").alias("hash"), "text")
+        self.blocks = dealing.mapInArrow(deal, "block long, payload binary").repartition(n, "block")
 
-    def answers(self, ask: Callable, answer: Callable) -> DataFrame:
-        """(block, shard, reply) of every shard to every block.
+    def answers(self, ask: Callable, answer: Callable, notes: int = 0, replies: DataFrame | None = None) -> DataFrame:
+        """(node, part, reply) of every shard to every block; a block's node is its number.
 
-        ``ask`` maps the batches of a block to lists of (sorted keys, counts,
-        bits of a key).  ``answer`` maps, for one shard, lists of (block, keys,
-        counts) of each kind to a list of (block, reply bytes).
+        ``ask`` maps the batches of a block, and its :class:`Answered` from an
+        earlier round if ``replies`` are given, to one :class:`Asked` for each
+        kind, with ``notes`` bytes each.  ``answer`` maps, for one shard, the
+        merged :class:`Asked` of each kind to an :class:`Answered`.
         """
-        shard_bits, n_blocks = self.shard_bits, self.n_blocks
-
-        def requests(table: pa.Table) -> pa.Table:
-            block = table.column("block")[0].as_py()
-            shards: list[int] = []
-            kinds: list[int] = []
-            sent: list[bytes] = []
-            for kind, (keys, counts, bits) in enumerate(ask(payload_batches(table.column("payload")))):
-                split = min(shard_bits, bits)
-                bounds = np.searchsorted(keys >> np.uint64(bits - split), np.arange((1 << split) + 1, dtype=np.uint64))
-                mask = np.uint64((1 << (bits - split)) - 1)
-                for s in range(1 << split):
-                    a, b = bounds[s], bounds[s + 1]
+        widths, n_blocks, total = self.widths, self.n_blocks, self.shard_bits
+        places = [sum(widths[:k]) for k in range(len(widths) + 1)]
+
+        def send(asked: list[Asked], group: int, prefix: int, level: int) -> pa.Table:
+            """Messages from node (group, prefix) of a level to the next."""
+            width = widths[level]
+            out: list[tuple] = []
+            child, up = group & ((1 << width) - 1), (group >> width) << total
+            for kind, own in enumerate(asked):
+                bounds = own.parts(width).tolist()
+                for part in range(1 << width):
+                    a, b = bounds[part], bounds[part + 1]
                     if b > a:
-                        shards.append(s)
-                        kinds.append(kind)
-                        sent.append(pack_counted(keys[a:b] & mask, counts[a:b], bits - split))
-            shards.append(0)  # every block is known to every shard even if it asks nothing
-            kinds.append(-1)
-            sent.append(b"")
-            n = len(shards)
+                        out.append((up | prefix << width | part, child, kind, np.array([own.bits - width], np.uint8).tobytes() + own.cut(a, b, own.bits - width).pack()))
             release_memory()
-            return pa.table({"shard": pa.array(shards, pa.int32()), "block": pa.array([block] * n, pa.int32()), "kind": pa.array(kinds, pa.int32()), "sent": pa.array(sent, pa.binary())})
-
-        def merged(table: pa.Table) -> pa.Table:
-            shard = table.column("shard")[0].as_py()
-            asked: dict[int, list] = {}
-            for block, kind, sent in sorted(zip(*(table.column(c).to_pylist() for c in ("block", "kind", "sent")), strict=True), key=lambda r: (r[1], r[0])):
-                if kind >= 0:
-                    asked.setdefault(kind, []).append((block, *unpack_counted(sent)))
-            out = answer(asked, n_blocks)
-            del asked
+            return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ([],) * 4, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["node", "child", "kind", "sent"])
+
+        def received(table: pa.Table) -> dict[int, dict[int, Asked]]:
+            """The lists of each kind by child."""
+            out: dict[int, dict[int, Asked]] = {}
+            for child, kind, sent in zip(*(table.column(c).to_pylist() for c in ("child", "kind", "sent")), strict=True):
+                out.setdefault(kind, {})[child] = Asked.unpack(sent[1:], sent[0], notes)
+            return out
+
+        def merged(lists: dict[int, dict[int, Asked]]) -> list[Asked]:
+            none = Asked(np.zeros(0, np.uint64), np.zeros(0, np.int64), 64, np.zeros((0, notes), np.uint8))
+            return [merge([lists[k][c] for c in sorted(lists[k])]) if k in lists else none for k in range(max(lists, default=-1) + 1)]
+
+        def reply(lists: dict[int, dict[int, Asked]], whole: list[Asked], found: Answered, node: int, level: int) -> pa.Table:
+            """Answers from a node of a level to its children, all of them, since sums go to all."""
+            width = widths[level - 1]
+            group, prefix = node >> total, node & ((1 << total) - 1)
+            children = range(group << width, min((group + 1) << width, -(-n_blocks >> places[level - 1])))
+            out = []
+            for g in children:
+                rows = []
+                for kind, table in enumerate(found.rows):
+                    own = lists.get(kind, {}).get(g & ((1 << width) - 1))
+                    rows.append(table[np.searchsorted(whole[kind].keys, own.keys)] if own is not None else table[:0])
+                out.append(Answered(rows, found.sums).pack())
             release_memory()
-            return pa.table({"block": pa.array([b for b, _ in out], pa.int32()), "shard": pa.array([shard] * len(out), pa.int32()), "reply": pa.array([r for _, r in out], pa.binary())})
+            to = [(g << total) | (prefix >> width) if level > 1 else g for g in children]
+            return pa.table({"node": pa.array(to, pa.int64()), "part": pa.array([prefix & ((1 << width) - 1)] * len(to), pa.int32()), "reply": pa.array(out, pa.binary())})
+
+        def first(table: pa.Table) -> pa.Table:
+            return send(ask(payload_batches(table.column("payload"))), table.column("block")[0].as_py(), 0, 0)
+
+        def again(table: pa.Table, earlier: pa.Table) -> pa.Table:
+            if not table.num_rows:
+                return send([], 0, 0, 0)
+            return send(ask(payload_batches(table.column("payload")), replied(earlier)), table.column("block")[0].as_py(), 0, 0)
+
+        def upward(level: int):
+            def run(table: pa.Table) -> pa.Table:
+                node = table.column("node")[0].as_py()
+                return send(merged(received(table)), node >> total, node & ((1 << total) - 1), level)
+
+            return run
 
-        asked = self.blocks.groupBy("block").applyInArrow(requests, "shard int, block int, kind int, sent binary")
-        return asked.repartition(1 << shard_bits, "shard").groupBy("shard").applyInArrow(merged, "block int, shard int, reply binary").repartition(n_blocks, "block")
+        def top(table: pa.Table) -> pa.Table:
+            lists = received(table)
+            whole = merged(lists)
+            return reply(lists, whole, answer(whole), table.column("node")[0].as_py(), len(widths))
 
-    def with_answers(self, answers: DataFrame, use: Callable, schema: str) -> DataFrame:
-        """``use(batches of a block, replies by shard)`` gives the result's tables."""
+        def downward(level: int):
+            def run(table: pa.Table, above: pa.Table) -> pa.Table:
+                if not table.num_rows:
+                    return nothing
+                lists = received(table)
+                return reply(lists, merged(lists), replied(above), table.column("node")[0].as_py(), level)
+
+            return run
+
+        nothing = pa.table({"node": pa.array([], pa.int64()), "part": pa.array([], pa.int32()), "reply": pa.array([], pa.binary())})
+        at = lambda f: f.repartition(n_blocks, "node")
+        by_block = self.blocks.groupBy("block")
+        sent = by_block.applyInArrow(first, MESSAGE) if replies is None else by_block.cogroup(at(replies).groupBy("node")).applyInArrow(again, MESSAGE)
+        levels = [at(sent)]
+        for level in range(1, len(widths)):
+            levels.append(at(levels[-1].groupBy("node").applyInArrow(upward(level), MESSAGE)))
+        found = levels[-1].groupBy("node").applyInArrow(top, REPLY)
+        for level in range(len(widths) - 1, 0, -1):
+            found = levels[level - 1].groupBy("node").cogroup(at(found).groupBy("node")).applyInArrow(downward(level), REPLY)
+        return found
+
+    def with_answers(self, answers: list[DataFrame], use: Callable, schema: str) -> DataFrame:
+        """``use(block, batches of a block, its Answered)`` gives the result's tables; kinds and sums of later answers follow those of earlier ones."""
 
         def run(own: pa.Table, replies: pa.Table) -> pa.Table:
             if not own.num_rows:
                 return empty
-            by_shard = sorted(zip(replies.column("shard").to_pylist(), replies.column("reply").to_pylist(), strict=True))
-            out = pa.concat_tables(use(payload_batches(own.column("payload")), [r for _, r in by_shard]))
+            rounds = [replied(replies.filter(pc.equal(replies.column("round"), k))) for k in range(n_rounds)]
+            found = Answered([r for x in rounds for r in x.rows], np.concatenate([x.sums for x in rounds]))
+            out = pa.concat_tables([empty, *use(own.column("block")[0].as_py(), payload_batches(own.column("payload")), found)])
             release_memory()
             return out
 
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import _parse_datatype_string
+        n_rounds, empty = len(answers), to_arrow_schema(_parse_datatype_string(schema)).empty_table()
+        every = reduce(DataFrame.unionByName, [a.withColumn("round", F.lit(k)) for k, a in enumerate(answers)])
+        return self.blocks.groupBy("block").cogroup(every.repartition(self.n_blocks, "node").groupBy("node")).applyInArrow(run, schema)
+
+
+def blocks_of(hashes: np.ndarray, n: int) -> np.ndarray:
+    """The block of each row by its hash; of equal rows each goes one block further, so that many copies of a row fill no block."""
+    order = np.argsort(hashes, kind="stable")
+    s = hashes[order]
+    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
+    again = np.arange(len(s)) - np.repeat(first, np.diff(np.append(first, len(s))))
+    out = np.empty(len(s), dtype=np.int64)
+    out[order] = (s.view(np.uint64) % np.uint64(n)).astype(np.int64) + again
+    return out % n
+
 
-        empty = to_arrow_schema(_parse_datatype_string(schema)).empty_table()
-        return self.blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+def replied(table: pa.Table) -> Answered:
+    """What a node was answered, in the order of the parts."""
+    rows = sorted(zip(table.column("part").to_pylist(), table.column("reply").to_pylist(), strict=True))
+    return Answered.together([Answered.unpack(r) for _, r in rows])
 
 
 def release_memory() -> None:
@@ -156,22 +315,11 @@ def pack_counted(keys: np.ndarray, counts: np.ndarray, bits: int) -> bytes:
     return np.array([len(coded), len(big)], dtype=np.uint64).tobytes() + coded + small.tobytes() + counts[big].astype(np.uint64).tobytes()
 
 
-def unpack_counted(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def unpack_counted(data: bytes) -> tuple[np.ndarray, np.ndarray, int]:
+    """Keys, counts, and the bytes they took."""
     size, n_big = np.frombuffer(data, np.uint64, 2).tolist()
     keys = elias_fano.decode(memoryview(data)[16 : 16 + size])
     counts = np.frombuffer(data, np.uint8, len(keys), 16 + size).astype(np.int64)
     if n_big:
         counts[counts == 255] = np.frombuffer(data, np.uint64, n_big, 16 + size + len(keys)).astype(np.int64)
-    return keys, counts
-
-
-def merge_counts(asked: list) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and total counts of lists of (block, keys, counts)."""
-    if not asked:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    keys = np.concatenate([k for _, k, _ in asked])
-    counts = np.concatenate([c for _, _, c in asked])
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts[order], first) if len(first) else np.zeros(0, np.int64)
+    return keys, counts, 16 + size + len(keys) + 8 * n_big

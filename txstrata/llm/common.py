@@ -22,7 +22,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 _MULT = 0x9E3779B97F4A7C15
-_INV = pow(_MULT, -1, 1 << 64)
+#: The low k bytes of a little-endian word, for k from 0 to 8.
+_LOW_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def texts_only(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -50,26 +51,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
 _BYTE_VALUE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(_MULT))
 
 
-class Powers:
-    """Powers of the hash base and of its inverse, grown on demand."""
-
-    def __init__(self) -> None:
-        self.up = np.ones(1, dtype=np.uint64)
-        self.down = np.ones(1, dtype=np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
-            for name, base in (("up", _MULT), ("down", _INV)):
-                steps = np.full(size, base, dtype=np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.cumprod(steps, dtype=np.uint64))
-        return self.up[:n], self.down[:n]
-
-
-_POWERS = Powers()
-
-
 def word_spans(buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Begin, end and text number of every word in texts laid end to end.
 
@@ -90,26 +71,52 @@ def word_spans(buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return begin, end, np.searchsorted(starts, begin, side="right") - 1
 
 
-def word_hashes(buf: np.ndarray, begin: np.ndarray, end: np.ndarray, lower: bool, block: int = 1 << 20) -> np.ndarray:
-    """A 64-bit hash of every span, by prefix sums of a polynomial, about ``block`` bytes at a time."""
+def word_hashes(buf: np.ndarray, begin: np.ndarray, end: np.ndarray, lower: bool, block: int = 1 << 21) -> np.ndarray:
+    """A 64-bit hash of every span, about ``block`` bytes at a time.
+
+    Each eight bytes of a span are mixed on their own, mixed again with their
+    place, and summed, so no structure of a text survives into the sum.
+    """
     out = np.empty(len(begin), dtype=np.uint64)
     i = 0
     while i < len(begin):
-        j = int(np.searchsorted(begin, begin[i] + block, side="left"))
-        j = max(j, i + 1)
-        lo, hi = int(begin[i]), int(end[j - 1])
-        part = buf[lo:hi]
-        if lower:
-            part = _LOWER[part]
-        up, down = _POWERS.get(hi - lo + 1)
-        total = np.zeros(hi - lo + 1, dtype=np.uint64)
-        np.cumsum(_BYTE_VALUE[part] * up[: hi - lo], out=total[1:])
-        b, e = begin[i:j] - lo, end[i:j] - lo
-        out[i:j] = mix64((total[e] - total[b]) * down[b] + (e - b).astype(np.uint64))
+        j = max(int(np.searchsorted(begin, begin[i] + block, side="left")), i + 1)
+        lo, hi = int(begin[i]), int(end[i:j].max())
+        part = np.zeros(hi - lo + 8, dtype=np.uint8)
+        part[: hi - lo] = _LOWER[buf[lo:hi]] if lower else buf[lo:hi]
+        wide = np.ndarray((hi - lo + 1,), "<u8", part.data, strides=(1,))  # the eight bytes from each place on
+        at, size = begin[i:j] - lo, end[i:j] - begin[i:j]
+        if size.max() <= 8:
+            total = mix64(mix64(wide[at] & _LOW_BYTES[size]))
+        else:
+            k = np.maximum((size + 7) // 8, 1)
+            first = np.cumsum(k) - k
+            place = np.arange(int(k.sum())) - np.repeat(first, k)
+            left = np.minimum(np.repeat(size, k) - 8 * place, 8)
+            v = mix64(wide[np.repeat(at, k) + 8 * place] & _LOW_BYTES[left])
+            total = np.add.reduceat(mix64(v + place.astype(np.uint64) * np.uint64(_MULT)), first)
+        out[i:j] = mix64(total + size.astype(np.uint64))
         i = j
     return out
 
 
+def equal_spans(buf: np.ndarray, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    """Which pairs of spans hold the same bytes, compared byte by byte, about ``block`` bytes at a time."""
+    same = (a_end - a) == (b_end - b)
+    left = np.flatnonzero(same)
+    ends = np.cumsum((a_end - a)[left])
+    i = 0
+    while i < len(left):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + block, side="right")))
+        own = left[i:j]
+        size = (a_end - a)[own]
+        of = np.repeat(np.arange(len(own)), size)
+        step = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+        same[own[of[buf[a[own][of] + step] != buf[b[own][of] + step]]]] = False
+        i = j
+    return same
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string column laid end to end and the bounds of its rows; no copy is made."""
     if isinstance(column, pa.ChunkedArray):

@@ -3,22 +3,28 @@
 A document is the set of hashes of its distinct shingles.  All sets are ordered
 alike, rare shingles first; by the pigeonhole rule two similar sets share at
 least m of the first |s| - ceil(t |s|) + m shingles of each, for any m up to the
-required overlap.  Each document picks the m, and with it the length of its
-prefix, that makes the estimated work least: the entries that its prefix meets,
-and the verifications left when m of them must agree.  Frequencies come from
-:mod:`blocks`; a shingle that no other document has is never sent.
-
-Equal sets are one class, represented once.  The least class that has a shingle
-leads it; the classes of one leader meet in one task (in chunks, if there are
-many), where sets are compared one after another and pairs that are connected
-already are passed over.  Every pair of classes that shares a shingle meets in
-a task, so no link between components is lost, and only links are sent on.
+required overlap.  Each document picks the m, and with it the length of the
+prefix that it sends, that makes the estimated work least: the entries that its
+prefix meets, and the verifications left when m of them must agree.  Two sets
+are verified only if they share m shingles of their prefixes of that length,
+for the lesser of their two m, which both prefixes reach.  Frequencies come
+from :mod:`blocks`; a shingle that no other document has is never sent.
+
+Equal sets are one class, with one row for each block of documents.  The least
+class that has a shingle leads it; the classes of one leader meet in tasks of
+at most about ``CHUNK``, each with the leader's own set, where sets are compared
+one after another and pairs that are connected already are passed over.  Where
+a leader has several such chunks and its classes aren't all connected yet, each
+pair of chunks is compared as well, so every pair of classes that shares a
+shingle meets in a task unless links connect it anyway.  A shingle's rows are
+salted by its frequency, and a leader's by the class, so none meets in one task.
 
 Defined results: null and empty texts and those without words have no set and
 are linked with nothing; under ``width`` words the whole sequence is one
 shingle.  Repeated rows give one row each, all in one class.  Null ids take part
 in links but no component is named after them unless it has no other id.  An
-empty table gives none; further columns are ignored.
+empty table gives none; further columns are ignored.  Shingles are compared by
+64-bit hashes: two different ones pass for one with a chance of 2**-64.
 """
 
 from __future__ import annotations
@@ -30,9 +36,9 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from . import elias_fano
-from .blocks import Corpus, merge_counts
-from .common import mix64, text_buffer, word_hashes, word_spans
-from .storage import checkpointed
+from .blocks import Answered, Asked, Corpus
+from .common import free_name, mix64, text_buffer, word_hashes, word_spans
+from .storage import stored
 
 WIDTH, PERCENT = 5, 75
 #: The longest multi-match considered, and the work of a verification in entries met.
@@ -78,6 +84,12 @@ def choose_prefix(freq: np.ndarray, percent: int = PERCENT) -> tuple[int, int]:
     return int(m[np.argmin(entries + VERIFY * entries / m)]), base
 
 
+#: Rows of a shingle or leader that one task takes; more are salted or dealt into chunks.
+CHUNK = 2048
+#: Tasks among which the rows of a leader are spread while its chunks are counted.
+SALTS = 16
+
+
 def _ask(bits: int, width: int):
     def ask(batches):
         parts = []
@@ -85,64 +97,64 @@ def _ask(bits: int, width: int):
             key, _ = shingle_sets(batch.column(1), width)
             parts.append(key >> np.uint64(64 - bits))
         keys = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        distinct, counts = np.unique(keys, return_counts=True)
-        return [(distinct, counts, bits)]
+        return [Asked(*np.unique(keys, return_counts=True), bits)]
 
     return ask
 
 
-def _answer(asked: dict, n_blocks: int) -> list[tuple[int, bytes]]:
-    lists = asked.get(0, [])
-    keys, counts = merge_counts(lists)
-    codes = elias_fano.quantise(counts)
-    return [(block, codes[np.searchsorted(keys, own)].tobytes()) for block, own, _ in lists]
+def _answer(asked: list[Asked]) -> Answered:
+    """Quantised frequencies."""
+    counts = asked[0].counts if asked else np.zeros(0, np.int64)
+    return Answered([elias_fano.quantise(counts)[:, None]], np.zeros(0, np.uint64))
 
 
-SCHEMA = "doc_id long, n_shingles long, class binary, matches int, tokens array<long>, levels array<int>, positions array<int>, shingles array<long>"
+SCHEMA = "block long, class binary, ids array<long>, n_shingles long, matches int, tokens array<long>, spread array<int>, levels array<int>, positions array<int>, shingles array<long>"
 
 
 def _use(bits: int, width: int, percent: int):
-    def use(batches, replies: list[bytes]):
-        held = [(b.column(0), *shingle_sets(b.column(1), width)) for b in batches]
+    def use(block: int, batches, found: Answered):
+        held = [(b.column(0).to_pylist(), *shingle_sets(b.column(1), width)) for b in batches]
         short = [key >> np.uint64(64 - bits) for _, key, _ in held]
         distinct = np.unique(np.concatenate(short)) if short else np.zeros(0, np.uint64)
-        value = elias_fano.CODEBOOK[np.frombuffer(b"".join(replies), np.uint8)]
-        seen: set[bytes] = set()
+        value = elias_fano.CODEBOOK[found.rows[0][:, 0]] if found.rows else np.zeros(0)
+        members: dict[bytes | None, list] = {}
+        rows: list[tuple] = []
+
+        def flush():
+            columns = list(zip(*rows, strict=True))
+            kinds = (pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()))
+            names = ("class", "ids", "n_shingles", "matches", "tokens", "spread", "levels", "positions", "shingles")
+            return pa.table({"block": pa.array([block] * len(rows), pa.int64()), **{name: pa.array(c, k) for name, c, k in zip(names, columns, kinds, strict=True)}})
+
         for (ids, key, bounds), cut in zip(held, short, strict=True):
             freq = value[np.searchsorted(distinct, cut)]
-            classes, matches, tokens, levels, places, sets = [], [], [], [], [], []
             a, b = mix64(key), mix64(key + np.uint64(0x51ED))
             total = np.zeros((2, len(key) + 1), dtype=np.uint64)
             np.cumsum(a, out=total[0, 1:])
             np.cumsum(b, out=total[1, 1:])
-            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            for i, lo, hi in zip(ids, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 digest = None if hi == lo else (total[:, hi] - total[:, lo]).tobytes()
-                classes.append(digest)
+                if digest in members:
+                    members[digest].append(i)
+                    continue
+                members[digest] = own_ids = [i]
                 m = 0
-                token = level = place = own = None
-                if digest and digest not in seen:
-                    seen.add(digest)
+                token = spread = level = place = own = None
+                if digest:
                     k, f = key[lo:hi], freq[lo:hi]
                     order = np.lexsort((k, f))
                     m, base = choose_prefix(f[order], percent)
-                    head = order[: base + MOST_MATCHES - 1]
+                    head = order[: base + m - 1]
                     shared = np.flatnonzero(f[head] > 1)
                     if len(shared):
                         token = k[head[shared]].view(np.int64)
+                        spread = np.ceil(f[head[shared]] / CHUNK).astype(np.int32)
                         level = np.maximum(shared - base + 2, 1).astype(np.int32)
                         place = shared.astype(np.int32)
                         own = k.view(np.int64)
-                matches.append(m)
-                tokens.append(token)
-                levels.append(level)
-                places.append(place)
-                sets.append(own)
-            yield pa.table(
-                {
-                    "doc_id": ids, "n_shingles": pa.array(np.diff(bounds)), "class": pa.array(classes, pa.binary()), "matches": pa.array(matches, pa.int32()),
-                    "tokens": pa.array(tokens, pa.list_(pa.int64())), "levels": pa.array(levels, pa.list_(pa.int32())), "positions": pa.array(places, pa.list_(pa.int32())), "shingles": pa.array(sets, pa.list_(pa.int64())),
-                }
-            )
+                rows.append((digest, own_ids, hi - lo, m, token, spread, level, place, own))
+        if rows:
+            yield flush()
 
     return use
 
@@ -158,8 +170,8 @@ class _Parts:
         self.label[self.label == max(x, y)] = min(x, y)
 
 
-def spanning_links(n: np.ndarray, matches: np.ndarray, tokens: list, levels: list, places: list, sets: list, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links that connect what all links between the given sets connect.
+def spanning_links(n: np.ndarray, matches: np.ndarray, tokens: list, levels: list, places: list, sets: list, percent: int = PERCENT, labels: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that connect what all links between the given sets connect, beyond those that ``labels`` stand for.
 
     Sets are taken one after another.  Those before it that share enough prefix
     shingles, at places and with sizes that allow the similarity, and are not
@@ -178,6 +190,9 @@ def spanning_links(n: np.ndarray, matches: np.ndarray, tokens: list, levels: lis
     bounds = np.concatenate([[0], np.cumsum(size)])
     owner, lv, pl = of[order], level[order], place[order]
     parts, links = _Parts(count), []
+    if labels is not None:
+        _, first_of, inverse = np.unique(labels, return_index=True, return_inverse=True)
+        parts.label = first_of[inverse]
     for d in range(1, count):
         own = np.arange(bounds[d], bounds[d + 1])
         run = end[own] - start[own]
@@ -190,13 +205,14 @@ def spanning_links(n: np.ndarray, matches: np.ndarray, tokens: list, levels: lis
         new = parts.label[other] != parts.label[d]
         mine, at, other = mine[new], at[new], other[new]
         alike = 100 * np.minimum(n[other], n[d]) >= percent * np.maximum(n[other], n[d])
-        within = (level[mine] <= matches[other]) & (lv[at] <= matches[other]) & alike  # the earlier set probes
+        need = np.minimum(matches[other], matches[d])  # both prefixes reach as far
+        within = (level[mine] <= need) & (lv[at] <= need) & alike
         left = np.minimum(n[other] - pl[at], n[d] - place[mine])
         # The place bound holds at the first shared shingle, so at one of them at least.
         fits = percent * (n[other] + n[d]) <= (100 + percent) * left
         if not within.any():
             continue
-        agreed = np.bincount(other[within], minlength=count) >= np.maximum(matches, 1)
+        agreed = np.bincount(other[within], minlength=count) >= np.maximum(np.minimum(matches, matches[d]), 1)
         agreed &= np.bincount(other[within & fits], minlength=count) > 0
         found = np.flatnonzero(agreed)
         if not len(found):
@@ -215,28 +231,24 @@ def spanning_links(n: np.ndarray, matches: np.ndarray, tokens: list, levels: lis
     return links
 
 
-#: Classes of one leader that a task compares; more are dealt into chunks, and each pair of chunks is a task of its own.
-CHUNK = 2048
+def _salt(of: str, spread) -> F.Column:
+    return F.pmod(F.xxhash64(of), spread).cast("int")
 
 
-def _links(rows: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between classes, enough to connect what all links connect.
+def _meetings(rows: DataFrame) -> DataFrame:
+    """(leader, chunks, class): the classes that share a shingle with a leader, which is one of them."""
+    heads = rows.filter("tokens IS NOT NULL").select("class", "tokens", "spread").dropDuplicates(["class"])
+    every = heads.select("class", F.explode(F.arrays_zip("tokens", "spread")).alias("t")).select("class", F.col("t.tokens").alias("token"), "t.spread").withColumn("salt", _salt("class", F.col("spread")))
+    # Partial results of each salt first, so that no task sees all rows of a shingle.
+    least = every.groupBy("token", "spread", "salt").agg(F.min("class").alias("first"), F.max("class").alias("last")).groupBy("token", "spread").agg(F.min("first").alias("leader"), F.max("last").alias("last"))
+    lead = least.filter("leader < last").select("token", "leader", F.explode(F.sequence(F.lit(0), F.col("spread") - 1)).alias("salt"))
+    met = stored(every.select("class", "token", "salt").join(lead, ["token", "salt"]).select("leader", "class").distinct())
+    chunks = met.groupBy("leader").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return met.withColumn("salt", _salt("class", F.lit(SALTS))).join(chunks, ["leader", "salt"]).select("leader", "chunks", "class")
 
-    The least class that has a shingle leads it.  All classes of a leader's
-    shingles meet once, with their whole prefixes and sets, however many
-    shingles they share, and only links leave a task; so no pairs are sent.
-    """
-    heads = rows.filter("tokens IS NOT NULL").select("class", "tokens").dropDuplicates(["class"])
-    every = heads.select("class", F.explode("tokens").alias("token"))
-    lead = every.groupBy("token").agg(F.min("class").alias("leader"), F.max("class").alias("last")).filter("leader < last").select("token", "leader")
-    met = checkpointed(every.join(lead, "token").select("leader", "class").distinct())
-    chunks = met.groupBy("leader").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    own = F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int")
-    pair = lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j"))
-    dealt = met.join(chunks, "leader").withColumn("task", F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), pair)))
-    named = met.select("class").distinct()
-    sets = rows.filter("shingles IS NOT NULL").select("class", "n_shingles", "matches", "tokens", "levels", "positions", "shingles").join(named, "class", "left_semi").dropDuplicates(["class"])
-    full = dealt.join(sets, "class").select("leader", "task.i", "task.j", "class", "n_shingles", "matches", "tokens", "levels", "positions", "shingles")
+
+def _compare(percent: int):
+    """A function from the sets of a task to links among them."""
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by("class")
@@ -248,36 +260,68 @@ def _links(rows: DataFrame, percent: int) -> DataFrame:
 
         tokens, levels, places = (lists(c) for c in ("tokens", "levels", "positions"))
         sets = [x.view(np.uint64) for x in lists("shingles")]
-        found = spanning_links(table.column("n_shingles").to_numpy(), table.column("matches").to_numpy(), tokens, levels, places, sets, percent)
+        known = np.array([x or b"" for x in table.column("component").to_pylist()], dtype=object)
+        labels = np.where(known == b"", np.array(name, dtype=object), known)
+        found = spanning_links(table.column("n_shingles").to_numpy(), table.column("matches").to_numpy(), tokens, levels, places, sets, percent, labels)
         return pa.table({"a": pa.array([name[x] for x, _ in found], pa.binary()), "b": pa.array([name[y] for _, y in found], pa.binary())})
 
-    return full.groupBy("leader", "i", "j").applyInArrow(compare, "a binary, b binary").distinct()
+    return compare
+
+
+def class_components(rows: DataFrame, percent: int) -> DataFrame:
+    """(vertex, component) of every class that has a link."""
+    met = stored(_meetings(rows).withColumn("chunk", _salt("class", F.col("chunks"))))
+    of_set = ("class", "n_shingles", "matches", "tokens", "levels", "positions", "shingles")
+    sets = rows.filter("tokens IS NOT NULL").select(*of_set).join(met.select("class").distinct(), "class", "left_semi").dropDuplicates(["class"])
+    guests = met.filter("leader = class AND chunks > 1").withColumn("chunk", F.explode(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: c != F.col("chunk"))))
+    tasks = met.unionByName(guests).select("leader", "chunk", "class").join(sets, "class").withColumn("component", F.lit(None).cast("binary"))
+    links = stored(tasks.groupBy("leader", "chunk").applyInArrow(_compare(percent), "a binary, b binary").distinct())
+    groups = connected_components(links, "a", "b")
+    large = met.filter("chunks > 1")
+    if not large.limit(1).count():
+        return groups
+    named = stored(large.join(groups.withColumnRenamed("vertex", "class"), "class", "left").withColumn("component", F.coalesce("component", "class")))
+    torn = named.groupBy("leader").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("leader").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    left = named.withColumn("salt", _salt("class", F.lit(SALTS))).join(torn, ["leader", "salt"], "left_semi").drop("salt")
+    pair = lambda k: F.struct(F.least(k, F.col("chunk")).alias("i"), F.greatest(k, F.col("chunk")).alias("j"))
+    others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: c != F.col("chunk"))
+    across = left.select("leader", "class", "component", F.explode(F.transform(others, pair)).alias("p")).select("leader", "p.i", "p.j", "class", "component").join(sets, "class")
+    more = stored(across.groupBy("leader", "i", "j").applyInArrow(_compare(percent), "a binary, b binary").distinct())
+    return connected_components(links.union(more), "a", "b") if more.limit(1).count() else groups
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ``n_shingles`` and ``component_id`` (the least id reachable by links) of every document."""
     corpus = Corpus(docs, id_col, text_col)
-    bits = min(56, corpus.word_bits + 5)
+    bits = min(56, max(corpus.word_bits + 5, corpus.shard_bits))
     answers = corpus.answers(_ask(bits, width), _answer)
-    rows = checkpointed(corpus.with_answers(answers, _use(bits, width, percent), SCHEMA))
-
-    groups = connected_components(_links(rows, percent), "a", "b")
-
-    class_id = rows.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
-    named = class_id.join(groups.withColumnRenamed("vertex", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_class = named.join(least, "component").select("class", "component_id")
-    out = rows.select("doc_id", "n_shingles", "class").join(by_class, "class", "left")
+    rows = stored(corpus.with_answers([answers], _use(bits, width, percent), SCHEMA))
+    groups = class_components(rows, percent)
+
+    # One row for each block and class, so even a class of a third of all documents has few.
+    own = rows.filter("class IS NOT NULL").select("block", "class", F.array_min("ids").alias("least"))
+    by_class = own.groupBy("class").agg(F.min("least").alias("least"))
+    linked = stored(by_class.join(groups.withColumnRenamed("vertex", "class"), "class"))
+    least = linked.groupBy("component").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    named = linked.withColumn("salt", _salt("class", F.lit(SALTS))).join(least, ["component", "salt"]).select("class", "component_id")
+    homes = own.select("block", "class").join(by_class.join(named, "class", "left").select("class", F.coalesce("component_id", "least").alias("component_id")), "class")
+    listed = rows.select("block", "class", "ids", "n_shingles").join(homes, ["block", "class"], "left")
+    out = listed.select(F.explode("ids").alias("doc_id"), "n_shingles", "component_id")
     return out.select(F.col("doc_id").alias(id_col), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents, with all their columns, less those whose component has a lesser id; one of equal rows.
+    """Documents, with all their columns, less those whose component has a lesser id.
 
-    Documents with a null id stay.
+    Of rows with one id and equal texts, which are copies of each other, one
+    stays, whatever their other columns hold.  Documents with a null id stay.
     """
-    gone = jaccard_components(docs, width, percent, id_col, text_col).filter(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("gone_id"))
-    kept = docs.join(gone, docs[id_col] == F.col("gone_id"), "left_anti")
-    again = docs.groupBy(docs[id_col].alias("again_id")).count().filter("count > 1 AND again_id IS NOT NULL").select("again_id")
-    on = kept[id_col] == F.col("again_id")
-    return kept.join(again, on, "left_anti").unionByName(kept.join(again, on, "left_semi").dropDuplicates([id_col, text_col]))
+    found = jaccard_components(docs, width, percent, id_col, text_col).filter(F.col(id_col).isNotNull())
+    marks = found.groupBy(F.col(id_col).alias("marked_id")).agg(F.min(F.col("component_id") == F.col(id_col)).alias("stays"), (F.count("*") > 1).alias("again")).filter("NOT stays OR again")
+    marks = stored(marks.select("marked_id", "stays"))
+    mark = free_name("stays", docs.columns)
+    kept = docs.join(marks.withColumnRenamed("stays", mark), docs[id_col] == F.col("marked_id"), "left").filter(F.coalesce(F.col(mark), F.lit(True)))
+    if not marks.filter("stays").limit(1).count():
+        return kept.select(*[docs[c] for c in docs.columns])
+    single, again = kept.filter(F.col(mark).isNull()), kept.filter(F.col(mark).isNotNull()).dropDuplicates([id_col, text_col])
+    return single.unionByName(again).select(*docs.columns)

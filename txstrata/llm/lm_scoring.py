@@ -1,18 +1,30 @@
 """N-gram language-model scores from Elias-Fano tries over shards of the corpus' n-grams.
 
-Blocks of documents (:mod:`blocks`) send their distinct n-grams with counts of
-the training documents.  Each shard merges them and keeps one trie for each
-order: contexts, monotone pointers and successors in Elias-Fano levels, with
-8-bit codes, in a memory-mapped file.  The blocks' n-grams are looked up by
-successor search within their context's range, and the codes go back.
-
-A node's code stands for the n-gram's smoothed relative frequency on a
-logarithmic scale (exact below 64 occurrences); a context's frequency is that
-of the n-gram one shorter, so the probability of w after h is
-``(c(hw) + s p(w | shorter h)) / (c(h) + s)`` with a pseudo-count ``s`` for each
-order and context, down to the add-half unigram estimate, whose counts are exact.
-Keys of contexts are salted with four bits of the successor, so a word that
-makes up a third of all text is spread over 16 ranges.
+Two rounds of questions go from blocks of documents to shards of n-grams
+(:mod:`blocks`).  In the first the blocks learn exact counts of their words and
+bigrams in the training documents.  In the second they send their trigrams
+w1 w2 w3 to the shard that owns w2 w3, each with two quantised numbers that
+hold wherever the trigram occurs: the smoothed probability p(w3 | w2) and the
+count of its context w1 w2.  A shard keeps them as a trie in compact levels:
+
+- level one has a node for each bigram w2 w3, ascending, with the quantised
+  p(w3 | w2); monotone pointers bound each node's range in level two;
+- level two has the words w1 that extend the node to the left, ascending within
+  their node, with the quantised smoothed probability p(w3 | w1 w2).
+
+The levels are Elias-Fano coded in one memory-mapped file and searched there:
+a node by its high bits and then within the few values that share them, a word
+w1 as successor within the range of its node.  Where the trie has no such word,
+the answer backs off along the path, to the node's probability times the weight
+that the context leaves to shorter histories.
+
+Smoothing is p(w | h) = (c(hw) + s p(w | shorter h)) / (c(h) + s), down to the
+add-half estimate of words, with a pseudo-count s = k c(h)**e for each order
+(``PSEUDO``); counts are exact, so probabilities of a context sum to 1 but for
+the quantisation.  Keys are hashed as wholes, so a
+word that makes up a third of all text loads all shards alike.  Of the bits of
+a trigram's key, the bigram takes as many as tell the corpus' words apart and
+six more; a word w1 has the rest, up to 64, within its node.
 
 Defined results: null and empty texts consist of their end alone; repeated rows
 are counted and scored one by one; rows with a null id are training rows and
@@ -22,23 +34,44 @@ training text every count is 0.
 
 from __future__ import annotations
 
+from zlib import crc32
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import elias_fano
-from .blocks import Corpus, merge_counts
+from .blocks import Answered, Asked, Corpus, as_bytes, from_bytes
 from .common import mix64, text_buffer, word_hashes, word_spans
+from .storage import stored
 
-ORDER = 3
-#: Pseudo-counts of the orders 2, 3, ...: a constant, and a share of the context's frequency, which bounds what an
-#: unseen word after a frequent context loses, however large the corpus.
-PSEUDO = ((300.0, 1.0), (30.0, 0.5))
-SUCCESSOR_BITS = 22
+#: Pseudo-counts k c**e of the orders 2 and 3, as (k, e).
+PSEUDO = ((10.0, 0.7), (4.0, 0.7))
 
 _END = mix64(np.array([0xE0D], dtype=np.uint64))[0]
 _BEGIN = mix64(np.array([0xB0B], dtype=np.uint64))[0]
 
+#: Log10 probabilities of the codes 1 to 255: from 1 down to 1e-20, in steps that grow from 4 per cent near 1 to 14 at
+#: 1e-4; code 0 is no value.
+LOWEST, BEND = -20.0, 0.5
+STEP = np.log1p(-LOWEST * BEND) / 254
+LOG_VALUE = np.concatenate([[np.nan], -np.expm1(STEP * np.arange(255)) / BEND])
+
+
+def quantised(p: np.ndarray) -> np.ndarray:
+    """Codes of probabilities."""
+    down = -np.log10(np.clip(p, 10.0**LOWEST, 1.0))
+    return (np.rint(np.log1p(down * BEND) / STEP) + 1).astype(np.uint8)
+
+
+def value_of(code: np.ndarray) -> np.ndarray:
+    return 10.0 ** LOG_VALUE[code]
+
+
+def weight(context: np.ndarray, pseudo: tuple[float, float]) -> np.ndarray:
+    """The pseudo-count of contexts that occur so often; 1 where one never does."""
+    return np.where(context > 0, pseudo[0] * np.maximum(context, 1.0) ** pseudo[1], 1.0)
+
 
 def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens, an end after each text, and each token's text."""
@@ -54,120 +87,129 @@ def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, of
 
 
-def ngram_keys(h: np.ndarray, of: np.ndarray, bits: int, order: int = ORDER) -> list[np.ndarray]:
-    """Keys of the n-gram that ends at each token, for the orders 2 to ``order``; short histories begin with a mark."""
-    succ_bits = min(SUCCESSOR_BITS, bits - 8)
-    new = np.concatenate([[True], of[1:] != of[:-1]]) if len(of) else np.zeros(0, bool)
-    salt = mix64(h) & np.uint64(15)
-    context, begun, keys = np.zeros(len(h), dtype=np.uint64), np.zeros(len(h), dtype=bool), []
-    previous = h
-    for n in range(2, order + 1):
-        # the token n - 1 places before, or the mark once the text's begin is passed
-        shifted = np.concatenate([np.full(1, _BEGIN), previous[:-1]]) if len(h) else previous
-        before_begin = new if n == 2 else np.concatenate([[True], begun[:-1]]) | new
-        word = np.where(before_begin, _BEGIN, shifted)
-        context = mix64(context * np.uint64(7) + word)
-        previous, begun = word, before_begin
-        successor = mix64(context * np.uint64(3) + h) >> np.uint64(64 - succ_bits)  # relative to its context
-        keys.append(((mix64(context + salt) >> np.uint64(64 - (bits - succ_bits))) << np.uint64(succ_bits)) | successor)
-    return keys
-
-
-def _counted(keys: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and how often each occurs among training tokens."""
-    order = np.argsort(keys)
+def histories(h: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word before each token and the one before that; a mark before a text's first."""
+    one, two = np.full(len(h), _BEGIN), np.full(len(h), _BEGIN)
+    same = of[1:] == of[:-1]
+    one[1:][same] = h[:-1][same]
+    same = of[2:] == of[:-2]
+    two[2:][same] = h[:-2][same]
+    return one, two
+
+
+def bigram_keys(before: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return mix64(mix64(before) * np.uint64(3) + h)
+
+
+def distinct(keys: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, how often each occurs among training tokens, and where each first stands."""
+    order = np.argsort(keys, kind="stable")
     s = keys[order]
     first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
-    return s[first], np.add.reduceat(trained[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+    return s[first], np.add.reduceat(trained[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64), order[first]
 
 
 def held_out_ids(ids: pa.Array, folds: int, fold: int) -> np.ndarray:
-    from zlib import crc32
-
     return np.array([i is not None and crc32(b"%d" % i) % folds == fold for i in ids.to_pylist()], dtype=bool)
 
 
-def _block(batches, folds: int, fold: int):
-    """Ids, held-out flags, token hashes and text numbers of a whole block."""
-    ids, held, hashes, ofs, n = [], [], [], [], 0
-    for b in batches:
-        h, of = tokens_of(b.column(1))
-        ids.append(b.column(0))
-        held.append(held_out_ids(b.column(0), folds, fold))
-        hashes.append(h)
-        ofs.append(of + n)
-        n += b.num_rows
-    return pa.chunked_array(ids, pa.int64()), np.concatenate(held), np.concatenate(hashes), np.concatenate(ofs)
+class Block:
+    """Tokens of a whole block and their keys."""
+
+    def __init__(self, batches, folds: int, fold: int, bits: tuple[int, int], pseudo=PSEUDO) -> None:
+        ids, held, hashes, ofs, n = [], [], [], [], 0
+        for b in batches:
+            h, of = tokens_of(b.column(1))
+            ids.append(b.column(0))
+            held.append(held_out_ids(b.column(0), folds, fold))
+            hashes.append(h)
+            ofs.append(of + n)
+            n += b.num_rows
+        self.ids, self.held, self.pseudo, self.bits = pa.chunked_array(ids, pa.int64()), np.concatenate(held), pseudo, bits
+        self.h, self.of = np.concatenate(hashes), np.concatenate(ofs)
+        self.trained = ~self.held[self.of]
+        one, two = histories(self.h, self.of)
+        pair = bigram_keys(one, self.h)
+        self.pairs = pair >> np.uint64(64 - bits[0])
+        node, word = bits[1], 64 - bits[1]
+        self.triples = ((pair >> np.uint64(64 - node)) << np.uint64(word)) | (mix64(mix64(two) + pair) >> np.uint64(64 - word))
+        self.first = np.concatenate([[True], self.of[1:] != self.of[:-1]]) if len(self.of) else np.zeros(0, bool)
+
+    def questions(self) -> list[Asked]:
+        """Words and bigrams."""
+        return [Asked(*distinct(self.h, self.trained)[:2], 64), Asked(*distinct(self.pairs, self.trained)[:2], self.bits[0])]
+
+    def learn(self, found: Answered) -> None:
+        """Takes the counts in, and makes the probabilities up to order 2."""
+        words, place = np.unique(self.h, return_inverse=True)
+        count = from_bytes(found.rows[0])
+        self.types, self.total = found.sums.tolist()
+        self.count = count[place].astype(np.float64)
+        self.base = (self.count + 0.5) / (self.total + 0.5 * (self.types + 1))
+        _, place = np.unique(self.pairs, return_inverse=True)
+        pair_count = from_bytes(found.rows[1])[place].astype(np.float64)
+        # A text's begin occurs as often as its end.
+        ends = float(count[np.searchsorted(words, _END)]) if len(words) else 0.0
+        back = lambda values: np.where(self.first, ends, np.concatenate([[0.0], values[:-1]])) if len(values) else values
+        context, self.context = back(self.count), back(pair_count)
+        s = weight(context, self.pseudo[0])
+        self.p2 = (pair_count + s * self.base) / (context + s)
 
+    def requests(self) -> list[Asked]:
+        """Trigrams, with the code of p(w3 | w2) and that of their context's count."""
+        keys, counts, at = distinct(self.triples, self.trained)
+        return [Asked(keys, counts, 64, np.stack([quantised(self.p2[at]), elias_fano.quantise(self.context[at])], axis=1))]
 
-def score_documents(docs: DataFrame, folds: int = 5, fold: int = 1, order: int = ORDER, pseudo: tuple[tuple[float, float], ...] = PSEUDO, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Scores of all texts under a model of those whose CRC-32 of the id modulo ``folds`` is not ``fold``."""
-    corpus = Corpus(docs, id_col, text_col)
-    bits = min(62, max(34, corpus.word_bits + 20))  # one false match in about a million lookups, at any size
 
-    def ask(batches):
-        _, held, h, of = _block(batches, folds, fold)
-        trained = ~held[of]
-        return [(*_counted(h, trained), 64), *[(*_counted(k, trained), bits) for k in ngram_keys(h, of, bits, order)]]
+def count_answers(asked: list[Asked]) -> Answered:
+    """Exact counts of words and bigrams; the number of words known and the tokens they make up are summed."""
+    words, pairs = (asked[k].counts if k < len(asked) else np.zeros(0, np.int64) for k in (0, 1))
+    return Answered([as_bytes(words), as_bytes(pairs)], np.array([(words > 0).sum(), words.sum()], dtype=np.uint64))
+
 
+def score_documents(docs: DataFrame, folds: int = 5, fold: int = 1, pseudo: tuple[tuple[float, float], ...] = PSEUDO, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Scores of all texts under a model of those whose CRC-32 of the id modulo ``folds`` is not ``fold``."""
+    corpus = Corpus(docs, id_col, text_col)
+    bits = (min(62, max(34, corpus.word_bits + 20)), min(44, max(20, corpus.word_bits + 6, corpus.shard_bits)))
     shard_bits = corpus.shard_bits
 
-    def answer(asked, n_blocks):
-        words, counts = merge_counts(asked.get(0, []))
-        known = counts > 0
-        head = np.array([known.sum(), counts.sum()], dtype=np.uint64).tobytes()
-        replies = [[head, *[b""] * (order + 1)] for _ in range(n_blocks)]
-        for block, own, _ in asked.get(0, []):
-            found = counts[np.searchsorted(words, own)]
-            big = np.flatnonzero(found > 254)
-            replies[block][1:3] = [np.minimum(found, 255).astype(np.uint8).tobytes(), found[big].astype(np.uint64).tobytes()]
-        for kind in range(1, order):
-            lists = asked.get(kind, [])
-            keys, counts = merge_counts(lists)
-            seen, own_bits = counts > 0, bits - shard_bits
-            trie = elias_fano.Trie(keys[seen], elias_fano.quantise(counts[seen]), own_bits, min(SUCCESSOR_BITS, bits - 8, own_bits - 1))
-            for block, own, _ in lists:
-                replies[block][2 + kind] = trie.lookup(own).tobytes()
-        out = []
-        for block, parts in enumerate(replies):
-            out.append((block, np.array([len(p) for p in parts], dtype=np.uint64).tobytes() + b"".join(parts)))
-        return out
-
-    def use(batches, replies):
-        ids, held, h, of = _block(batches, folds, fold)
-        n = len(held)
-        columns: list[list[bytes]] = [[] for _ in range(order + 2)]
-        for r in replies:
-            sizes = np.frombuffer(r, np.uint64, order + 2).astype(np.int64)
-            at = 8 * (order + 2)
-            for c, size in zip(columns, sizes, strict=True):
-                c.append(r[at : at + size])
-                at += size
-        heads = np.array([np.frombuffer(x, np.uint64) for x in columns[0]], dtype=np.uint64)
-        types, total = (int(x) for x in heads.sum(axis=0)) if len(heads) else (0, 0)
-        count = np.frombuffer(b"".join(columns[1]), np.uint8).astype(np.int64)
-        count[count == 255] = np.frombuffer(b"".join(columns[2]), np.uint64).astype(np.int64)
-        words, place = np.unique(h, return_inverse=True)
-        c = count[place].astype(np.float64)
-        base = (c + 0.5) / (total + 0.5 * (types + 1))
-        p, context = base, None
-        starts = np.concatenate([[True], of[1:] != of[:-1]]) if len(of) else np.zeros(0, bool)
-        ends = float(count[np.searchsorted(words, _END)]) if len(words) else 0.0
-        context = np.where(starts, ends, np.concatenate([[0.0], c[:-1]])) if len(c) else c
-        for k, (keys, (constant, share)) in enumerate(zip(ngram_keys(h, of, bits, order), pseudo, strict=False)):
-            distinct, place = np.unique(keys, return_inverse=True)
-            found = elias_fano.CODEBOOK[np.frombuffer(b"".join(columns[3 + k]), np.uint8)][place]
-            weight = constant + share * context
-            p = np.minimum((np.minimum(found, context) + weight * p) / (context + weight), 1.0)
-            # the next context ends here: its frequency is this n-gram's, one token back
-            context = np.where(starts, ends, np.concatenate([[0.0], found[:-1]])) if len(found) else found
-        add = lambda w: np.bincount(of, weights=w, minlength=n)
+    def block_of(batches, found: Answered | None = None) -> Block:
+        block = Block(batches, folds, fold, bits, pseudo)
+        if found is not None:
+            block.learn(found)
+        return block
+
+    def trie_answers(asked: list[Asked]) -> Answered:
+        if not asked:
+            return Answered([np.zeros((0, 1), np.uint8)], np.zeros(0, np.uint64))
+        own = asked[0]
+        seen = own.counts > 0
+        p2, context = value_of(own.notes[:, 0]), elias_fano.CODEBOOK[own.notes[:, 1]]
+        s = weight(context, pseudo[1])
+        p3 = np.minimum((np.minimum(own.counts, context) + s * p2) / (context + s), 1.0)
+        trie = elias_fano.Trie(own.keys[seen], own.notes[seen, 0], quantised(p3[seen]), own.bits, 64 - bits[1])
+        try:
+            node, leaf = trie.lookup(own.keys)
+        finally:
+            trie.close()
+        shorter = np.where(node > 0, node, own.notes[:, 0])
+        return Answered([np.where(leaf > 0, leaf, quantised(value_of(shorter) * s / (context + s)))[:, None].astype(np.uint8)], np.zeros(0, np.uint64))
+
+    counts = stored(corpus.answers(lambda batches: block_of(batches).questions(), count_answers))
+    scored = corpus.answers(lambda batches, found: block_of(batches, found).requests(), trie_answers, notes=2, replies=counts)
+
+    def use(_, batches, found: Answered):
+        block = block_of(batches, Answered(found.rows[:2], found.sums[:2]))
+        n = len(block.held)
+        _, place = np.unique(block.triples, return_inverse=True)
+        p = LOG_VALUE[found.rows[2][place, 0]]
+        add = lambda w: np.bincount(block.of, weights=w, minlength=n)
         yield pa.table(
             {
-                "doc_id": ids, "held_out": pa.array(held), "n_tokens": pa.array(np.bincount(of, minlength=n).astype(np.int64)), "n_known": pa.array(add(c > 0).astype(np.int64)),
-                "train_tokens": pa.array(np.full(n, total, dtype=np.int64)), "base_score": pa.array(add(np.log10(base))), "score": pa.array(add(np.log10(p))),
+                "doc_id": block.ids, "held_out": pa.array(block.held), "n_tokens": pa.array(np.bincount(block.of, minlength=n).astype(np.int64)), "n_known": pa.array(add(block.count > 0).astype(np.int64)),
+                "train_tokens": pa.array(np.full(n, block.total, dtype=np.int64)), "base_score": pa.array(add(np.log10(block.base))), "score": pa.array(add(p)),
             }
         )
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return corpus.with_answers(corpus.answers(ask, answer), use, schema).withColumnRenamed("doc_id", id_col)
+    return corpus.with_answers([counts, scored], use, schema).withColumnRenamed("doc_id", id_col)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from . import bpe_chunks, chat_template, fingerprints, jaccard_join, language_id, lm_scoring, packing, quality_model, quality_rules, token_counts
 from .common import id_crc
-from .storage import checkpointed
+from .storage import stored
 
 # The end-of-document token of the packing contract.
 END_ID = 2
@@ -60,7 +60,7 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = checkpointed(quality_model.document_statistics(_table(spark, sf_dir, "documents")))
+    stats = stored(quality_model.document_statistics(_table(spark, sf_dir, "documents")))
     forest = quality_model.fit(stats, _table(spark, sf_dir, "labels"), id_crc() % 5 != 0)
     return quality_model.score(stats, forest, threshold=0.3).select("doc_id", _held_out().alias("held_out"), "score", "predicted")
 

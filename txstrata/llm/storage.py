@@ -2,21 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
+from ..operators.rounds import Rounds, checkpoint_dir, stored
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where it is unset (one machine, tests) one is made."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-    return named or sc.getCheckpointDir()
-
-
-def checkpointed(frame: DataFrame) -> DataFrame:
-    """The same rows, computed now and kept in the shared folder, without lineage."""
-    checkpoint_dir(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+__all__ = ["Rounds", "checkpoint_dir", "stored"]
