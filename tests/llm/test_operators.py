@@ -47,24 +47,60 @@ def none(spark):
     return spark.createDataFrame([], "doc_id long, text string, lang string")
 
 
+def brute_digest(text):
+    """The digest of a text, byte triplet by byte triplet."""
+    data, counts = text.encode(), [0] * fingerprints.BUCKETS
+    value = [int(v) >> 32 for v in common._BYTE_VALUE]
+    for x, y, z in zip(data, data[1:], data[2:], strict=False):
+        h = (value[x] * 0x85EBCA6B + value[y] * 0xC2B2AE35 + value[z]) % 2**32
+        h = (h ^ h >> 15) * 0x27D4EB2F % 2**32
+        counts[h * fingerprints.BUCKETS >> 32] += 1
+    ranked = sorted(counts)
+    cuts = [ranked[fingerprints.BUCKETS * k // 4 - 1] for k in (1, 2, 3)]
+    return round(4 * math.log2(len(data) + 1)), [sum(c > q for q in cuts) if len(data) > 2 else 0 for c in counts]
+
+
+def brute_likeness(a, b):
+    most = sum(map(max, a[1], b[1]))
+    body = sum(abs(x - y) for x, y in zip(a[1], b[1], strict=True)) / most if most else 0.0
+    return 1 - min(1.0, body + 0.2 * min(1.0, abs(a[0] - b[0]) / 8))
+
+
+def digest_text(d):
+    return f"{d[0]:02x}" + "".join(f"{64 * a + 16 * b + 4 * c + e:02x}" for a, b, c, e in zip(*[iter(d[1])] * 4, strict=True))
+
+
 def test_fingerprints(spark, docs, none):
     t = {i: x or "" for i, x in enumerate(some_texts())}
+    t[len(t)] = "a very long text " * 60_000
     n = len(t)
-    rows = {r["doc_id"]: r for r in fingerprints.with_edits(docs).collect()}
+    clash = spark.createDataFrame([(i, x, "f", 0.5) for i, x in t.items()], "doc_id long, text string, fingerprint string, near_next double").repartition(4)
+    rows = {r["doc_id"]: r for r in fingerprints.with_edits(clash).collect()}
     assert sorted(rows) == list(range(n))
     for i in range(n):
         after = t[i - 1] if i else t[n - 1]
         half = len(t[i]) // 2
         edited = t[i][: len(t[i]) - half] + after[:half]
-        own, edit, nxt = (fingerprints.digests(pa.array([x])) for x in (t[i], edited, after))
+        own, edit, nxt = map(brute_digest, (t[i], edited, after))
         r = rows[i]
-        assert (r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"]) == (len(t[i]), sha256(edited.encode()).hexdigest(), fingerprints.as_text(own)[0], fingerprints.as_text(edit)[0])
-        assert r["near_edited"] == fingerprints.likeness(own, edit)[0] and r["near_next"] == fingerprints.likeness(own, nxt)[0] and 0 <= r["near_next"] <= 1
+        assert (r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"]) == (len(t[i]), sha256(edited.encode()).hexdigest(), digest_text(own), digest_text(edit))
+        assert r["near_edited"] == pytest.approx(brute_likeness(own, edit)) and r["near_next"] == pytest.approx(brute_likeness(own, nxt)) and 0 <= r["near_next"] <= 1
     assert fingerprints.with_edits(none).count() == 0
-    odd = spark.createDataFrame([(None, "no id"), (5, "five"), (5, "five"), (2, "two")], "doc_id long, text string")
-    assert [(r["doc_id"], r["edited_sha256"]) for r in fingerprints.with_edits(odd).orderBy(F.desc_nulls_last("doc_id"), "edited_sha256").collect()][-1] == (None, sha256(b"no fi").hexdigest())
-    assert fingerprints.with_edits(odd.filter("doc_id = 2")).first()["near_next"] == 1.0
-    assert fingerprints.fingerprints(docs).count() == n
+    assert fingerprints.with_edits(clash.filter("doc_id = 9")).first()["near_next"] == 1.0
+    assert fingerprints.fingerprints(docs).count() == n - 1
+
+
+@pytest.mark.parametrize("known", [0, 1, 40])
+def test_fingerprints_follow_one_another_without_ids(spark, known):
+    """Whatever has an id comes first, by descending id; then the rest by a hash of the text; then the first again."""
+    rows = [(5 * i, f"text {i} " * (i % 5 + 1)) for i in range(known)] + [(None, f"no id {i}") for i in range(60)] + [(0, "text 0 ")] * 2 * bool(known)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    order = [r["text"] for r in frame.withColumn("h", F.shiftrightunsigned(F.when(F.col("doc_id").isNull(), F.xxhash64("text")), 1)).orderBy(F.desc_nulls_last("doc_id"), "h", "text").collect()]
+    want = Counter()
+    for own, after in zip(order, [*order[1:], order[0]], strict=True):
+        half = len(own) // 2
+        want[sha256((own[: len(own) - half] + after[:half]).encode()).hexdigest()] += 1
+    assert Counter(r["edited_sha256"] for r in fingerprints.with_edits(frame).collect()) == want
 
 
 def test_templates():
@@ -99,7 +135,10 @@ def test_conversations(spark):
     by = {}
     for c, t, role, text in rows:
         by.setdefault(c, []).append((t, role or "", text or ""))
-    assert found == whole and set(found) == set(by)
+    assert found == whole == {r["conv_id"]: r for r in chat_template.conversation_digests(formatted, in_order=True).collect()} and set(found) == set(by)
+    plan = chat_template.conversation_digests(chat_template.format_conversations(turns), in_order=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert chat_template.conversation_digests(chat_template.format_conversations(turns.limit(0)), in_order=True).count() == 0
     for c, own in by.items():
         own.sort()
         loss = "".join(x for _, role, x in own if role == "assistant")
@@ -209,7 +248,7 @@ def test_messages_grow_with_the_input(spark):
         found = corpus.answers(ask, answer)
         assert found.groupBy("node").count().agg(F.max("count")).first()[0] <= 8
         sent[n] = (found.count(), corpus.n_blocks, len(corpus.widths))
-        total = corpus.with_answers([found], lambda block, batches, f: [pa.table({"n": [int(f.sums[0])]})], "n long").distinct().collect()
+        total = corpus.with_answers(found, lambda block, batches, f: [pa.table({"n": [int(f.sums[0])]})], "n long").distinct().collect()
         assert [r["n"] for r in total] == [36 * n]  # sums reach every block
     (a, blocks_a, _), (b, blocks_b, levels) = sent[400], sent[1600]
     assert levels >= 2 and b / a <= 1.2 * blocks_b / blocks_a
@@ -304,6 +343,41 @@ def read(spark, name):
     return spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet")
 
 
+def brute_probabilities(net, row):
+    """Responses of all filters at all places by direct convolution, their greatest, softmax."""
+    pooled = []
+    for w in net.filters:
+        places = [[sum(float(w[p, row[i + p], f]) for p in range(len(w))) for i in range(len(row) - len(w) + 1)] for f in range(w.shape[2])]
+        pooled += [max(0.0, max(p)) for p in places]
+    z = [sum(pooled[k] * float(net.dense[k, j]) for k in range(len(pooled))) + float(net.offset[j]) for j in range(len(net.labels))]
+    e = [math.exp(x - max(z)) for x in z]
+    return [x / sum(e) for x in e]
+
+
+def test_windows_against_direct_convolution(spark):
+    rng = np.random.default_rng(6)
+    net = language_id.Network(["a", "b", "c"], [rng.normal(0, 1, (w, 256, language_id.FILTERS)).astype(np.float32) for w in language_id.WIDTHS], rng.normal(0, 1, (len(language_id.WIDTHS) * language_id.FILTERS, 3)).astype(np.float32), rng.normal(0, 1, 3).astype(np.float32))
+    texts = ["Some words, ÄÖ and more " * k for k in (1, 9, 30)] + ["x", None, "12 34", "", "Some words, ÄÖ and more "]
+    rows = spark.createDataFrame([(i, t, "q", 0.0) for i, t in enumerate(texts)] + [(None, "null id", "q", 0.0), (0, texts[0], "q", 0.0)], "doc_id long, text string, lang_pred string, score double")
+    out = language_id.predict_languages(rows, net).collect()
+    assert len(out) == len(texts) + 2
+    for r in out:
+        text = "null id" if r["doc_id"] is None else texts[r["doc_id"]]
+        if not any(c.isalpha() for c in text or ""):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        data = bytes(c + 32 if 65 <= c < 91 else c for c in text.encode())
+        parts = [data[i : i + language_id.WINDOW] for i in range(0, len(data), language_id.WINDOW)]
+        total = np.sum([np.array(brute_probabilities(net, part.ljust(language_id.WINDOW, b"\0"))) * len(part) for part in parts], axis=0) / len(data)
+        assert r["lang_pred"] == net.labels[int(total.argmax())] and r["score"] == pytest.approx(total.max(), abs=1e-4)
+    assert language_id.kept_documents(rows, net, least=0.0).columns == rows.columns
+
+
+def test_every_language_is_learned(spark):
+    rows = spark.createDataFrame([(i, f"word{chr(97 + i % 26)}{i % 300} " * 10, f"l{i % 300}") for i in range(1200)], "doc_id long, text string, lang string")
+    assert len(set(language_id.sample_windows(rows, F.lit(True), per_language=50)[1])) == 300
+
+
 def test_languages(spark, none):
     docs = read(spark, "documents")
     net = language_id.train(*language_id.sample_windows(docs, id_crc() % 5 != 0))
@@ -356,6 +430,17 @@ def test_quality_rules(spark, docs, none):
     assert kept <= 0.02 * clean.count()
 
 
+def test_equal_hashes_are_told_apart(monkeypatch):
+    """Lines and words are compared byte by byte, so even a useless hash gives right results."""
+    text = ["one two three four\nfive six\none two three four\nx\n" * 2, "a b c d e f g h", "a b c a b c\n a b c", "\n\n \n"]
+    want = [quality_rules.repeated(t.encode()) for t in text]
+    plain = quality_rules._measurer()(pa.array(text))
+    assert list(zip(plain[4].tolist(), plain[5].tolist(), strict=True)) == want and want[0][0] > 0
+    monkeypatch.setattr(quality_rules, "word_hashes", lambda buf, begin, end, lower: np.zeros(len(begin), np.uint64))
+    bad = quality_rules._measurer()(pa.array(text))
+    assert list(zip(bad[4].tolist(), bad[5].tolist(), strict=True)) == want
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

@@ -76,6 +76,69 @@ def test_chunks_follow_content():
     assert len(cut(body) & cut(b"something in front " + body)) >= len(cut(body)) - 2
 
 
+class EdgeEngine:
+    """Ids are bytes; in a text that doesn't begin with a blank those within ``reach`` words of its ends are others."""
+
+    def __init__(self, reach):
+        self.reach, self.token = reach, [b"%c" % (b % 256) for b in range(768)]
+
+    def encode(self, text):
+        data, words = text.encode(), text.split(" ")
+        cut = not text.startswith(" ")
+        head, tail = (len(" ".join(w).encode()) * cut for w in (words[: self.reach], words[-self.reach :]))
+        return [b + (256 if i < head else 512 if i >= len(data) - tail else 0) for i, b in enumerate(data)]
+
+    def decode(self, ids):
+        return bytes(i % 256 for i in ids)
+
+
+def test_joins_are_widened_until_they_agree():
+    """Chunks are wrong ``reach`` words deep, so windows have to grow beyond that; at last they take chunks whole."""
+    rng = random.Random(5)
+    text = "".join(" " + rng.choice(["alpha", "beta", "gamma", "delta", "epsilon"]) for _ in range(3000)) + " 1 2 3 " * 700 + "end of it all"
+    widths = {}
+    for reach in (1, 2, 3, 50):
+        coder, seen = bpe_chunks.Coder(EdgeEngine(reach)), []
+        window = coder.window
+        coder.window = lambda t, window=window, seen=seen: (seen.append(len(t)), window(t))[1]
+        parts = coder.whole(text)
+        assert b"".join(p[1] for p in parts) == text.encode()
+        assert np.frombuffer(b"".join(p[0] for p in parts), "<u4").tolist() == list(text.encode())
+        widths[reach] = sum(seen)
+    assert widths[1] < widths[2] < widths[3] < widths[50]
+
+
+def test_chunks_are_bounded():
+    for data in (b"x" * 100_000, "é".encode() * 50_000, b"\0" * 9000):
+        ends = bpe_chunks.chunk_bounds(data)
+        assert ends[-1] == len(data) and max(b - a for a, b in zip([0, *ends], ends, strict=False)) <= bpe_chunks.MOST_BYTES
+        assert all(data[a:b].decode() for a, b in zip([0, *ends], ends, strict=False))
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"word{i % 997} ünï {i}." for i in range(120_000))
+    rows = spark.createDataFrame([(1, long), (2, "x" * 300_000 + " y")], "doc_id long, text string")
+    words, pieces = Tokenizer.from_file(WORDS), Tokenizer.from_file(BYTES)
+    for r in token_counts.token_counts(rows, WORDS).collect():
+        text = long if r["doc_id"] == 1 else "x" * 300_000 + " y"
+        assert r["n_tokens"] == len(words.encode(text, add_special_tokens=False).ids)
+    ids = pieces.encode(long, add_special_tokens=False).ids
+    r = bpe_chunks.encode_documents(rows.filter("doc_id = 1"), BYTES, with_ids=False).first()
+    assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+    assert packing.pack(rows, WORDS, 2).groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).filter("`sum(length)` <> `max(doc_tokens)`").count() == 0
+
+
+def test_batches_of_packing_have_one_length(spark):
+    rows = spark.createDataFrame([(i, "word " * (i * 37 % 900)) for i in range(300)], "doc_id long, text string").coalesce(2)
+    by = {}
+    for r in packing.pack(rows, WORDS, 2, with_ids=False).collect():
+        by.setdefault(r["batch_id"], []).append((r["length"], r["batch_row"]))
+    for own in by.values():
+        length = own[0][0]
+        assert {x for x, _ in own} == {length} and sorted(y for _, y in own) == list(range(len(own))) and len(own) * length <= packing.BATCH_TOKENS
+    assert len(by) < 60
+
+
 def test_packing(docs):
     lib = Tokenizer.from_file(WORDS)
     rows = [r for r in packing.pack(docs, WORDS, 2).collect() if r["doc_id"] not in (3, None)]

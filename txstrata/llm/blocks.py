@@ -18,11 +18,9 @@ import ctypes
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -256,21 +254,18 @@ class Corpus:
             found = levels[level - 1].groupBy("node").cogroup(at(found).groupBy("node")).applyInArrow(downward(level), REPLY)
         return found
 
-    def with_answers(self, answers: list[DataFrame], use: Callable, schema: str) -> DataFrame:
-        """``use(block, batches of a block, its Answered)`` gives the result's tables; kinds and sums of later answers follow those of earlier ones."""
+    def with_answers(self, answers: DataFrame, use: Callable, schema: str) -> DataFrame:
+        """``use(block, batches of a block, its Answered)`` gives the result's tables."""
 
         def run(own: pa.Table, replies: pa.Table) -> pa.Table:
             if not own.num_rows:
                 return empty
-            rounds = [replied(replies.filter(pc.equal(replies.column("round"), k))) for k in range(n_rounds)]
-            found = Answered([r for x in rounds for r in x.rows], np.concatenate([x.sums for x in rounds]))
-            out = pa.concat_tables([empty, *use(own.column("block")[0].as_py(), payload_batches(own.column("payload")), found)])
+            out = pa.concat_tables([empty, *use(own.column("block")[0].as_py(), payload_batches(own.column("payload")), replied(replies))])
             release_memory()
             return out
 
-        n_rounds, empty = len(answers), to_arrow_schema(_parse_datatype_string(schema)).empty_table()
-        every = reduce(DataFrame.unionByName, [a.withColumn("round", F.lit(k)) for k, a in enumerate(answers)])
-        return self.blocks.groupBy("block").cogroup(every.repartition(self.n_blocks, "node").groupBy("node")).applyInArrow(run, schema)
+        empty = to_arrow_schema(_parse_datatype_string(schema)).empty_table()
+        return self.blocks.groupBy("block").cogroup(answers.repartition(self.n_blocks, "node").groupBy("node")).applyInArrow(run, schema)
 
 
 def blocks_of(hashes: np.ndarray, n: int) -> np.ndarray:

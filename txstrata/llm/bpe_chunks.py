@@ -2,12 +2,16 @@
 
 A rolling hash over the bytes of a text cuts it where the content says so, so
 a passage shared by documents gives the same chunks in all of them.  A chunk is
-encoded once in a worker and kept, with its decoded bytes, in a bounded cache.
-Next to a join the ids of the two chunks may differ from those of the whole:
-the tail of one and the head of the next, two forced word bounds deep, are
-encoded again together, and farther out until the first and the last id agree
-with those of the chunks.  Inside a forced bound nothing can depend on what
-lies beyond it, so the result is that of the whole text.
+encoded once in a worker and kept, with its ids, its decoded bytes and its
+outer word bounds, in a bounded cache.  Next to a join the ids of the two
+chunks may differ from those of the whole, so the text around it is encoded
+again, from a word bound of the left chunk to one of the right, and the ids of
+its first and last part are compared with those of the chunks.  If they differ
+the window is widened by a bound on either side, and so on; a chunk without
+bounds left goes into the window whole.
+
+A blank between two letters is a bound of the pattern whatever surrounds it, so
+two parts that agree between two such bounds agree from there on inwards.
 
 Defined results: null and empty texts have no ids; repeated rows give one row
 each; null ids are kept; an empty table gives none; further columns are
@@ -18,8 +22,9 @@ from __future__ import annotations
 
 import re
 from array import array
+from dataclasses import dataclass
 from hashlib import sha256
-from itertools import islice
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +33,17 @@ from pyspark.sql import DataFrame
 from .common import _BYTE_VALUE, by_bytes, texts_only
 from .engines import ByteEngine, ChunkCache, load
 
-#: Mean and least bytes of a chunk; entries of the chunk cache (about 10 KB each).
-MEAN_BYTES, LEAST_BYTES, CHUNKS = 1024, 128, 4000
+#: Mean, least and most bytes of a chunk; entries of the chunk cache (about 10 KB each).
+MEAN_BYTES, LEAST_BYTES, MOST_BYTES, CHUNKS = 1024, 128, 8192, 4000
+#: Word bounds of a chunk that are known on either side, so the times that a window is widened before it takes the chunk whole.
+DEPTH = 6
 
 #: A blank between two letters is always a bound of the pattern, whatever surrounds it.
 _FORCED = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ɏ]) (?=[A-Za-zÀ-ÖØ-öø-ɏ])")
 
 
-def chunk_bounds(data: bytes, mean: int = MEAN_BYTES, least: int = LEAST_BYTES) -> list[int]:
-    """Ends of the chunks of UTF-8 ``data``: where a hash of the last 16 bytes has its low bits zero."""
+def chunk_bounds(data: bytes, mean: int = MEAN_BYTES, least: int = LEAST_BYTES, most: int = MOST_BYTES) -> list[int]:
+    """Ends of the chunks of UTF-8 ``data``: where a hash of the last 16 bytes has its low bits zero, and after ``most`` bytes."""
     n = len(data)
     if n <= least:
         return [n] if n else []
@@ -50,36 +57,49 @@ def chunk_bounds(data: bytes, mean: int = MEAN_BYTES, least: int = LEAST_BYTES)
     spots = spots[spots < n]
     spots = spots[(buf[spots] & 0xC0) != 0x80]
     out, last = [], 0
-    for s in spots.tolist():
-        if s - last >= least:
+    for s in [*spots.tolist(), n]:
+        while s - last > most:  # nothing in the content says where to cut
+            last += most
+            while buf[last] & 0xC0 == 0x80:
+                last -= 1
+            out.append(last)
+        if s == n or s - last >= least:
             out.append(s)
             last = s
-    return [*out, n]
+    return out
 
 
-class Chunk:
-    """Ids of one chunk and where they can be joined to others."""
+@dataclass(frozen=True)
+class Bound:
+    """A place between two words: in a chunk's text, its ids and its bytes."""
 
-    __slots__ = ("text", "head", "ids", "decoded", "tail", "first", "last")  # first: the last id of head; last: the first of tail
+    text: int
+    ids: int
+    bytes: int
 
-    def __init__(self, engine: ByteEngine, text: str) -> None:
-        self.text, self.ids = text, None
-        a, b = forced_bounds(text)
-        if a >= b:
-            return
-        self.head, self.tail = text[:a], text[b:]
-        core = engine.encode(text[a:b])
-        self.ids, self.decoded = array("I", core).tobytes(), engine.decode(core)
-        self.first, self.last = engine.encode(self.head)[-1], engine.encode(self.tail)[0]
 
+class Chunk:
+    """A chunk's ids, decoded bytes, and the word bounds next to its ends, outermost first."""
+
+    __slots__ = ("text", "ids", "decoded", "left", "right")
 
-def forced_bounds(text: str) -> tuple[int, int]:
-    """The second forced bound from the left and the second from the right; (0, 0) without them."""
-    begin = next(islice(_FORCED.finditer(text), 1, None), None)
-    end, found = len(text), 0
-    while found < 2 and (end := text.rfind(" ", 0, end)) > 0:
-        found += bool(_FORCED.match(text, end))
-    return (begin.start(), end) if begin and found == 2 else (0, 0)
+    def __init__(self, engine: ByteEngine, text: str) -> None:
+        self.text = text
+        ids = engine.encode(text)
+        self.ids, self.decoded = array("I", ids), engine.decode(ids)
+        ends = dict(zip(accumulate(len(engine.token[i]) for i in ids), range(1, len(ids) + 1), strict=True))
+        self.left, self.right = [], []
+        for m in islice(_FORCED.finditer(text), DEPTH):
+            size = len(text[: m.start()].encode())
+            self.left.append(Bound(m.start(), ends[size], size))
+        end, total = len(text), len(self.decoded)
+        while len(self.right) < DEPTH and (end := text.rfind(" ", 0, end)) > 0:
+            if _FORCED.match(text, end):
+                size = total - len(text[end:].encode())
+                self.right.append(Bound(end, ends[size], size))
+
+    def part(self, a: Bound, b: Bound) -> tuple[bytes, bytes]:
+        return self.ids[a.ids : b.ids].tobytes(), self.decoded[a.bytes : b.bytes]
 
 
 class Coder:
@@ -90,28 +110,53 @@ class Coder:
         self.chunks = ChunkCache(lambda text: Chunk(engine, text), CHUNKS)
         self.joins = ChunkCache(lambda text: tuple(engine.encode(text)), 10 * CHUNKS)
 
+    def window(self, text: str) -> array:
+        return array("I", self.joins[text] if len(text) < 256 else self.engine.encode(text))
+
+    def join(self, left: Chunk | None, begin: Bound, middle: str, right: Chunk | None) -> tuple[list[tuple[bytes, bytes]], Bound] | None:
+        """What is settled up to a bound of the right chunk, and that bound; None if no window agrees.
+
+        ``begin`` is where the left chunk's ids begin to be wanted.  Without a
+        left chunk the window begins with the text, without a right one it ends
+        with it.
+        """
+        for k in range(1, DEPTH):
+            a = inner = None
+            if left is not None and k < len(left.right) and left.right[k].ids >= begin.ids:
+                a, inner = left.right[k], left.right[k - 1]
+            if right is not None and k >= len(right.left):
+                return None
+            text = ("" if left is None else left.text[(a or begin).text :]) + middle + ("" if right is None else right.text[: right.left[k].text])
+            ids = self.window(text)
+            if a is not None and left.ids[a.ids : inner.ids] != ids[: inner.ids - a.ids]:
+                continue
+            if right is not None:
+                own = right.ids[right.left[k - 1].ids : right.left[k].ids]
+                if own != ids[len(ids) - len(own) :]:
+                    continue
+            done = [] if a is None else [left.part(begin, a)]
+            return [*done, (ids.tobytes(), self.engine.decode(ids))], Bound(0, 0, 0) if right is None else right.left[k]
+        return None
+
     def runs(self, text: str):
         """(packed ids, decoded bytes) of the parts of a text without special strings, in order."""
-        engine, data, at = self.engine, text.encode(), 0
-        pending, first, last = "", -1, -1  # text to be encoded, its first and last id if known
-        start = True
+        data, at = text.encode(), 0
+        left, begin, middle = None, Bound(0, 0, 0), []
         for end in chunk_bounds(data):
             chunk = self.chunks[data[at:end].decode()]
             at = end
-            if chunk.ids is None:
-                pending += chunk.text
-                first = first if not start else -1
-                start = False
+            joined = self.join(left, begin, "".join(middle), chunk) if len(chunk.left) > 1 else None
+            if joined is None:  # the window takes in the whole chunk
+                middle.append(chunk.text)
                 continue
-            window = pending + chunk.head
-            ids = self.joins[window] if len(window) < 256 else engine.encode(window)
-            if first >= 0 and ids[0] != first or ids[-1] != chunk.first:
-                raise _Disagree
-            yield array("I", ids).tobytes(), engine.decode(ids)
-            yield chunk.ids, chunk.decoded
-            pending, first, start = chunk.tail, chunk.last, False
-        ids = engine.encode(pending)
-        yield array("I", ids).tobytes(), engine.decode(ids)
+            yield from joined[0]
+            left, begin, middle = chunk, joined[1], []
+        joined = self.join(left, begin, "".join(middle), None)
+        if joined is None:
+            ids = self.window(left.text[begin.text :] + "".join(middle))
+            yield ids.tobytes(), self.engine.decode(ids)
+        else:
+            yield from joined[0]
         self.chunks.age()
         self.joins.age()
 
@@ -127,17 +172,7 @@ class Coder:
         return b"".join(p[0] for p in parts), b"".join(p[1] for p in parts)
 
     def whole(self, text: str) -> list[tuple[bytes, bytes]]:
-        if not text:
-            return []
-        try:
-            return list(self.runs(text))
-        except _Disagree:  # the widest window is the text itself
-            ids = self.engine.encode(text)
-            return [(array("I", ids).tobytes(), self.engine.decode(ids))]
-
-
-class _Disagree(Exception):
-    """The ids of a window do not agree with those of its chunks."""
+        return list(self.runs(text)) if text else []
 
 
 _CODERS: dict[str, Coder] = {}

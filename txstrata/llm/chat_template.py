@@ -542,7 +542,8 @@ def format_conversations(turns: DataFrame, template: str = CHAT, id_col: str = "
     segment unless it is longer than ``segment``; then it is cut after the
     template's own pieces that end a turn (``</s>``), so memory is bounded
     whatever a conversation holds.  Null roles and texts are empty ones, rows
-    with a null id form one conversation, and an empty table gives none.
+    with a null id form one conversation, repeated rows are turns one by one, an
+    empty table gives none, and further columns are ignored, whatever their names.
     """
     ordered = turns.select(
         turns[id_col].cast("long").alias("conv_id"), turns[turn_col].cast("long").alias("turn"), F.coalesce(turns[role_col].cast("string"), F.lit("")).alias("role"), F.coalesce(turns[text_col].cast("string"), F.lit("")).alias("text")
@@ -590,9 +591,16 @@ def format_conversations(turns: DataFrame, template: str = CHAT, id_col: str = "
     return ordered.mapInArrow(run, "conv_id long, segment long, formatted string, spans array<struct<begin:long,end:long>>").select(F.col("conv_id").alias(id_col), "segment", "formatted", "spans")
 
 
-def conversation_digests(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """Counts and digests of turns and learned text, read back from formatted conversations."""
-    ordered = formatted.select(F.col(id_col).alias("conv_id"), "segment", "formatted", "spans").repartition("conv_id").sortWithinPartitions("conv_id", "segment")
+def conversation_digests(formatted: DataFrame, id_col: str = "conv_id", in_order: bool = False) -> DataFrame:
+    """Counts and digests of turns and learned text, read back from formatted conversations.
+
+    ``in_order`` tells that the rows come straight from
+    :func:`format_conversations`, which gives a conversation's segments one
+    after another in one task, so they needn't be shuffled again.
+    """
+    ordered = formatted.select(F.col(id_col).alias("conv_id"), "segment", "formatted", "spans")
+    if not in_order:
+        ordered = ordered.repartition("conv_id").sortWithinPartitions("conv_id", "segment")
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:

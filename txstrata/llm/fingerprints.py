@@ -9,8 +9,8 @@ left to 1.
 
 Defined results: a null text is an empty one; texts under three bytes have
 empty counters and differ by length alone; equal texts have equal digests and
-likeness 1.  Documents of one id are ordered by text, null ids come after all
-others, and the last document is followed by the first; a single document
+likeness 1.  Documents of one id are ordered by text; those without an id come
+after all others, by a hash of their texts; and the last document is followed by the first; a single document
 follows itself.  An empty table gives no rows; further columns are ignored.
 """
 
@@ -81,41 +81,70 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return texts_only(docs, id_col, text_col).mapInArrow(run, f"{id_col} long, fingerprint string")
 
 
-def _range_cuts(ids: DataFrame, parts: int) -> list[int]:
-    """Ascending ids that end equal ranges; the last is the greatest.  At most ``parts`` values reach the driver."""
+#: Most ranges of ids; their bounds come to the driver.
+RANGES = 1 << 16
+
+
+def _constant(values: list[int]) -> F.Column:
+    """One array literal of whole numbers."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>")
+
+
+def _ranges(frame: DataFrame, parts: int) -> tuple[list[int], list[tuple[int, int, int]]]:
+    """Ascending ids that end about ``parts`` equal ranges; (range, least hash, number of ranges) of the ranges of rows without an id."""
     shares = ",".join(str(i / parts) for i in range(1, parts))
-    row = ids.agg(F.expr(f"percentile_approx(doc_id, array({shares}), 10000)").alias("q") if parts > 1 else F.array().alias("q"), F.max("doc_id").alias("m")).first()
-    return [] if row["m"] is None else sorted({*(row["q"] or []), row["m"]})
+    cut = F.expr(f"percentile_approx(doc_id, array({shares}), {max(10000, 4 * parts)})") if parts > 1 else F.array().cast("array<long>")
+    row = frame.agg(cut.alias("q"), F.max("doc_id").alias("m"), F.count("*").alias("n"), F.count("doc_id").alias("known")).first()
+    cuts = [] if row["m"] is None else sorted({*(row["q"] or []), row["m"]})
+    if row["known"] == row["n"]:
+        return cuts, []
+    z = max(1, math.ceil(parts * (row["n"] - row["known"]) / row["n"]))
+    rows = frame.filter("doc_id IS NULL").groupBy((len(cuts) + _share(F.col("hash"), z)).cast("int").alias("range")).agg(F.min("hash").alias("first")).orderBy("range").collect()
+    return cuts, [(r["range"], r["first"], z) for r in rows]
+
+
+def _share(h: F.Column, z: int) -> F.Column:
+    """Which of z equal parts a hash of 63 bits is in."""
+    return F.shiftright(F.shiftright(h, 32) * z, 31)
 
 
 def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Digests of every text and of its edit, whose last half is the head of the next text by descending id.
 
-    Ranges of ids are sorted on their own.  The greatest id of a range is sent
-    to the range above as well, since its document comes next there, and the
-    greatest of all to the lowest range.
+    Ranges of ids, and after them ranges of the hashes of texts without an id,
+    are sorted each in a partition of its own.  The first document of a range
+    is sent as a guest to the range before it as well, since it comes next
+    there, and that of the first range to the last.
     """
-    frame = texts_only(docs, id_col, text_col)
-    parts = max(1, min(8192, 2 * frame.rdd.getNumPartitions()))
-    cuts = _range_cuts(frame.select("doc_id"), parts)
-    n = max(len(cuts), 1)
-    step = max(1, math.isqrt(n))
-    if cuts:
-        values = F.array(*[F.lit(c).cast("long") for c in cuts])
-        coarse = F.array(*[F.lit(c).cast("long") for c in cuts[step - 1 :: step]])
-        low = F.size(F.filter(coarse, lambda c: c < F.col("doc_id"))) * step
-        bucket = low + F.size(F.filter(F.slice(values, low + 1, step), lambda c: c < F.col("doc_id")))
-        bucket = F.when(F.col("doc_id").isNull(), 0).otherwise(bucket).cast("int")
-        up = F.when(F.element_at(values, F.col("bucket") + 1) == F.col("doc_id"), F.col("bucket") + 1)
-        goes = F.array(
-            F.struct(F.col("bucket").alias("range"), F.lit(0).alias("guest")),
-            F.struct(F.when(up < n, up).alias("range"), F.lit(1).alias("guest")),
-            F.struct(F.when(F.col("doc_id") == cuts[-1], F.lit(0)).alias("range"), F.lit(1).alias("guest")),
-        )
-        frame = frame.withColumn("bucket", bucket).select("doc_id", "text", F.explode(F.filter(goes, lambda g: g["range"].isNotNull())).alias("g")).select("doc_id", "text", "g.range", "g.guest")
+    frame = texts_only(docs, id_col, text_col).withColumn("hash", F.shiftrightunsigned(F.when(F.col("doc_id").isNull(), F.xxhash64("text")), 1))
+    parts = max(1, min(RANGES, 2 * frame.rdd.getNumPartitions()))
+    cuts, nulls = _ranges(frame.select("doc_id", "hash"), parts)
+    n = len(cuts)
+    goes = []
+    if n:
+        values, step = _constant(cuts), max(1, math.isqrt(n))
+        low = F.size(F.filter(_constant(cuts[step - 1 :: step]), lambda c: c < F.col("doc_id"))) * step if n > step else F.lit(0)
+        own = low + F.size(F.filter(F.slice(values, low + 1, step), lambda c: c < F.col("doc_id")))
+        last = nulls[-1][0] if nulls else 0
+        before = F.when(F.element_at(values, F.col("bucket") + 1) == F.col("doc_id"), F.when(F.col("bucket") + 1 < n, F.col("bucket") + 1).otherwise(last))
+        goes = [(F.col("doc_id").isNotNull(), own, before)]
+    if nulls:
+        numbers, firsts = [k for k, _, _ in nulls], [u for _, u, _ in nulls]
+        place = F.array_position(_constant(numbers), F.col("bucket").cast("long")).cast("int")
+        before = F.when(F.element_at(_constant(firsts), place) == F.col("hash"), F.element_at(_constant([0 if n else numbers[-1], *numbers[:-1]]), place))
+        goes.append((F.col("doc_id").isNull(), n + _share(F.col("hash"), nulls[0][2]), before))
+    bucket = before = None
+    for test, own, first in goes:
+        bucket = F.when(test, own) if bucket is None else bucket.otherwise(own)
+        before = F.when(test, first) if before is None else before.otherwise(first)
+    if goes:
+        rows = F.array(F.struct(F.col("bucket").alias("range"), F.lit(0).alias("guest")), F.struct(F.col("before").alias("range"), F.lit(1).alias("guest")))
+        frame = frame.withColumn("bucket", bucket.cast("int")).withColumn("before", before.cast("int"))
+        frame = frame.select("doc_id", "text", "hash", F.explode(F.filter(rows, lambda g: g["range"].isNotNull())).alias("g")).select("doc_id", "text", "hash", "g.range", "g.guest")
     else:
-        frame = frame.select("doc_id", "text", F.lit(0).alias("range"), F.lit(0).alias("guest"))
-    ordered = frame.repartition(n, "range").sortWithinPartitions("range", "guest", F.col("doc_id").desc_nulls_last(), "text")
+        frame = frame.select("doc_id", "text", "hash", F.lit(0).alias("range"), F.lit(0).alias("guest"))
+    total = max(1, n, *[k + 1 for k, _, _ in nulls])
+    ordered = frame.repartitionById(total, "range").sortWithinPartitions("range", "guest", F.col("doc_id").desc_nulls_last(), "hash", "text").select("doc_id", "text", "range", "guest")
     schema = f"{id_col} long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     names = [x.split()[0] for x in schema.split(", ")]
 

@@ -295,7 +295,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     corpus = Corpus(docs, id_col, text_col)
     bits = min(56, max(corpus.word_bits + 5, corpus.shard_bits))
     answers = corpus.answers(_ask(bits, width), _answer)
-    rows = stored(corpus.with_answers([answers], _use(bits, width, percent), SCHEMA))
+    rows = stored(corpus.with_answers(answers, _use(bits, width, percent), SCHEMA))
     groups = class_components(rows, percent)
 
     # One row for each block and class, so even a class of a third of all documents has few.

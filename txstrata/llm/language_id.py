@@ -6,9 +6,9 @@ greatest response of each filter, if above 0, goes into a softmax.  A filter's
 response is a sum of table rows, one for each pair of bytes.  The probabilities
 of a text's windows are averaged, weighted by the bytes they hold.
 
-Training uses a bounded sample: about ``per_language`` documents of each of at
-most ``languages`` languages, chosen by a hash of the id, ``WINDOWS_EACH``
-windows spread over each whole text.
+Training uses a bounded sample: about ``per_language`` documents of each
+language, however many languages there are, chosen by a hash of the id,
+``WINDOWS_EACH`` windows spread over each whole text.
 
 Defined results: a null text or one without a letter is ``und`` with score 0,
 and so is every text if nothing can be learned from.  Repeated rows give one
@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from .common import _LOWER, append_struct, free_name, text_buffer
 
 WINDOW, WIDTHS, FILTERS = 192, (2, 3, 4), 8
-PER_LANGUAGE, LANGUAGES, WINDOWS_EACH = 300, 256, 3
+PER_LANGUAGE, WINDOWS_EACH = 300, 3
 UNKNOWN = "und"
 FIELDS = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
@@ -142,17 +142,19 @@ def train(rows: np.ndarray, labels: list[str], epochs: int = 8, rate: float = 0.
     return Network(names, weights[: len(WIDTHS)], weights[-2], weights[-1])
 
 
-def sample_windows(docs: DataFrame, usable: Column, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> tuple[np.ndarray, list[str]]:
+def sample_windows(docs: DataFrame, usable: Column, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_language: int = PER_LANGUAGE) -> tuple[np.ndarray, list[str]]:
     """Windows and languages of the bounded training sample."""
     known = docs.filter(usable & docs[lang_col].isNotNull() & docs[text_col].isNotNull() & docs[id_col].isNotNull())
-    counts = known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(languages).collect()
+    counts = known.groupBy(lang_col).count().collect()
     if not counts:
         return np.zeros((0, WINDOW), dtype=np.uint8), []
-    share = F.create_map(*[x for r in counts for x in (F.lit(r[0]), F.lit(min(1.0, per_language / r[1])))])
+    spark = docs.sparkSession
+    share = F.broadcast(spark.createDataFrame([(r[0], min(1.0, per_language / r[1])) for r in counts], "known_lang string, share double"))  # one row for each language
     draw = F.pmod(F.xxhash64(id_col, F.lit("language sample")), F.lit(1 << 30)) / float(1 << 30)
-    size = F.length(text_col)
-    spread = F.array(*[F.substring(F.col(text_col), (F.floor(F.greatest(size - WINDOW, F.lit(0)) * k / max(1, WINDOWS_EACH - 1)) + 1).cast("int"), F.lit(WINDOW)) for k in range(WINDOWS_EACH)])
-    picked = known.filter(draw < F.element_at(share, F.col(lang_col))).select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), spread.alias("w")).limit(2 * per_language * languages)
+    size = F.length("t")
+    spread = F.array(*[F.substring(F.col("t"), (F.floor(F.greatest(size - WINDOW, F.lit(0)) * k / max(1, WINDOWS_EACH - 1)) + 1).cast("int"), F.lit(WINDOW)) for k in range(WINDOWS_EACH)])
+    drawn = known.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), draw.alias("draw"), F.col(text_col).alias("t")).join(share, F.col("l") == F.col("known_lang")).filter("draw < share")
+    picked = drawn.select("i", "l", spread.alias("w"))
     rows = sorted((r["i"], r["l"], w) for r in picked.collect() for w in dict.fromkeys(r["w"]) if any(c.isalpha() for c in w))
     out = np.zeros((len(rows), WINDOW), dtype=np.uint8)
     for k, (_, _, text) in enumerate(rows):

@@ -24,7 +24,9 @@ add-half estimate of words, with a pseudo-count s = k c(h)**e for each order
 the quantisation.  Keys are hashed as wholes, so a
 word that makes up a third of all text loads all shards alike.  Of the bits of
 a trigram's key, the bigram takes as many as tell the corpus' words apart and
-six more; a word w1 has the rest, up to 64, within its node.
+six more; a word w1 has 22 within its node, so an unseen one passes for one of
+the node's with a chance of their number over four million.  (Keys have 64 bits
+at most; beyond half a terabyte of text a word has 20.)
 
 Defined results: null and empty texts consist of their end alone; repeated rows
 are counted and scored one by one; rows with a null id are training rows and
@@ -43,7 +45,6 @@ from pyspark.sql import DataFrame
 from . import elias_fano
 from .blocks import Answered, Asked, Corpus, as_bytes, from_bytes
 from .common import mix64, text_buffer, word_hashes, word_spans
-from .storage import stored
 
 #: Pseudo-counts k c**e of the orders 2 and 3, as (k, e).
 PSEUDO = ((10.0, 0.7), (4.0, 0.7))
@@ -116,7 +117,7 @@ def held_out_ids(ids: pa.Array, folds: int, fold: int) -> np.ndarray:
 class Block:
     """Tokens of a whole block and their keys."""
 
-    def __init__(self, batches, folds: int, fold: int, bits: tuple[int, int], pseudo=PSEUDO) -> None:
+    def __init__(self, batches, folds: int, fold: int, bits: tuple[int, int, int], pseudo=PSEUDO) -> None:
         ids, held, hashes, ofs, n = [], [], [], [], 0
         for b in batches:
             h, of = tokens_of(b.column(1))
@@ -131,23 +132,28 @@ class Block:
         one, two = histories(self.h, self.of)
         pair = bigram_keys(one, self.h)
         self.pairs = pair >> np.uint64(64 - bits[0])
-        node, word = bits[1], 64 - bits[1]
+        node, word = bits[1:]
         self.triples = ((pair >> np.uint64(64 - node)) << np.uint64(word)) | (mix64(mix64(two) + pair) >> np.uint64(64 - word))
         self.first = np.concatenate([[True], self.of[1:] != self.of[:-1]]) if len(self.of) else np.zeros(0, bool)
 
     def questions(self) -> list[Asked]:
-        """Words and bigrams."""
-        return [Asked(*distinct(self.h, self.trained)[:2], 64), Asked(*distinct(self.pairs, self.trained)[:2], self.bits[0])]
+        """Bigrams and words."""
+        return [Asked(*distinct(self.pairs, self.trained)[:2], self.bits[0]), Asked(*distinct(self.h, self.trained)[:2], 64)]
 
-    def learn(self, found: Answered) -> None:
-        """Takes the counts in, and makes the probabilities up to order 2."""
-        words, place = np.unique(self.h, return_inverse=True)
-        count = from_bytes(found.rows[0])
+    def learn_words(self, found: Answered) -> np.ndarray:
+        """Takes in the counts of words, the last kind of either round; returns those of the distinct words."""
+        _, place = np.unique(self.h, return_inverse=True)
+        count = from_bytes(found.rows[1])
         self.types, self.total = found.sums.tolist()
         self.count = count[place].astype(np.float64)
         self.base = (self.count + 0.5) / (self.total + 0.5 * (self.types + 1))
+        return count
+
+    def learn(self, found: Answered) -> None:
+        """Takes all counts in, and makes the probabilities up to order 2."""
+        count, words = self.learn_words(found), np.unique(self.h)
         _, place = np.unique(self.pairs, return_inverse=True)
-        pair_count = from_bytes(found.rows[1])[place].astype(np.float64)
+        pair_count = from_bytes(found.rows[0])[place].astype(np.float64)
         # A text's begin occurs as often as its end.
         ends = float(count[np.searchsorted(words, _END)]) if len(words) else 0.0
         back = lambda values: np.where(self.first, ends, np.concatenate([[0.0], values[:-1]])) if len(values) else values
@@ -158,51 +164,59 @@ class Block:
     def requests(self) -> list[Asked]:
         """Trigrams, with the code of p(w3 | w2) and that of their context's count."""
         keys, counts, at = distinct(self.triples, self.trained)
-        return [Asked(keys, counts, 64, np.stack([quantised(self.p2[at]), elias_fano.quantise(self.context[at])], axis=1))]
+        words, own, _ = distinct(self.h, self.trained)
+        bits, notes = sum(self.bits[1:]), np.stack([quantised(self.p2[at]), elias_fano.quantise(self.context[at])], axis=1)
+        return [Asked(keys, counts, bits, notes), Asked(words, own, 64, np.zeros((len(words), 2), np.uint8))]
 
 
 def count_answers(asked: list[Asked]) -> Answered:
-    """Exact counts of words and bigrams; the number of words known and the tokens they make up are summed."""
-    words, pairs = (asked[k].counts if k < len(asked) else np.zeros(0, np.int64) for k in (0, 1))
-    return Answered([as_bytes(words), as_bytes(pairs)], np.array([(words > 0).sum(), words.sum()], dtype=np.uint64))
+    """Exact counts of bigrams and words; the number of words known and the tokens they make up are summed."""
+    pairs, words = (asked[k].counts if k < len(asked) else np.zeros(0, np.int64) for k in (0, 1))
+    return Answered([as_bytes(pairs), as_bytes(words)], np.array([(words > 0).sum(), words.sum()], dtype=np.uint64))
 
 
 def score_documents(docs: DataFrame, folds: int = 5, fold: int = 1, pseudo: tuple[tuple[float, float], ...] = PSEUDO, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores of all texts under a model of those whose CRC-32 of the id modulo ``folds`` is not ``fold``."""
     corpus = Corpus(docs, id_col, text_col)
-    bits = (min(62, max(34, corpus.word_bits + 20)), min(44, max(20, corpus.word_bits + 6, corpus.shard_bits)))
-    shard_bits = corpus.shard_bits
+    known = max(14, corpus.word_bits, corpus.shard_bits)
+    node = min(44, known + 6)
+    bits = (min(64, known + 16), node, min(64, known + 28) - node)  # of a bigram, of a node, of a word within it
+
+    def block_of(batches) -> Block:
+        return Block(batches, folds, fold, bits, pseudo)
 
-    def block_of(batches, found: Answered | None = None) -> Block:
-        block = Block(batches, folds, fold, bits, pseudo)
-        if found is not None:
-            block.learn(found)
-        return block
+    def requests(batches, found: Answered) -> list[Asked]:
+        block = block_of(batches)
+        block.learn(found)
+        return block.requests()
 
     def trie_answers(asked: list[Asked]) -> Answered:
-        if not asked:
-            return Answered([np.zeros((0, 1), np.uint8)], np.zeros(0, np.uint64))
+        counted = count_answers(asked)
+        if not asked or not len(asked[0].keys):
+            return Answered([np.zeros((0, 1), np.uint8), counted.rows[1]], counted.sums)
         own = asked[0]
         seen = own.counts > 0
         p2, context = value_of(own.notes[:, 0]), elias_fano.CODEBOOK[own.notes[:, 1]]
         s = weight(context, pseudo[1])
         p3 = np.minimum((np.minimum(own.counts, context) + s * p2) / (context + s), 1.0)
-        trie = elias_fano.Trie(own.keys[seen], own.notes[seen, 0], quantised(p3[seen]), own.bits, 64 - bits[1])
+        trie = elias_fano.Trie(own.keys[seen], own.notes[seen, 0], quantised(p3[seen]), own.bits, bits[2])
         try:
-            node, leaf = trie.lookup(own.keys)
+            node_code, leaf = trie.lookup(own.keys)
         finally:
             trie.close()
-        shorter = np.where(node > 0, node, own.notes[:, 0])
-        return Answered([np.where(leaf > 0, leaf, quantised(value_of(shorter) * s / (context + s)))[:, None].astype(np.uint8)], np.zeros(0, np.uint64))
+        shorter = np.where(node_code > 0, node_code, own.notes[:, 0])
+        code = np.where(leaf > 0, leaf, quantised(value_of(shorter) * s / (context + s))).astype(np.uint8)
+        return Answered([code[:, None], counted.rows[1]], counted.sums)
 
-    counts = stored(corpus.answers(lambda batches: block_of(batches).questions(), count_answers))
-    scored = corpus.answers(lambda batches, found: block_of(batches, found).requests(), trie_answers, notes=2, replies=counts)
+    counts = corpus.answers(lambda batches: block_of(batches).questions(), count_answers)
+    scored = corpus.answers(requests, trie_answers, notes=2, replies=counts)
 
     def use(_, batches, found: Answered):
-        block = block_of(batches, Answered(found.rows[:2], found.sums[:2]))
+        block = block_of(batches)
+        block.learn_words(found)
         n = len(block.held)
         _, place = np.unique(block.triples, return_inverse=True)
-        p = LOG_VALUE[found.rows[2][place, 0]]
+        p = LOG_VALUE[found.rows[0][place, 0]]
         add = lambda w: np.bincount(block.of, weights=w, minlength=n)
         yield pa.table(
             {
@@ -212,4 +226,4 @@ def score_documents(docs: DataFrame, folds: int = 5, fold: int = 1, pseudo: tupl
         )
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return corpus.with_answers([counts, scored], use, schema).withColumnRenamed("doc_id", id_col)
+    return corpus.with_answers(scored, use, schema).withColumnRenamed("doc_id", id_col)

@@ -2,14 +2,16 @@
 
 The token count of a document is written in binary: as many pieces of the full
 length as fit, then one piece for each set bit of the rest, longest first.
-Pieces of equal length share a bucket, so batches are of one length, nothing is
-padded and no sequence crosses documents.
+Pieces of equal length share a bucket: each task deals the pieces of a bucket
+into batches of ``BATCH_TOKENS`` tokens, all of one length, and gives them out
+bucket by bucket.  So nothing is padded and no sequence crosses documents.
 
 Defined results: a null or empty text is its end token alone, one piece of
 length 1; repeated rows are packed one by one; null ids are kept; an empty
 table gives no pieces; further columns are ignored.  ``sequence_id`` is unique
 in one result: it holds the row's place in its partition and, in the lowest
-bits, the bucket.
+bits, the bucket.  ``batch_id`` and ``batch_row`` tell a piece's batch and its
+place there; only a task's last batch of a bucket may be short.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +30,8 @@ from .engines import ChunkCache, WordEngine, load, packed
 from .token_counts import safe_parts
 
 MAX_LENGTH = 4096
+#: Tokens of a batch of equal lengths.
+BATCH_TOKENS = 1 << 16
 
 
 _CACHES: dict[str, ChunkCache] = {}
@@ -65,11 +70,13 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, longest: int = MAX_LENGTH
     """One row per piece: id, start, length, bucket, ids (unless ``with_ids`` is false), CRC-32 of the ids, place."""
     if longest & (longest - 1) or longest < 1:
         raise ValueError("the longest sequence must be a power of two")
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket int" + ", ids binary" * with_ids
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket int, batch_id long, batch_row int" + ", ids binary" * with_ids
 
     def run(batches):
         encode = encoder(tokenizer)
         tail = packed([end_id])
+        task = TaskContext.get()
+        taken = np.zeros(longest.bit_length(), dtype=np.int64)  # pieces of each bucket so far
         for batch in by_bytes(batches):
             texts = batch.column(1).to_pylist()
             crcs: list[int] = []
@@ -95,9 +102,18 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, longest: int = MAX_LENGTH
             first = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)[:-1]
             total = np.array(totals, dtype=np.int64)
             start = before[:-1] - before[first][of] if len(length) else length
-            columns = [batch.column(0).take(pa.array(of)), pa.array(start), pa.array(length), pa.array(crcs, pa.int64()), pa.array(total[of] if len(of) else length), pa.array(np.log2(np.maximum(length, 1)).astype(np.int32))]
+            bucket = np.log2(np.maximum(length, 1)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            counted = np.bincount(bucket, minlength=len(taken))
+            rank = np.empty(len(bucket), dtype=np.int64)
+            rank[order] = np.arange(len(bucket)) - np.repeat(np.cumsum(counted) - counted, counted) + np.repeat(taken, counted)
+            taken += counted
+            rows_each = np.maximum(BATCH_TOKENS >> bucket, 1)
+            batch_id = ((task.partitionId() if task else 0) << 40) | (rank // rows_each << 5) | bucket
+            columns = [batch.column(0).take(pa.array(of)), pa.array(start), pa.array(length), pa.array(crcs, pa.int64()), pa.array(total[of] if len(of) else length), pa.array(bucket.astype(np.int32)), pa.array(batch_id), pa.array((rank % rows_each).astype(np.int32))]
             if with_ids:
                 columns.append(pa.array(parts, pa.binary()))
+            columns = [c.take(pa.array(order)) for c in columns]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     names = [x.split()[0] for x in schema.split(", ")]

@@ -6,19 +6,26 @@
 
 Defined results: a null or empty text has no words, every measurement 0, and
 fails ``few_words``.  Repeated rows are judged alike, one result each; null ids
-are kept; an empty table gives an empty ledger.  Further columns are carried
+are kept; an empty table gives an empty ledger.  Equal lines and windows are found by
+hashes and compared byte by byte.  Further columns are carried
 through :func:`annotate` and ignored by :func:`ledger`, whatever their names.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_struct, free_name, mix64, text_buffer, word_hashes, word_spans
+from .common import append_struct, equal_spans, free_name, mix64, text_buffer, word_hashes, word_spans
+
+# The white space that separates words.
+_SPACES = b" \t\n\x0b\x0c\r"
 
 # The symbols that count as noise.
 SYMBOLS = "#*$%&|<>"
@@ -58,6 +65,15 @@ def _per_text(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
+def repeated(text: bytes) -> tuple[int, int]:
+    """Lines equal to an earlier one, and words in repeated windows of three, without hashes of ours."""
+    lines = [x for x in text.split(b"\n") if x.strip(_SPACES)]
+    words = [w for w in re.split(b"[%b]+" % _SPACES, text) if w]
+    windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+    seen = Counter(windows)
+    return len(lines) - len(set(lines)), len({k + j for k, w in enumerate(windows) if seen[w] > 1 for j in range(3)})
+
+
 def _measurer():
     symbol = np.zeros(256, dtype=bool)
     symbol[list(SYMBOLS.encode())] = True
@@ -85,8 +101,12 @@ def _measurer():
         line_doc = np.searchsorted(bounds, lo, side="right") - 1
         lines = np.bincount(line_doc, minlength=n).astype(np.int64)
         key = mix64(word_hashes(buf, lo, trimmed, lower=False) + mix64(line_doc.astype(np.uint64)))
-        _, at = np.unique(key, return_index=True)
-        distinct = np.bincount(line_doc[at], minlength=n)
+        order = np.argsort(key, kind="stable")
+        again = np.flatnonzero(key[order][1:] == key[order][:-1])
+        x, y = order[again], order[again + 1]
+        repeats = np.bincount(line_doc[y], minlength=n)
+        torn = np.zeros(n, dtype=bool)  # texts in which a hash stands for two things
+        torn[line_doc[y[~((line_doc[x] == line_doc[y]) & equal_spans(buf, lo[x], trimmed[x], lo[y], trimmed[y]))]]] = True
         # Three-word windows within one text.
         h = word_hashes(buf, begin, end, lower=False)
         marked = np.zeros(len(h), dtype=bool)
@@ -97,13 +117,18 @@ def _measurer():
             s = k[order]
             same = np.zeros(len(s) + 1, dtype=bool)
             same[1:-1] = s[1:] == s[:-1]
+            x, y = w[order[:-1][same[1:-1]]], w[order[1:][same[1:-1]]]
+            alike = doc[x] == doc[y]
+            for shift in range(3):
+                alike &= equal_spans(buf, begin[x + shift], end[x + shift], begin[y + shift], end[y + shift])
+            torn[doc[y[~alike]]] = True
             again = w[order[same[1:] | same[:-1]]]
             for shift in range(3):
                 marked[again + shift] = True
-        return [
-            n_words, _per_text(inside[buf], bounds), _per_text(symbol[buf], bounds), lines, lines - distinct,
-            np.bincount(doc[marked], minlength=n).astype(np.int64), _per_text(upper[buf], bounds),
-        ]
+        repeat_words = np.bincount(doc[marked], minlength=n)
+        for i in np.flatnonzero(torn):
+            repeats[i], repeat_words[i] = repeated(buf[bounds[i] : bounds[i + 1]].tobytes())
+        return [n_words, _per_text(inside[buf], bounds), _per_text(symbol[buf], bounds), lines, repeats.astype(np.int64), repeat_words.astype(np.int64), _per_text(upper[buf], bounds)]
 
     return measure
 

@@ -34,7 +34,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return chat_template.conversation_digests(chat_template.format_conversations(turns))
+    return chat_template.conversation_digests(chat_template.format_conversations(turns), in_order=True)
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
