@@ -313,6 +313,23 @@ def test_jaccard_join(spark, docs, none, monkeypatch, block, chunk):
         assert jaccard_join.jaccard_components(none).count() == 0
 
 
+def test_classes_of_a_leader_that_are_not_alike_all_meet(spark, monkeypatch):
+    """One passage in all documents, which is most of some and little of others: many chunks, several components."""
+    rng = random.Random(8)
+    shared = [f"s{k}" for k in range(60)]
+    own = lambda n: [f"o{rng.random()}" for _ in range(n)]
+    texts = [" ".join(shared + own(rng.choice([2, 4, 6, 9, 14, 20, 30]))) for _ in range(40)]
+    tails = [" ".join(shared[:30] + [f"t{g}w{k}" for k in range(60)] + own(rng.choice([1, 3]))) for g in range(4) for _ in range(6)]
+    texts += tails
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = brute_components(dict(enumerate(texts)))
+    for chunk, together in ((2, 2), (3, 1), (7, 4)):
+        monkeypatch.setattr(jaccard_join, "CHUNK", chunk)
+        monkeypatch.setattr(jaccard_join, "TOGETHER", together)
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(rows).collect()} == want
+    assert 4 < len({c for _, c in want.values()}) < len(texts)
+
+
 def test_prefixes_lose_no_pair():
     rng = np.random.default_rng(9)
     base = [np.unique(rng.integers(0, 400, 60, dtype=np.uint64)) for _ in range(6)]

@@ -49,12 +49,23 @@ class Asked:
     notes: np.ndarray | None = None
 
     def pack(self) -> bytes:
-        return pack_counted(self.keys, self.counts, self.bits) + (b"" if self.notes is None else self.notes.T.tobytes())
+        """The keys Elias-Fano coded; counts and notes, which repeat, compressed."""
+        keys = elias_fano.encode(self.keys, self.bits)
+        big = np.flatnonzero(self.counts > 254)
+        small = np.minimum(self.counts, 255).astype(np.uint8).tobytes() + self.counts[big].astype("<u8").tobytes()
+        rest = small + (b"" if self.notes is None else np.ascontiguousarray(self.notes.T).tobytes())
+        return np.array([self.bits, len(keys), len(big), len(rest)], dtype="<u8").tobytes() + keys + pa.compress(rest, codec="zstd", asbytes=True)
 
     @staticmethod
-    def unpack(data: bytes, bits: int, notes: int) -> Asked:
-        keys, counts, used = unpack_counted(data)
-        return Asked(keys, counts, bits, np.frombuffer(data, np.uint8, notes * len(keys), used).reshape(notes, len(keys)).T)
+    def unpack(data: bytes) -> Asked:
+        bits, size, n_big, n_rest = np.frombuffer(data, "<u8", 4).tolist()
+        view = memoryview(data)
+        keys = elias_fano.decode(view[32 : 32 + size])
+        rest, n = pa.decompress(view[32 + size :], n_rest, codec="zstd", asbytes=True), len(keys)
+        counts = np.frombuffer(rest, np.uint8, n).astype(np.int64)
+        counts[counts == 255] = np.frombuffer(rest, "<u8", n_big, n).astype(np.int64)
+        notes = np.frombuffer(rest, np.uint8, offset=n + 8 * n_big) if len(rest) > n + 8 * n_big else np.zeros(0, np.uint8)
+        return Asked(keys, counts, bits, notes.reshape(-1, n).T if n else notes.reshape(0, 0))
 
     def cut(self, a: int, b: int, bits: int) -> Asked:
         """The keys from a to b, without their common first bits."""
@@ -84,21 +95,20 @@ class Answered:
     sums: np.ndarray
 
     def pack(self) -> bytes:
-        head = np.array([len(self.sums), len(self.rows), *(x for r in self.rows for x in r.shape)], dtype=np.uint64)
-        return head.tobytes() + self.sums.astype(np.uint64).tobytes() + b"".join(np.ascontiguousarray(r.T).tobytes() for r in self.rows)
+        head = np.array([len(self.sums), len(self.rows), *(x for r in self.rows for x in r.shape)], dtype="<u8").tobytes()
+        body = self.sums.astype("<u8").tobytes() + b"".join(np.ascontiguousarray(r.T).tobytes() for r in self.rows)
+        return head + pa.compress(body, codec="zstd", asbytes=True)
 
     @staticmethod
     def unpack(data: bytes) -> Answered:
-        n_sums, n_rows = np.frombuffer(data, np.uint64, 2).tolist()
-        shapes = np.frombuffer(data, np.uint64, 2 * n_rows, 16).astype(np.int64).reshape(n_rows, 2).tolist()
-        at = 16 * (1 + n_rows)
-        sums = np.frombuffer(data, np.uint64, n_sums, at)
-        at += 8 * n_sums
-        rows = []
+        n_sums, n_rows = np.frombuffer(data, "<u8", 2).tolist()
+        shapes = np.frombuffer(data, "<u8", 2 * n_rows, 16).astype(np.int64).reshape(n_rows, 2).tolist()
+        body = pa.decompress(memoryview(data)[16 * (1 + n_rows) :], 8 * n_sums + sum(n * w for n, w in shapes), codec="zstd", asbytes=True)
+        at, rows = 8 * n_sums, []
         for n, width in shapes:
-            rows.append(np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T)
+            rows.append(np.frombuffer(body, np.uint8, n * width, at).reshape(width, n).T)
             at += n * width
-        return Answered(rows, sums)
+        return Answered(rows, np.frombuffer(body, "<u8", n_sums))
 
     @staticmethod
     def together(parts: list[Answered]) -> Answered:
@@ -161,13 +171,13 @@ class Corpus:
         dealing = frame.select("doc_id", F.xxhash64("doc_id", "text").alias("hash"), "text")
         self.blocks = dealing.mapInArrow(deal, "block long, payload binary").repartition(n, "block")
 
-    def answers(self, ask: Callable, answer: Callable, notes: int = 0, replies: DataFrame | None = None) -> DataFrame:
+    def answers(self, ask: Callable, answer: Callable, replies: DataFrame | None = None) -> DataFrame:
         """(node, part, reply) of every shard to every block; a block's node is its number.
 
         ``ask`` maps the batches of a block, and its :class:`Answered` from an
         earlier round if ``replies`` are given, to one :class:`Asked` for each
-        kind, with ``notes`` bytes each.  ``answer`` maps, for one shard, the
-        merged :class:`Asked` of each kind to an :class:`Answered`.
+        kind.  ``answer`` maps, for one shard, the merged :class:`Asked` of
+        each kind to an :class:`Answered`.
         """
         widths, n_blocks, total = self.widths, self.n_blocks, self.shard_bits
         places = [sum(widths[:k]) for k in range(len(widths) + 1)]
@@ -182,7 +192,7 @@ class Corpus:
                 for part in range(1 << width):
                     a, b = bounds[part], bounds[part + 1]
                     if b > a:
-                        out.append((up | prefix << width | part, child, kind, np.array([own.bits - width], np.uint8).tobytes() + own.cut(a, b, own.bits - width).pack()))
+                        out.append((up | prefix << width | part, child, kind, own.cut(a, b, own.bits - width).pack()))
             release_memory()
             return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ([],) * 4, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["node", "child", "kind", "sent"])
 
@@ -190,11 +200,11 @@ class Corpus:
             """The lists of each kind by child."""
             out: dict[int, dict[int, Asked]] = {}
             for child, kind, sent in zip(*(table.column(c).to_pylist() for c in ("child", "kind", "sent")), strict=True):
-                out.setdefault(kind, {})[child] = Asked.unpack(sent[1:], sent[0], notes)
+                out.setdefault(kind, {})[child] = Asked.unpack(sent)
             return out
 
         def merged(lists: dict[int, dict[int, Asked]]) -> list[Asked]:
-            none = Asked(np.zeros(0, np.uint64), np.zeros(0, np.int64), 64, np.zeros((0, notes), np.uint8))
+            none = Asked(np.zeros(0, np.uint64), np.zeros(0, np.int64), 64, np.zeros((0, 0), np.uint8))
             return [merge([lists[k][c] for c in sorted(lists[k])]) if k in lists else none for k in range(max(lists, default=-1) + 1)]
 
         def reply(lists: dict[int, dict[int, Asked]], whole: list[Asked], found: Answered, node: int, level: int) -> pa.Table:
@@ -300,21 +310,3 @@ def payload_batches(payloads: pa.ChunkedArray) -> Iterator[pa.RecordBatch]:
         with pa.ipc.open_stream(data) as reader:
             for batch in reader:
                 yield from by_bytes([batch], limit=BATCH_BYTES // 2)
-
-
-def pack_counted(keys: np.ndarray, counts: np.ndarray, bits: int) -> bytes:
-    """Keys and counts as bytes; counts over 254 stand apart."""
-    coded = elias_fano.encode(keys, bits)
-    big = np.flatnonzero(counts > 254)
-    small = np.minimum(counts, 255).astype(np.uint8)
-    return np.array([len(coded), len(big)], dtype=np.uint64).tobytes() + coded + small.tobytes() + counts[big].astype(np.uint64).tobytes()
-
-
-def unpack_counted(data: bytes) -> tuple[np.ndarray, np.ndarray, int]:
-    """Keys, counts, and the bytes they took."""
-    size, n_big = np.frombuffer(data, np.uint64, 2).tolist()
-    keys = elias_fano.decode(memoryview(data)[16 : 16 + size])
-    counts = np.frombuffer(data, np.uint8, len(keys), 16 + size).astype(np.int64)
-    if n_big:
-        counts[counts == 255] = np.frombuffer(data, np.uint64, n_big, 16 + size + len(keys)).astype(np.int64)
-    return keys, counts, 16 + size + len(keys) + 8 * n_big

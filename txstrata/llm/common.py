@@ -117,6 +117,12 @@ def equal_spans(buf: np.ndarray, a: np.ndarray, a_end: np.ndarray, b: np.ndarray
     return same
 
 
+def ascending(keys: np.ndarray) -> np.ndarray:
+    """The distinct keys in order."""
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string column laid end to end and the bounds of its rows; no copy is made."""
     if isinstance(column, pa.ChunkedArray):

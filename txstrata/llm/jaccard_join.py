@@ -12,11 +12,11 @@ from :mod:`blocks`; a shingle that no other document has is never sent.
 
 Equal sets are one class, with one row for each block of documents.  The least
 class that has a shingle leads it; the classes of one leader meet in tasks of
-at most about ``CHUNK``, each with the leader's own set, where sets are compared
-one after another and pairs that are connected already are passed over.  Where
-a leader has several such chunks and its classes aren't all connected yet, each
-pair of chunks is compared as well, so every pair of classes that shares a
-shingle meets in a task unless links connect it anyway.  A shingle's rows are
+about ``CHUNK``, each with the leader's own set, where sets are compared one
+after another and pairs that are connected already are passed over.  Where a
+leader has several such chunks and its classes aren't all connected yet, its
+chunks are compared with each other as well, ``TOGETHER`` at once, so every pair
+of classes that shares a shingle meets in a task unless links connect it anyway.  A shingle's rows are
 salted by its frequency, and a leader's by the class, so none meets in one task.
 
 Defined results: null and empty texts and those without words have no set and
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from . import elias_fano
 from .blocks import Answered, Asked, Corpus
-from .common import free_name, mix64, text_buffer, word_hashes, word_spans
+from .common import ascending, free_name, mix64, text_buffer, word_hashes, word_spans
 from .storage import stored
 
 WIDTH, PERCENT = 5, 75
@@ -85,7 +85,9 @@ def choose_prefix(freq: np.ndarray, percent: int = PERCENT) -> tuple[int, int]:
 
 
 #: Rows of a shingle or leader that one task takes; more are salted or dealt into chunks.
-CHUNK = 2048
+CHUNK = 256
+#: Chunks that are taken together where the chunks of a leader are compared with each other.
+TOGETHER = 4
 #: Tasks among which the rows of a leader are spread while its chunks are counted.
 SALTS = 16
 
@@ -115,7 +117,7 @@ def _use(bits: int, width: int, percent: int):
     def use(block: int, batches, found: Answered):
         held = [(b.column(0).to_pylist(), *shingle_sets(b.column(1), width)) for b in batches]
         short = [key >> np.uint64(64 - bits) for _, key, _ in held]
-        distinct = np.unique(np.concatenate(short)) if short else np.zeros(0, np.uint64)
+        distinct = ascending(np.concatenate(short)) if short else np.zeros(0, np.uint64)
         value = elias_fano.CODEBOOK[found.rows[0][:, 0]] if found.rows else np.zeros(0)
         members: dict[bytes | None, list] = {}
         rows: list[tuple] = []
@@ -170,9 +172,11 @@ class _Parts:
         self.label[self.label == max(x, y)] = min(x, y)
 
 
-def spanning_links(n: np.ndarray, matches: np.ndarray, tokens: list, levels: list, places: list, sets: list, percent: int = PERCENT, labels: np.ndarray | None = None) -> list[tuple[int, int]]:
+def spanning_links(n: np.ndarray, matches: np.ndarray, tokens: list, levels: list, places: list, sets: list, percent: int = PERCENT, labels: np.ndarray | None = None, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that connect what all links between the given sets connect, beyond those that ``labels`` stand for.
 
+    With ``sides`` only sets of different sides are compared.
+
     Sets are taken one after another.  Those before it that share enough prefix
     shingles, at places and with sizes that allow the similarity, and are not
     yet in its component, are verified all at once.
@@ -203,6 +207,8 @@ def spanning_links(n: np.ndarray, matches: np.ndarray, tokens: list, levels: lis
         at = np.repeat(start[own], run) + np.arange(total) - np.repeat(np.cumsum(run) - run, run)
         other = owner[at]
         new = parts.label[other] != parts.label[d]
+        if sides is not None:
+            new &= sides[other] != sides[d]
         mine, at, other = mine[new], at[new], other[new]
         alike = 100 * np.minimum(n[other], n[d]) >= percent * np.maximum(n[other], n[d])
         need = np.minimum(matches[other], matches[d])  # both prefixes reach as far
@@ -262,7 +268,8 @@ def _compare(percent: int):
         sets = [x.view(np.uint64) for x in lists("shingles")]
         known = np.array([x or b"" for x in table.column("component").to_pylist()], dtype=object)
         labels = np.where(known == b"", np.array(name, dtype=object), known)
-        found = spanning_links(table.column("n_shingles").to_numpy(), table.column("matches").to_numpy(), tokens, levels, places, sets, percent, labels)
+        side = table.column("side").to_numpy()
+        found = spanning_links(table.column("n_shingles").to_numpy(), table.column("matches").to_numpy(), tokens, levels, places, sets, percent, labels, side if len(set(side.tolist())) > 1 else None)
         return pa.table({"a": pa.array([name[x] for x, _ in found], pa.binary()), "b": pa.array([name[y] for _, y in found], pa.binary())})
 
     return compare
@@ -274,7 +281,7 @@ def class_components(rows: DataFrame, percent: int) -> DataFrame:
     of_set = ("class", "n_shingles", "matches", "tokens", "levels", "positions", "shingles")
     sets = rows.filter("tokens IS NOT NULL").select(*of_set).join(met.select("class").distinct(), "class", "left_semi").dropDuplicates(["class"])
     guests = met.filter("leader = class AND chunks > 1").withColumn("chunk", F.explode(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: c != F.col("chunk"))))
-    tasks = met.unionByName(guests).select("leader", "chunk", "class").join(sets, "class").withColumn("component", F.lit(None).cast("binary"))
+    tasks = met.unionByName(guests).select("leader", "chunk", "class").join(sets, "class").withColumns({"component": F.lit(None).cast("binary"), "side": F.lit(0)})
     links = stored(tasks.groupBy("leader", "chunk").applyInArrow(_compare(percent), "a binary, b binary").distinct())
     groups = connected_components(links, "a", "b")
     large = met.filter("chunks > 1")
@@ -283,9 +290,10 @@ def class_components(rows: DataFrame, percent: int) -> DataFrame:
     named = stored(large.join(groups.withColumnRenamed("vertex", "class"), "class", "left").withColumn("component", F.coalesce("component", "class")))
     torn = named.groupBy("leader").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("leader").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     left = named.withColumn("salt", _salt("class", F.lit(SALTS))).join(torn, ["leader", "salt"], "left_semi").drop("salt")
-    pair = lambda k: F.struct(F.least(k, F.col("chunk")).alias("i"), F.greatest(k, F.col("chunk")).alias("j"))
-    others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: c != F.col("chunk"))
-    across = left.select("leader", "class", "component", F.explode(F.transform(others, pair)).alias("p")).select("leader", "p.i", "p.j", "class", "component").join(sets, "class")
+    own, last = F.floor(F.col("chunk") / TOGETHER).cast("int"), F.floor((F.col("chunks") - 1) / TOGETHER).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("last")), lambda k: F.struct(F.least(k, F.col("side")).alias("i"), F.greatest(k, F.col("side")).alias("j")))
+    across = left.withColumns({"side": own, "last": last}).select("leader", "class", "component", "side", F.explode(pairs).alias("p"))
+    across = across.select("leader", "p.i", "p.j", "class", "component", "side").join(sets, "class")
     more = stored(across.groupBy("leader", "i", "j").applyInArrow(_compare(percent), "a binary, b binary").distinct())
     return connected_components(links.union(more), "a", "b") if more.limit(1).count() else groups
 

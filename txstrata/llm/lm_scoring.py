@@ -24,9 +24,8 @@ add-half estimate of words, with a pseudo-count s = k c(h)**e for each order
 the quantisation.  Keys are hashed as wholes, so a
 word that makes up a third of all text loads all shards alike.  Of the bits of
 a trigram's key, the bigram takes as many as tell the corpus' words apart and
-six more; a word w1 has 22 within its node, so an unseen one passes for one of
-the node's with a chance of their number over four million.  (Keys have 64 bits
-at most; beyond half a terabyte of text a word has 20.)
+six more; a word w1 has 20 within its node, so an unseen one passes for one of
+the node's with a chance of their number over a million.
 
 Defined results: null and empty texts consist of their end alone; repeated rows
 are counted and scored one by one; rows with a null id are training rows and
@@ -44,7 +43,7 @@ from pyspark.sql import DataFrame
 
 from . import elias_fano
 from .blocks import Answered, Asked, Corpus, as_bytes, from_bytes
-from .common import mix64, text_buffer, word_hashes, word_spans
+from .common import ascending, mix64, text_buffer, word_hashes, word_spans
 
 #: Pseudo-counts k c**e of the orders 2 and 3, as (k, e).
 PSEUDO = ((10.0, 0.7), (4.0, 0.7))
@@ -151,7 +150,7 @@ class Block:
 
     def learn(self, found: Answered) -> None:
         """Takes all counts in, and makes the probabilities up to order 2."""
-        count, words = self.learn_words(found), np.unique(self.h)
+        count, words = self.learn_words(found), ascending(self.h)
         _, place = np.unique(self.pairs, return_inverse=True)
         pair_count = from_bytes(found.rows[0])[place].astype(np.float64)
         # A text's begin occurs as often as its end.
@@ -166,7 +165,7 @@ class Block:
         keys, counts, at = distinct(self.triples, self.trained)
         words, own, _ = distinct(self.h, self.trained)
         bits, notes = sum(self.bits[1:]), np.stack([quantised(self.p2[at]), elias_fano.quantise(self.context[at])], axis=1)
-        return [Asked(keys, counts, bits, notes), Asked(words, own, 64, np.zeros((len(words), 2), np.uint8))]
+        return [Asked(keys, counts, bits, notes), Asked(words, own, 64)]
 
 
 def count_answers(asked: list[Asked]) -> Answered:
@@ -180,7 +179,7 @@ def score_documents(docs: DataFrame, folds: int = 5, fold: int = 1, pseudo: tupl
     corpus = Corpus(docs, id_col, text_col)
     known = max(14, corpus.word_bits, corpus.shard_bits)
     node = min(44, known + 6)
-    bits = (min(64, known + 16), node, min(64, known + 28) - node)  # of a bigram, of a node, of a word within it
+    bits = (min(64, known + 14), node, min(64, known + 26) - node)  # of a bigram, of a node, of a word within it
 
     def block_of(batches) -> Block:
         return Block(batches, folds, fold, bits, pseudo)
@@ -209,7 +208,7 @@ def score_documents(docs: DataFrame, folds: int = 5, fold: int = 1, pseudo: tupl
         return Answered([code[:, None], counted.rows[1]], counted.sums)
 
     counts = corpus.answers(lambda batches: block_of(batches).questions(), count_answers)
-    scored = corpus.answers(requests, trie_answers, notes=2, replies=counts)
+    scored = corpus.answers(requests, trie_answers, counts)
 
     def use(_, batches, found: Answered):
         block = block_of(batches)
