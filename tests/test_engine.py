@@ -5,7 +5,7 @@ from datetime import datetime
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from txstrata.operators import communities, enrich, entities, features, generate, graph, integrity, learning, lookups, metrics
+from txstrata.operators import communities, enrich, entities, features, graph, integrity, learning, lookups, metrics
 from txstrata.operators.components import connected_components
 from txstrata.operators.ranking import with_rank
 from txstrata.operators.rounds import Rounds
@@ -226,14 +226,3 @@ def test_splits_and_ranks(spark):
     assert last["train"][1] < last["validation"][0] and last["validation"][1] < last["test"][0]
     assert metrics.split_audit(metrics.group_split(rows, "g"), "g", "at", "label").first()["torn_groups"] == 0
     assert [r["k"] for r in with_rank(rows, [F.desc("k")]).orderBy("rank").limit(3).collect()] == [99, 98, 97]
-
-
-def test_generator_is_deterministic_and_valid(spark):
-    from txstrata.functions.records import validate
-
-    c = generate.SyntheticConfig(60, pattern_share=0.2, group=5)
-    assert [generate.record(c, i) for i in range(60)] == [generate.record(c, i) for i in range(60)]
-    assert all(validate(generate.record(c, i)) for i in range(60))
-    assert generate.synthetic_records(spark, c).count() == 60 and generate.synthetic_truth(spark, c).select("txid").distinct().count() == c.unique
-    with pytest.raises(ValueError):
-        generate.SyntheticConfig(0)

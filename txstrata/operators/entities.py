@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -164,3 +166,95 @@ def per_entity_overlap(rows: DataFrame, truth: str, predicted: str) -> DataFrame
     """For each true entity the candidate with the largest overlap (the greatest name among equals)."""
     best = contingency(rows, truth, predicted).groupBy("t").agg(F.max_by(F.struct("p", "n", "pn"), F.struct("n", "p")).alias("b"), F.max("tn").alias("address_count"), F.count("*").alias("fragment_count"))
     return best.select(F.col("t").alias("truth_entity"), "address_count", F.col("b.p").alias("best_candidate"), F.col("b.n").alias("best_overlap"), (F.col("b.n") / F.col("b.pn")).alias("precision"), (F.col("b.n") / F.col("address_count")).alias("recall"), "fragment_count")
+
+
+def adjusted_mutual_information(rows: DataFrame, truth: str, predicted: str) -> float:
+    """Mutual information beyond what chance gives, over the mean entropy beyond it; 1 for equal partitions.
+
+    What chance gives depends on the sizes of groups only, and equal sizes are
+    taken together, so the driver sees one row for each size that occurs.
+    """
+    cells = contingency(rows, truth, predicted)
+    n = rows.count()
+    if not n:
+        return 1.0
+    mutual = cells.agg(F.sum(F.col("n") / n * F.log(F.col("n") * n / (F.col("tn") * F.col("pn"))))).first()[0]
+
+    def sizes(side: str) -> list[tuple[int, int]]:
+        by = cells.groupBy(side).agg(F.max(f"{side}n").alias("size")).groupBy("size").agg(F.count("*").alias("k"))
+        return [(r["size"], r["k"]) for r in by.collect()]
+
+    a, b = sizes("t"), sizes("p")
+    entropy = lambda s: -sum(k * x / n * math.log(x / n) for x, k in s)
+    if sum(k for _, k in a) == sum(k for _, k in b) and sum(k for _, k in a) in (1, n):
+        return 1.0
+    log = math.lgamma
+    expected = 0.0
+    for x, k in a:
+        for y, m in b:
+            low, high = max(1, x + y - n), min(x, y)
+            i = np.arange(low, high + 1, dtype=np.float64)
+            lg = np.vectorize(log, otypes=[float])
+            weight = np.exp(log(x + 1) + log(y + 1) + log(n - x + 1) + log(n - y + 1) - log(n + 1) - lg(i + 1) - lg(x - i + 1) - lg(y - i + 1) - lg(n - x - y + i + 1))
+            expected += k * m * float((i / n * np.log(n * i / (x * y)) * weight).sum())
+    spread = (entropy(a) + entropy(b)) / 2 - expected
+    return float((mutual - expected) / (math.copysign(max(abs(spread), 2.2e-16), spread)))
+
+
+def collaborative_false_merges(members: DataFrame, truth: DataFrame, collaborative: DataFrame) -> DataFrame:
+    """One row: transactions of several parties with two known inputs at least, and the share that a candidate merges.
+
+    ``members`` has (address, candidate), ``truth`` (address, entity_id) and
+    ``collaborative`` (txid, input_addresses).
+    """
+    inputs = collaborative.select("txid", F.explode(F.array_distinct("input_addresses")).alias("address")).join(truth.select("address", "entity_id"), "address").join(members, "address")
+    cells = inputs.groupBy("txid", "candidate").agg(F.count("*").alias("n"), F.count_distinct("entity_id").alias("owners"))
+    by_tx = cells.groupBy("txid").agg(F.sum("n").alias("n"), F.max("owners").alias("owners")).filter("n >= 2")
+    merged = F.count_if(F.col("owners") > 1)
+    return by_tx.agg(F.count("*").alias("collaborative_transaction_count"), F.when(F.count("*") > 0, merged / F.count("*")).otherwise(0.0).alias("collaborative_false_merge_rate"))
+
+
+def value_checks(t: Tables, members: DataFrame, evidence: DataFrame, candidates: DataFrame, detector: DataFrame) -> DataFrame:
+    """(code, breaches): whether a stored set of hypotheses is what the tables and its own evidence give.
+
+    Addresses are covered once; candidates are the components of the evidence
+    that is not suppressed; evidence and detector are what the transactions
+    give; sizes and evidence counts of candidates are those of their members.
+    """
+    from .integrity import bag_difference, excess, set_difference, tagged, together
+
+    known = all_addresses(t)
+    again = collaborative_detector(t)
+    stated = cospend_evidence(t, again)
+    rebuilt = memberships(known, evidence)
+    counted = members.groupBy("candidate").agg(F.count("*").alias("member_count"))
+    strong = evidence.filter(~F.col("suppressed")).join(members.select(F.col("address").alias("anchor"), "candidate"), "anchor")
+    edges = strong.select("candidate", "anchor", "other").distinct().groupBy("candidate").agg(F.count("*").alias("strong_evidence_edge_count"))
+    diagnosed = counted.join(edges, "candidate", "left").select("candidate", "member_count", F.coalesce("strong_evidence_edge_count", F.lit(0)).cast("long").alias("strong_evidence_edge_count"))
+    across = strong.join(members.select(F.col("address").alias("other"), F.col("candidate").alias("other_candidate")), "other").filter("candidate <> other_candidate")
+    return together(
+        [
+            tagged("MEMBERSHIP_ADDRESS_COVERAGE_MISMATCH", set_difference(members.select("address"), known)),
+            tagged("DUPLICATE_MEMBERSHIP", excess(members, ("address",)), F.sum("excess")),
+            tagged("CANDIDATE_SET_MISMATCH", set_difference(members.select("candidate"), candidates.select("candidate"))),
+            tagged("MEMBERSHIP_EVIDENCE_MISMATCH", set_difference(members.select("address", "candidate"), rebuilt)),
+            tagged("INVALID_OWNERSHIP_EVIDENCE", across),
+            tagged("STRONG_EVIDENCE_COVERAGE_MISMATCH", bag_difference(evidence.select("anchor", "other", "txid", "suppressed"), stated)),
+            tagged("CANDIDATE_DIAGNOSTIC_MISMATCH", set_difference(candidates.select("candidate", "member_count", "strong_evidence_edge_count"), diagnosed)),
+            tagged("COLLABORATIVE_DETECTOR_MISMATCH", bag_difference(detector, again)),
+        ]
+    )
+
+
+def community_checks(communities: DataFrame, known: DataFrame, key: str = "address") -> DataFrame:
+    """(code, breaches): every address once; sizes as counted; noise without a community and of size 0."""
+    from .integrity import set_difference, tagged, together
+
+    counted = communities.filter("community IS NOT NULL").groupBy("community").agg(F.count("*").alias("n"))
+    return together(
+        [
+            tagged("COMMUNITY_ADDRESS_COVERAGE_MISMATCH", set_difference(communities.select(key), known.select(key))),
+            tagged("COMMUNITY_ID_OR_SIZE_MISMATCH", communities.filter("community IS NOT NULL").join(counted, "community").filter("n <> community_size")),
+            tagged("INVALID_BEHAVIORAL_NOISE_ENCODING", communities.filter("is_noise <> (community IS NULL) OR (is_noise AND community_size <> 0)")),
+        ]
+    )

@@ -122,3 +122,13 @@ def enrichment_checks(enrichment: DataFrame, observed: DataFrame) -> DataFrame:
             tagged("ASN_FOUND_INCONSISTENT", enrichment.filter(F.col("asn_found") != F.col("asn").isNotNull())),
         ]
     )
+
+
+def sample(rows: DataFrame, key: str, n: int = 100) -> DataFrame:
+    """The first ``n`` rows by key, the same in every run."""
+    return rows.orderBy(key).limit(n)
+
+
+def correlation_checks(correlation: DataFrame, addresses: DataFrame) -> DataFrame:
+    """Whether the correlation table has the addresses of the address table."""
+    return tagged("CORRELATION_ADDRESS_SET_MISMATCH", set_difference(correlation.select("address"), addresses.select("address")))

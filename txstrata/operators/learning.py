@@ -12,7 +12,6 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRe
 from pyspark.ml.feature import PCA, Imputer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Columns that tell who a row is, not how it behaves; a model that sees them is refused.
@@ -124,59 +123,104 @@ def pca_errors(train: DataFrame, rows: DataFrame, share: float = 0.90, features:
     return rows.withColumn("anomaly_score", error(vector_to_array(features)))
 
 
-def neighbours(queries: DataFrame, points: DataFrame, k: int, key: str, features: str = "features", block: int = 2048) -> DataFrame:
-    """Exact (key, neighbour, distance, rank) of the k nearest other points.
+#: Points that a neighbour search may have as its reference set, and queries compared at once.
+REFERENCE, AT_ONCE = 20_000, 256
 
-    Points go in blocks to every query block and each pair of blocks keeps its
-    best k, so no pair of points is ever a row.
-    """
+
+def reference_points(points: DataFrame, key: str, features: str = "features", limit: int = REFERENCE) -> tuple[list, np.ndarray]:
+    """Keys and coordinates of the reference set: all points, or of more than ``limit`` the ones whose key hashes lowest."""
     p = points.select(F.col(key).alias("id"), vector_to_array(features).alias("x"))
-    n = max(1, math.ceil(points.count() / block))
-    packed = p.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("b")).agg(F.collect_list(F.struct("id", "x")).alias("own"))
+    rows = p.orderBy(F.xxhash64("id"), "id").limit(limit).collect()
+    width = len(rows[0]["x"]) if rows else 0
+    return [r["id"] for r in rows], np.array([r["x"] for r in rows], dtype=np.float64).reshape(len(rows), width)
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of all pairs of rows, added up column by column."""
+    total = np.zeros((len(a), len(b)))
+    for k in range(a.shape[1]):
+        total += np.square(a[:, k, None] - b[None, :, k])
+    return np.sqrt(total)
+
+
+def _nearest(asked: np.ndarray, own: list, ids: list, points: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distances and places of the k nearest reference points of each query, itself left out; -1 where there are fewer."""
+    far, place = np.full((len(asked), k), np.inf), np.full((len(asked), k), -1)
+    at = {i: j for j, i in enumerate(ids)}
+    for i in range(0, len(asked), AT_ONCE):
+        d = distances(asked[i : i + AT_ONCE], points)
+        for r in range(len(d)):
+            if (j := at.get(own[i + r])) is not None:
+                d[r, j] = np.inf
+        order = np.argsort(d, axis=1, kind="stable")[:, :k]
+        near = np.take_along_axis(d, order, axis=1)
+        far[i : i + AT_ONCE, : order.shape[1]], place[i : i + AT_ONCE, : order.shape[1]] = near, np.where(np.isfinite(near), order, -1)
+    return far, place
+
+
+def neighbours(queries: DataFrame, points: DataFrame, k: int, key: str, features: str = "features", limit: int = REFERENCE) -> DataFrame:
+    """Exact (id, other, distance, rank) of the k nearest other points of the reference set.
+
+    The reference set is bounded (:func:`reference_points`) and goes to every
+    task, so queries are never shuffled and cost what they number.
+    """
+    ids, x = reference_points(points, key, features, limit)
+    kind = dict(points.dtypes)[key]
     q = queries.select(F.col(key).alias("id"), vector_to_array(features).alias("x"))
-    asked = q.groupBy(F.pmod(F.xxhash64("id", F.lit("q")), F.lit(max(1, math.ceil(queries.count() / block)))).alias("qb")).agg(F.collect_list(F.struct("id", "x")).alias("asked"))
-    pairs = asked.join(packed, F.lit(True)).repartition("qb", "b")
-    kind = dict(p.dtypes)["id"]
 
-    def nearest(batches):
+    def run(batches):
+        for pdf in batches:
+            own = pdf["id"].tolist()
+            far, place = _nearest(np.array(pdf["x"].tolist(), dtype=np.float64).reshape(len(pdf), -1), own, ids, x, k)
+            yield pd.DataFrame([(i, ids[p], float(d), r + 1) for i, ds, ps in zip(own, far, place, strict=True) for r, (d, p) in enumerate(zip(ds, ps, strict=True)) if p >= 0], columns=["id", "other", "distance", "rank"])
+
+    return q.mapInPandas(run, f"id {kind}, other {kind}, distance double, rank int")
+
+
+def local_outlier_factor(points: DataFrame, key: str, k: int = 20, features: str = "features", limit: int = REFERENCE) -> DataFrame:
+    """(key, anomaly_score): the local outlier factor of every point among its k nearest of the reference set.
+
+    Radii and densities of the reference points are made first, by tasks that
+    share out the points, and then every point is scored against them.
+    """
+    ids, x = reference_points(points, key, features, limit)
+    k = max(1, min(k, len(ids) - 1))
+    spark, kind = points.sparkSession, dict(points.dtypes)[key]
+
+    def own_neighbours(batches):
+        for pdf in batches:
+            some = pdf["id"].to_numpy()
+            far, place = _nearest(x[some], [ids[i] for i in some], ids, x, k)
+            yield pd.DataFrame({"i": some, "d": far.tolist(), "p": place.tolist()})
+
+    found = sorted(spark.range(0, len(ids), 1, max(1, len(ids) // 1024)).mapInPandas(own_neighbours, "i long, d array<double>, p array<long>").collect()) if len(ids) > 1 else []
+    far, place = np.array([r["d"] for r in found]), np.array([r["p"] for r in found], dtype=np.int64)
+    if not len(found):
+        return points.select(key, F.lit(1.0).alias("anomaly_score"))
+    radius = far[:, -1]
+    density = 1 / (np.maximum(far, radius[place]).mean(axis=1) + 1e-10)
+
+    def score(batches):
         for pdf in batches:
-            for asked_, own in zip(pdf["asked"], pdf["own"], strict=True):
-                a, b = np.array([r["x"] for r in asked_]), np.array([r["x"] for r in own])
-                ids = np.array([r["id"] for r in own])
-                d = np.sqrt(np.maximum(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2), 0)) if a.size * len(b) < 1 << 24 else np.sqrt(np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * a @ b.T, 0))
-                out = []
-                for row, r in zip(d, asked_, strict=True):
-                    order = [j for j in np.argsort(row, kind="stable")[: k + 1] if ids[j] != r["id"]][:k]
-                    out += [(r["id"], ids[j], float(row[j])) for j in order]
-                yield pd.DataFrame(out, columns=["id", "other", "distance"])
-
-    best = pairs.select("asked", "own").mapInPandas(nearest, f"id {kind}, other {kind}, distance double")
-    ranked = best.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy("distance", "other"))).filter(F.col("rank") <= k)
-    return ranked
-
-
-def local_outlier_factor(points: DataFrame, key: str, k: int = 20, features: str = "features") -> DataFrame:
-    """(key, anomaly_score): the local outlier factor of every point among its k nearest."""
-    k = max(1, min(k, points.count() - 1))
-    near = neighbours(points, points, k, key, features).cache()
-    radius = near.filter(F.col("rank") == k).select(F.col("id").alias("other"), F.col("distance").alias("radius"))
-    reach = near.join(radius, "other").groupBy("id").agg((1 / (F.avg(F.greatest("distance", "radius")) + 1e-10)).alias("density"))
-    ratio = near.join(reach.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.avg("density").alias("around"))
-    return ratio.join(reach, "id").select(F.col("id").alias(key), (F.col("around") / F.col("density")).alias("anomaly_score"))
-
-
-def classifier(kind: str, seed: int = 42):
-    """An estimator over ``features``, ``label`` and ``weight``.
+            d, p = _nearest(np.array(pdf["x"].tolist(), dtype=np.float64).reshape(len(pdf), -1), pdf["id"].tolist(), ids, x, k)
+            mine = 1 / (np.maximum(d, radius[p]).mean(axis=1) + 1e-10)
+            yield pd.DataFrame({key: pdf["id"], "anomaly_score": density[p].mean(axis=1) / mine})
+
+    return points.select(F.col(key).alias("id"), vector_to_array(features).alias("x")).mapInPandas(score, f"{key} {kind}, anomaly_score double")
+
+
+def classifier(kind: str, seed: int = 42, rounds: int = 60):
+    """An estimator over ``features``, ``_label`` and ``weight``.
 
     ``boosted`` is one-against-rest boosting of binary trees, an approximation
     of multi-class histogram boosting.
     """
     if kind == "logistic":
-        return LogisticRegression(maxIter=1000, regParam=1e-3, weightCol="weight", family="multinomial")
+        return LogisticRegression(maxIter=1000, regParam=1e-3, weightCol="weight", labelCol="_label", family="multinomial")
     if kind == "forest":
-        return RandomForestClassifier(numTrees=300, maxDepth=16, minInstancesPerNode=2, weightCol="weight", seed=seed)
+        return RandomForestClassifier(numTrees=300, maxDepth=16, minInstancesPerNode=2, weightCol="weight", labelCol="_label", seed=seed)
     if kind == "boosted":
-        return OneVsRest(classifier=GBTClassifier(maxIter=60, maxDepth=5, stepSize=0.08, seed=seed))
+        return OneVsRest(labelCol="_label", classifier=GBTClassifier(maxIter=rounds, maxDepth=5, stepSize=0.08, seed=seed))
     raise ValueError(f"no such classifier: {kind}")
 
 
@@ -187,11 +231,112 @@ def balanced(rows: DataFrame, label: str) -> DataFrame:
     return rows.join(F.broadcast(counts.crossJoin(totals)), label).withColumn("weight", F.col("_all") / (F.col("_k") * F.col("_n"))).drop("_n", "_all", "_k")
 
 
-def train_classifier(train: DataFrame, columns: list[str], label: str, kind: str = "logistic", seed: int = 42) -> PipelineModel:
+def train_classifier(train: DataFrame, columns: list[str], label: str, kind: str = "logistic", seed: int = 42, rounds: int = 60) -> PipelineModel:
     """Preparation and classifier in one model, learned from ``train`` only; constant columns are left out."""
     spread = train.agg(*[(F.min(c) < F.max(c)).alias(c) for c in columns]).first()
     used = [c for c in columns if spread[c]]
     ready = prepared(as_doubles(train, used), used)
-    index = StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc").fit(train)
+    index = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc").fit(train)
     rows = index.transform(ready.transform(as_doubles(balanced(train, label), used)))
-    return PipelineModel(stages=[*ready.stages, index, classifier(kind, seed).fit(rows)])
+    return PipelineModel(stages=[*ready.stages, index, classifier(kind, seed, rounds).fit(rows)])
+
+
+def class_probabilities(model: PipelineModel, rows: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``rows`` with ``predicted`` and ``probabilities``, one for each class in order, summing to 1; and the classes.
+
+    Models without probabilities give those of their margins by the logistic
+    function.  A row whose values are not finite, negative or all 0 is refused.
+    """
+    index = next(s for s in model.stages if hasattr(s, "labels"))
+    out = model.transform(rows)
+    raw = vector_to_array("probability") if "probability" in out.columns else F.transform(vector_to_array("rawPrediction"), lambda m: 1 / (1 + F.exp(-m)))
+    total = F.aggregate(raw, F.lit(0.0), lambda a, x: a + x)
+    bad = F.exists(raw, lambda x: x.isNull() | F.isnan(x) | (x < 0) | (x == float("inf"))) | (total <= 0)
+    shares = F.when(bad, F.raise_error(F.lit("a classifier gave probabilities that cannot be scaled to 1"))).otherwise(F.transform(raw, lambda x: x / total))
+    named = F.element_at(F.array(*map(F.lit, index.labels)), F.col("prediction").cast("int") + 1)
+    return out.select(*rows.columns, named.alias("predicted"), shares.alias("probabilities")), list(index.labels)
+
+
+def check_scores(rows: DataFrame, score: str = "anomaly_score") -> DataFrame:
+    """``rows``, unless a score is not finite."""
+    s = F.col(score)
+    return rows.withColumn(score, F.when(s.isNull() | F.isnan(s) | (F.abs(s) == float("inf")), F.raise_error(F.lit("a detector gave a score that is not finite"))).otherwise(s))
+
+
+@dataclass
+class Calibrated:
+    """Classifiers of several folds, each with a logistic curve for every class; their means are the probabilities."""
+
+    models: list[PipelineModel]
+    curves: list[dict[str, tuple[float, float]]]
+    labels: list[str]
+
+    def transform(self, rows: DataFrame, key: str) -> DataFrame:
+        """(key, ``predicted``, ``probabilities``) of every row."""
+        parts = []
+        for model, curve in zip(self.models, self.curves, strict=True):
+            out, labels = class_probabilities(model, rows)
+            of = lambda c, curve=curve, labels=labels: 1 / (1 + F.exp(-(curve[c][0] * F.col("probabilities")[labels.index(c)] + curve[c][1]))) if c in labels else F.lit(0.0)
+            cells = [of(c) for c in self.labels]
+            total = sum(cells, F.lit(0.0))
+            parts.append(out.select(key, F.array(*[c / total for c in cells]).alias("p")))
+        union = parts[0]
+        for part in parts[1:]:
+            union = union.unionByName(part)
+        mean = union.groupBy(key).agg(F.array(*[F.avg(F.col("p")[i]) for i in range(len(self.labels))]).alias("probabilities"))
+        best = F.array_position("probabilities", F.array_max("probabilities")).cast("int")
+        return mean.select(key, F.element_at(F.array(*map(F.lit, self.labels)), best).alias("predicted"), "probabilities")
+
+
+def calibrate(train: DataFrame, columns: list[str], label: str, key: str, kind: str = "forest", folds: int = 3, seed: int = 42) -> Calibrated:
+    """Sigmoid calibration: each fold's classifier is learned on the other folds and its curves on the fold itself."""
+    fold = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(folds))
+    models, curves, labels = [], [], sorted(r[0] for r in train.select(label).distinct().collect())
+    for k in range(folds):
+        model = train_classifier(train.filter(fold != k), columns, label, kind, seed)
+        out, known = class_probabilities(model, as_doubles(train.filter(fold == k), columns))
+        out = out.select(label, "probabilities").cache()
+        curve = {}
+        for c in labels:
+            own = out.select((F.col(label) == c).cast("double").alias("label"), (F.col("probabilities")[known.index(c)] if c in known else F.lit(0.0)).alias("p"))
+            share = own.agg(F.avg("label")).first()[0]
+            if share in (None, 0.0, 1.0) or c not in known:
+                curve[c] = (0.0, 30.0 if share == 1.0 else -30.0)
+                continue
+            fitted = LogisticRegression(maxIter=200).fit(VectorAssembler(inputCols=["p"], outputCol="features").transform(own))
+            curve[c] = (float(fitted.coefficients[0]), float(fitted.intercept))
+        out.unpersist()
+        models.append(model)
+        curves.append(curve)
+    return Calibrated(models, curves, labels)
+
+
+def validation_search(rows: DataFrame, columns: list[str], label: str, candidates: list[tuple[str, int]], part: str = "part") -> DataFrame:
+    """(kind, seed, macro_f1, balanced_accuracy, validation_rows) of every candidate; rows of the test part are never read."""
+    from .metrics import averages, class_metrics
+
+    if not candidates:
+        raise ValueError("a search needs candidates")
+    train, validation = rows.filter(F.col(part) == "train"), as_doubles(rows.filter(F.col(part) == "validation"), columns)
+    out = []
+    for kind, seed in candidates:
+        scored, _ = class_probabilities(train_classifier(train, columns, label, kind, seed), validation)
+        r = averages(class_metrics(scored, label, "predicted")).crossJoin(scored.agg(F.count("*").alias("n"))).first()
+        out.append((kind, seed, float(r["macro_f1"]), float(r["balanced_accuracy"]), int(r["n"])))
+    return rows.sparkSession.createDataFrame(out, "kind string, seed long, macro_f1 double, balanced_accuracy double, validation_rows long")
+
+
+def diagnostics(model: PipelineModel) -> DataFrame:
+    """(kind, class, feature, value): coefficients of a logistic model, or the importances of trees."""
+    from pyspark.sql import SparkSession
+
+    last, index = model.stages[-1], next(s for s in model.stages if hasattr(s, "labels"))
+    columns = next(s for s in model.stages if isinstance(s, VectorAssembler)).getInputCols()
+    names = [c.removeprefix("_") for c in columns]
+    if hasattr(last, "coefficientMatrix"):
+        rows = [("coefficient", index.labels[i], f, float(v)) for i, line in enumerate(last.coefficientMatrix.toArray()) for f, v in zip(names, line, strict=True)]
+    elif hasattr(last, "featureImportances"):
+        rows = [("importance", None, f, float(v)) for f, v in zip(names, last.featureImportances.toArray(), strict=True)]
+    else:
+        rows = [("importance", c, f, float(v)) for c, m in zip(index.labels, last.models, strict=True) for f, v in zip(names, m.featureImportances.toArray(), strict=True)]
+    return SparkSession.active().createDataFrame(rows, "kind string, class string, feature string, value double")

@@ -3,23 +3,27 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ranking import with_rank, with_running
+from .rounds import stored
 
 
 def temporal_split(rows: DataFrame, time: str, key: str, train: float = 0.70, validation: float = 0.85) -> DataFrame:
     """``rows`` with ``part``: the first 70 % by time, the next 15 % and the rest; equal times stay together."""
-    n = rows.count()
-    ranked = with_rank(rows, [F.col(time).asc(), F.col(key).asc()], "_rank")
-    at = lambda k: ranked.filter(F.col("_rank") == k).agg(F.max(time)).first()[0]
-    first = at(max(1, int(n * train)))
-    known = ranked.filter(F.col(time) <= F.lit(first)).count()
-    second = at(max(known + 1, int(n * validation)))
-    part = F.when(F.col(time) <= F.lit(first), "train").when(F.col(time) <= F.lit(second), "validation").otherwise("test")
-    return ranked.select(*rows.columns, part.alias("part"))
+    by_time = stored(with_running(rows.groupBy(F.col(time).alias("_at")).agg(F.count("*").alias("_n")), [F.col("_at")], {"_upto": F.col("_n")}))
+    n = F.max("_upto").alias("n")
+    # The first time at which enough rows have been seen, for both cuts at once.
+    total = by_time.agg(n).first()["n"] or 0
+    first = by_time.filter(F.col("_upto") >= max(1, int(total * train))).agg(F.min_by(F.struct("_at", "_upto"), "_at").alias("c")).first()["c"]
+    known = first["_upto"] if first else 0
+    second = by_time.filter(F.col("_upto") >= max(known + 1, int(total * validation))).agg(F.min("_at")).first()[0]
+    at = F.col(time)
+    part = F.when(at <= F.lit(first["_at"] if first else None), "train").when(at <= F.lit(second), "validation").otherwise("test")
+    return rows.withColumn("part", part)
 
 
 def group_split(rows: DataFrame, group: str, salt: str = "0", train: float = 0.70, validation: float = 0.85) -> DataFrame:
@@ -29,11 +33,17 @@ def group_split(rows: DataFrame, group: str, salt: str = "0", train: float = 0.7
 
 
 def stratified_split(rows: DataFrame, label: str, key: str, salt: str = "0", train: float = 0.70, validation: float = 0.85) -> DataFrame:
-    """``rows`` with ``part`` by rank of a hash within each label, so every label keeps the shares."""
-    from pyspark.sql import Window as W
+    """``rows`` with ``part`` by rank of a hash within each label, so every label keeps the shares.
 
-    place = F.percent_rank().over(W.partitionBy(label).orderBy(F.xxhash64(F.lit(salt), key), key))
-    return rows.withColumn("part", F.when(place < train, "train").when(place < validation, "validation").otherwise("test"))
+    Ranks come from ordered ranges over all labels, less the rows of the labels
+    before, so a label of any size is spread over all of them.
+    """
+    ranked = with_rank(rows, [F.col(label).asc(), F.xxhash64(F.lit(salt), key).asc(), F.col(key).asc()], "_rank")
+    sizes = rows.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_n"))
+    before = with_running(sizes, [F.col("_label").asc()], {"_upto": F.col("_n")})
+    joined = ranked.join(F.broadcast(before), F.col(label).eqNullSafe(F.col("_label")))  # one row for each label
+    place = F.when(F.col("_n") > 1, (F.col("_rank") - 1 - (F.col("_upto") - F.col("_n"))) / (F.col("_n") - 1)).otherwise(0.0)
+    return joined.withColumn("part", F.when(place < train, "train").when(place < validation, "validation").otherwise("test")).select(*rows.columns, "part")
 
 
 def split_audit(rows: DataFrame, group: str, time: str, label: str) -> DataFrame:
@@ -99,6 +109,25 @@ def probability_scores(rows: DataFrame, truth: Column, probability: Column) -> D
     return rows.agg(F.avg(F.pow(probability - y, 2)).alias("brier"), F.avg(-(y * F.log(p) + (1 - y) * F.log(1 - p))).alias("log_loss"))
 
 
+def supervised_scores(rows: DataFrame, truth: str, probabilities: str, classes: list[str], key: str) -> DataFrame:
+    """One row: macro one-against-rest ROC AUC and average precision, multi-class Brier score and log loss.
+
+    ``probabilities`` is an array in the order of ``classes``; the means are
+    over the classes that occur.
+    """
+    p = [F.col(probabilities)[i] for i in range(len(classes))]
+    one = [(F.col(truth) == c).cast("double") for c in classes]
+    own = sum((y * x for y, x in zip(one, p, strict=True)), F.lit(0.0))
+    losses = rows.agg(F.avg(sum((F.pow(x - y, 2) for x, y in zip(p, one, strict=True)), F.lit(0.0))).alias("multiclass_brier_score"), F.avg(-F.log(F.greatest(own, F.lit(1e-15)))).alias("log_loss"))
+    parts = []
+    for c, x in zip(classes, p, strict=True):
+        scored = rows.withColumn("_p", x)
+        area, precision = roc_auc(scored, "_p", F.col(truth) == c), average_precision(scored, "_p", F.col(truth) == c, key)
+        parts.append(area.crossJoin(precision).select(F.lit(c).alias("class"), "roc_auc", "average_precision"))
+    means = reduce(DataFrame.unionByName, parts).agg(F.avg("roc_auc").alias("roc_auc_ovr_macro"), F.avg("average_precision").alias("average_precision_macro"))
+    return means.crossJoin(losses)
+
+
 def recall_by_group(rows: DataFrame, truth: str, predicted: str, group: str) -> DataFrame:
     return rows.groupBy(F.col(truth).alias("truth"), F.col(group).alias("intensity")).agg(F.avg((F.col(truth) == F.col(predicted)).cast("int")).alias("recall"), F.count("*").alias("support"))
 

@@ -62,13 +62,13 @@ def sql(text: str, *more: tuple[str, str], recursive: bool = False) -> str:
 def timing_sql(source: str, key: str) -> str:
     gap = "(epoch_us(observed_at) - epoch_us(lag(observed_at) OVER (PARTITION BY {0} ORDER BY observed_at, observation_id))) / 1000000.0".format(key)
     return f"""SELECT {key}, min(observed_at) AS first_observed_at, max(observed_at) AS last_observed_at, date_diff('second', min(observed_at), max(observed_at)) AS observation_span_seconds,
-        round(avg(gap), 5) AS mean_inter_observation_seconds, round(median(gap), 5) AS median_inter_observation_seconds, cast(round_even(min(gap), 0) AS BIGINT) AS min_inter_observation_seconds,
+        round(avg(gap), 9) AS mean_inter_observation_seconds, round(median(gap), 9) AS median_inter_observation_seconds, cast(round_even(min(gap), 0) AS BIGINT) AS min_inter_observation_seconds,
         cast(round_even(max(gap), 0) AS BIGINT) AS max_inter_observation_seconds, count(DISTINCT date_trunc('hour', observed_at)) AS active_hour_count
         FROM (SELECT {key}, observed_at, {gap} AS gap FROM {source}) GROUP BY {key}"""
 
 
 def entropy_sql(source: str, key: str) -> str:
-    one = lambda name, bucket: f"SELECT {key}, round(-sum(p * ln(p)), 5) + 0.0 AS {name} FROM (SELECT {key}, n / sum(n) OVER (PARTITION BY {key}) AS p FROM (SELECT {key}, {bucket} AS b, count(*) AS n FROM {source} GROUP BY ALL)) GROUP BY {key}"
+    one = lambda name, bucket: f"SELECT {key}, round(-sum(p * ln(p)), 9) + 0.0 AS {name} FROM (SELECT {key}, n / sum(n) OVER (PARTITION BY {key}) AS p FROM (SELECT {key}, {bucket} AS b, count(*) AS n FROM {source} GROUP BY ALL)) GROUP BY {key}"
     return f"SELECT h.{key}, hour_of_day_entropy, day_activity_entropy FROM ({one('hour_of_day_entropy', 'hour(observed_at)')}) h JOIN ({one('day_activity_entropy', 'cast(observed_at AS DATE)')}) d ON h.{key} = d.{key}"
 
 
@@ -79,17 +79,17 @@ def bursts_sql(source: str, key: str) -> str:
 
 def values_sql(side: str, key: str, more: str, spread: bool = True) -> str:
     spreads = f", min(amount_sats) AS min_{side}_sats, round(stddev_samp(amount_sats), 2) AS {side}_value_std" if spread else ""
-    return f"SELECT {key}, {more}, cast(sum(amount_sats) AS BIGINT) AS total_{side}_sats, round(avg(amount_sats), 2) AS mean_{side}_sats, max(amount_sats) AS max_{side}_sats{spreads} FROM transaction_{side}s GROUP BY {key}"
+    return f"SELECT {key}, {more}, cast(sum(amount_sats) AS BIGINT) AS total_{side}_sats, round(avg(amount_sats), 4) AS mean_{side}_sats, max(amount_sats) AS max_{side}_sats{spreads} FROM transaction_{side}s GROUP BY {key}"
 
 
-_RATE = "CASE WHEN active_hour_count > 0 THEN round(network_observation_count::DOUBLE / active_hour_count, 5) END AS observations_per_active_hour"
+_RATE = "CASE WHEN active_hour_count > 0 THEN round(network_observation_count::DOUBLE / active_hour_count, 9) END AS observations_per_active_hour"
 _ZERO = "coalesce({0}, 0) AS {0}".format
 _TIMES = ", ".join(features._TIMES)
 
 
 def transaction_features_sql(seen: str = "network_observations") -> str:
     return f"""SELECT t.txid, {_ZERO("input_count")}, {_ZERO("output_count")}, {_ZERO("total_input_sats")}, {_ZERO("total_output_sats")}, fee_sats, mean_input_sats, mean_output_sats, max_input_sats, max_output_sats,
-        min_input_sats, min_output_sats, input_value_std, output_value_std, CASE WHEN total_input_sats > 0 THEN round(fee_sats::DOUBLE / total_input_sats, 5) END AS fee_to_input_ratio,
+        min_input_sats, min_output_sats, input_value_std, output_value_std, CASE WHEN total_input_sats > 0 THEN round(fee_sats::DOUBLE / total_input_sats, 9) END AS fee_to_input_ratio,
         {", ".join(map(_ZERO, ("network_observation_count", "unique_source_ip_count", "unique_destination_ip_count", "unique_ip_count", "unique_reported_asn_count", "unique_reported_country_count")))},
         {_TIMES}, {_ZERO("active_hour_count")}, {_RATE}, hour_of_day_entropy, day_activity_entropy, {", ".join(_ZERO(f"max_observations_{n}") for n, _ in features.BURSTS)}
         FROM transactions t LEFT JOIN ({values_sql("input", "txid", "count(*) AS input_count")}) a ON a.txid = t.txid LEFT JOIN ({values_sql("output", "txid", "count(*) AS output_count")}) b ON b.txid = t.txid
@@ -107,8 +107,8 @@ COMPONENTS = (
 )
 
 ADDRESS_SQL = f"""SELECT p.address, {", ".join(map(_ZERO, ("input_occurrence_count", "output_occurrence_count", "unique_input_tx_count", "unique_output_tx_count")))}, unique_tx_count, {_ZERO("total_input_sats")}, {_ZERO("total_output_sats")},
-    mean_input_sats, mean_output_sats, max_input_sats, max_output_sats, CASE WHEN unique_output_tx_count > 0 THEN round(coalesce(unique_input_tx_count, 0)::DOUBLE / unique_output_tx_count, 5) END AS input_output_tx_ratio,
-    CASE WHEN total_output_sats > 0 THEN round(coalesce(total_input_sats, 0)::DOUBLE / total_output_sats, 12) END AS input_output_value_ratio, {_ZERO("co_transaction_address_count")}, {_ZERO("network_observation_count")},
+    mean_input_sats, mean_output_sats, max_input_sats, max_output_sats, CASE WHEN unique_output_tx_count > 0 THEN round(coalesce(unique_input_tx_count, 0)::DOUBLE / unique_output_tx_count, 9) END AS input_output_tx_ratio,
+    CASE WHEN total_output_sats > 0 THEN round(coalesce(total_input_sats, 0)::DOUBLE / total_output_sats, 9) END AS input_output_value_ratio, {_ZERO("co_transaction_address_count")}, {_ZERO("network_observation_count")},
     {_TIMES}, {_ZERO("active_hour_count")}, {_RATE}, z.n AS bipartite_component_size
     FROM (SELECT address, count(*) AS unique_tx_count FROM address_tx GROUP BY address) p JOIN sized z ON z.v = 'a:' || p.address
     LEFT JOIN ({values_sql("input", "address", "count(*) AS input_occurrence_count, count(DISTINCT txid) AS unique_input_tx_count", False)}) a ON a.address = p.address
@@ -122,7 +122,7 @@ IP_ROLES_SQL = """SELECT ip, count(*) FILTER (is_source) AS source_observation_c
 IP_PORTS_SQL = "SELECT ip, count(DISTINCT port) AS unique_port_count FROM (SELECT ip, unnest([sp, dp]) AS port FROM ip_seen) GROUP BY ip"
 _IP_COLUMNS = "source_observation_count, destination_observation_count, total_observation_count, unique_tx_count, unique_src_port_count, unique_dst_port_count, unique_port_count, unique_reported_asn_count, unique_reported_country_count"
 IP_ROLES = f"SELECT r.ip, {_IP_COLUMNS} FROM ({IP_ROLES_SQL}) r JOIN ({IP_PORTS_SQL}) q ON q.ip = r.ip"
-IP_SQL = f"""SELECT r.ip, {_IP_COLUMNS}, {_TIMES}, active_hour_count, round(total_observation_count::DOUBLE / active_hour_count, 5) AS observations_per_active_hour, hour_of_day_entropy, day_activity_entropy,
+IP_SQL = f"""SELECT r.ip, {_IP_COLUMNS}, {_TIMES}, active_hour_count, round(total_observation_count::DOUBLE / active_hour_count, 9) AS observations_per_active_hour, hour_of_day_entropy, day_activity_entropy,
     {", ".join(f"max_observations_{n}" for n, _ in features.BURSTS)} FROM ({IP_ROLES}) r JOIN ({timing_sql("ip_seen", "ip")}) e ON e.ip = r.ip JOIN ({entropy_sql("ip_seen", "ip")}) f ON f.ip = r.ip JOIN ({bursts_sql("ip_seen", "ip")}) g ON g.ip = r.ip"""
 
 REUSE_SQL = """SELECT address, count(*) AS distinct_associated_ip_count, count(*) FILTER (n >= 2) AS reused_ip_count, max(n) AS max_transactions_per_associated_ip, round(avg(n), 9) AS mean_transactions_per_associated_ip
@@ -155,7 +155,7 @@ ENRICHED = (
     ("rich", "SELECT n.*, s.country_code AS sc, s.asn AS sa, d.country_code AS dc, d.asn AS da FROM network_observations n JOIN enrichment s ON s.ip = n.src_ip JOIN enrichment d ON d.ip = n.dst_ip"),
 )
 V2_SQL = """SELECT txid, count(DISTINCT c) AS unique_enriched_country_count, count(DISTINCT a) AS unique_enriched_asn_count FROM (SELECT txid, unnest([sc, dc]) AS c, unnest([sa, da]) AS a FROM rich) GROUP BY txid"""
-RATES_SQL = """SELECT txid, round(avg(CASE WHEN sc = dc THEN 1 WHEN sc <> dc THEN 0 END), 5) AS source_destination_country_match_rate, round(avg(CASE WHEN sa = da THEN 1 WHEN sa <> da THEN 0 END), 5) AS source_destination_asn_match_rate FROM rich GROUP BY txid"""
+RATES_SQL = """SELECT txid, round(avg(CASE WHEN sc = dc THEN 1 WHEN sc <> dc THEN 0 END), 9) AS source_destination_country_match_rate, round(avg(CASE WHEN sa = da THEN 1 WHEN sa <> da THEN 0 END), 9) AS source_destination_asn_match_rate FROM rich GROUP BY txid"""
 CROSS_SQL = """SELECT address, count(DISTINCT observation_id) FILTER (sc <> dc) AS associated_cross_country_observation_count, count(DISTINCT observation_id) FILTER (sa <> da) AS associated_cross_asn_observation_count FROM address_tx p JOIN rich r ON r.txid = p.txid GROUP BY address"""
 
 
@@ -188,7 +188,7 @@ def register_all() -> None:
                (SELECT cast(coalesce(sum(amount_sats), 0) AS BIGINT) FROM transaction_outputs WHERE address = 'A22452') AS total_output_sats, min(observed_at) AS first_observed_at, max(observed_at) AS last_observed_at
         FROM network_observations WHERE txid IN (SELECT txid FROM address_tx WHERE address = 'A22452')"""))
     register("high_value", on(lookups.high_value_transactions), sql("SELECT txid, total_output_sats, fee_sats, input_count, output_count FROM tx_summary ORDER BY total_output_sats DESC, txid LIMIT 20"))
-    register("high_fee", on(lookups.high_fee_transactions), sql("SELECT txid, fee_sats, total_input_sats, CASE WHEN total_input_sats > 0 THEN round(fee_sats::DOUBLE / total_input_sats, 5) END AS fee_to_input_ratio FROM tx_summary ORDER BY fee_sats DESC, txid LIMIT 20"))
+    register("high_fee", on(lookups.high_fee_transactions), sql("SELECT txid, fee_sats, total_input_sats, CASE WHEN total_input_sats > 0 THEN round(fee_sats::DOUBLE / total_input_sats, 9) END AS fee_to_input_ratio FROM tx_summary ORDER BY fee_sats DESC, txid LIMIT 20"))
     register("transaction_summaries", on(lookups.transaction_summaries), sql("SELECT * FROM tx_summary ORDER BY txid LIMIT 100"))
     register("summary_scan", on(lookups.summary_scan), sql("SELECT count(*) AS n, cast(sum(total_output_sats) AS BIGINT) AS output_sats, cast(sum(observation_count) AS BIGINT) AS observations FROM tx_summary"))
     register("ip_activity", on(lambda t: lookups.ip_activity(t, "10.0.0.7")), sql("""
@@ -205,35 +205,30 @@ def register_all() -> None:
     register("temporal_range", on(lambda t: lookups.temporal_activity(t, "hour", *span)), sql(bucket("hour", f"WHERE observed_at >= TIMESTAMP '{span[0]}' AND observed_at < TIMESTAMP '{span[1]}'")))
 
     seen = lambda f: on_scope(lambda s: f(s["network_observations"], "txid"))
-    register("tx_value_stats", on_scope(lambda s: features.side_values(s["transaction_inputs"], "txid", "input", {"input_count": features.F.count("*")})), sql(values_sql("input", "txid", "count(*) AS input_count")), places=2)
-    register("tx_gaps", seen(features.timing), sql(_at_two(timing_sql("network_observations", "txid"))), places=2)
+    register("tx_value_stats", on_scope(lambda s: features.side_values(s["transaction_inputs"], "txid", "input", {"input_count": features.F.count("*")})), sql(values_sql("input", "txid", "count(*) AS input_count")))
+    register("tx_gaps", seen(features.timing), sql(timing_sql("network_observations", "txid")))
     register("tx_entropy", seen(features.entropies), sql(entropy_sql("network_observations", "txid")))
     register("tx_bursts", seen(features.bursts), sql(bursts_sql("network_observations", "txid")))
-    register("tx_features", on_scope(features.transaction_features), sql(_at_two(transaction_features_sql())), places=2)
+    register("tx_features", on_scope(features.transaction_features), sql(transaction_features_sql()))
     register("co_transaction_count", on_scope(lambda s: features.co_transaction_counts(s["address_transactions"])), sql("SELECT l.address, count(DISTINCT r.address) AS co_transaction_address_count FROM address_tx l JOIN address_tx r ON l.txid = r.txid AND l.address <> r.address GROUP BY l.address"))
-    register("address_time", on_scope(lambda s: features.timing(s["address_observations"], "address")), sql(_at_two(timing_sql("address_seen", "address"))), places=2)
-    register("address_features", on_scope(features.address_features), sql(ADDRESS_SQL.replace(", 5)", ", 4)").replace(", 2)", ", 4)"), *COMPONENTS, recursive=True), places=4, finer={"input_output_value_ratio": 12})
+    register("address_time", on_scope(lambda s: features.timing(s["address_observations"], "address")), sql(timing_sql("address_seen", "address")))
+    register("address_features", on_scope(features.address_features), sql(ADDRESS_SQL, *COMPONENTS, recursive=True))
     register("ip_roles", on_scope(lambda s: features.ip_role_counts(s["ip_observations"])), sql(IP_ROLES))
     register("ip_entropy", on_scope(lambda s: features.entropies(s["ip_observations"], "ip")), sql(entropy_sql("ip_seen", "ip")))
     register("ip_bursts", on_scope(lambda s: features.bursts(s["ip_observations"], "ip")), sql(bursts_sql("ip_seen", "ip")))
-    register("ip_features", on_scope(features.ip_features), sql(_at_two(IP_SQL)), places=2)
-    register("correlation_ip_reuse", on_scope(features.ip_reuse), sql(REUSE_SQL), places=9)
-    register("correlation_features", on_scope(features.correlation_features), sql(CORRELATION_SQL), places=9)
-    register("cutoff_tx_features", on_scope(features.transaction_features, CUTOFF), cut(_at_two(transaction_features_sql())), places=2)
-    register("cutoff_correlation_features", on_scope(features.correlation_features, CUTOFF), cut(CORRELATION_SQL), places=9)
+    register("ip_features", on_scope(features.ip_features), sql(IP_SQL))
+    register("correlation_ip_reuse", on_scope(features.ip_reuse), sql(REUSE_SQL))
+    register("correlation_features", on_scope(features.correlation_features), sql(CORRELATION_SQL))
+    register("cutoff_tx_features", on_scope(features.transaction_features, CUTOFF), cut(transaction_features_sql()))
+    register("cutoff_correlation_features", on_scope(features.correlation_features, CUTOFF), cut(CORRELATION_SQL))
 
     register("prefix_lookup", lambda spark, d: enrichment(spark, canonical(spark, d)).select("ip", "country_code", "asn", "holder", "network"), sql("SELECT * FROM enrichment", *ENRICHED))
     register("enriched_diversity", on_enriched(lambda s, e: features.enriched_diversity(features.enriched(s["network_observations"], e), "txid", "unique")), sql(V2_SQL, *ENRICHED))
     register("match_rates", on_enriched(lambda s, e: features.match_rates(features.enriched(s["network_observations"], e))), sql(RATES_SQL, *ENRICHED))
     register("cross_endpoint_counts", on_enriched(lambda s, e: features.cross_endpoint_counts(s["address_transactions"].join(features.enriched(s["network_observations"], e), "txid"))), sql(CROSS_SQL, *ENRICHED))
-    register("tx_features_v2", on_enriched(features.transaction_features_v2), sql(_at_two(f"""SELECT b.*, coalesce(unique_enriched_country_count, 0) AS unique_enriched_country_count, coalesce(unique_enriched_asn_count, 0) AS unique_enriched_asn_count,
-        source_destination_country_match_rate, source_destination_asn_match_rate FROM ({transaction_features_sql()}) b LEFT JOIN ({V2_SQL}) d ON d.txid = b.txid LEFT JOIN ({RATES_SQL}) r ON r.txid = b.txid"""), *ENRICHED), places=2)
+    register("tx_features_v2", on_enriched(features.transaction_features_v2), sql(f"""SELECT b.*, coalesce(unique_enriched_country_count, 0) AS unique_enriched_country_count, coalesce(unique_enriched_asn_count, 0) AS unique_enriched_asn_count,
+        source_destination_country_match_rate, source_destination_asn_match_rate FROM ({transaction_features_sql()}) b LEFT JOIN ({V2_SQL}) d ON d.txid = b.txid LEFT JOIN ({RATES_SQL}) r ON r.txid = b.txid""", *ENRICHED))
     register("correlation_features_v2", on_enriched(features.correlation_features_v2), sql(f"""SELECT b.*, coalesce(associated_enriched_country_count, 0) AS associated_enriched_country_count, coalesce(associated_enriched_asn_count, 0) AS associated_enriched_asn_count,
         coalesce(associated_cross_country_observation_count, 0) AS associated_cross_country_observation_count, coalesce(associated_cross_asn_observation_count, 0) AS associated_cross_asn_observation_count FROM ({CORRELATION_SQL}) b
         LEFT JOIN (SELECT address, count(DISTINCT c) AS associated_enriched_country_count, count(DISTINCT a) AS associated_enriched_asn_count FROM (SELECT address, unnest([sc, dc]) AS c, unnest([sa, da]) AS a FROM address_tx p JOIN rich r ON r.txid = p.txid) GROUP BY address) d ON d.address = b.address
-        LEFT JOIN ({CROSS_SQL}) c ON c.address = b.address""", *ENRICHED), places=9)
-
-
-def _at_two(text: str) -> str:
-    """The same SQL rounding to two places, as whole feature tables are compared."""
-    return text.replace(", 5)", ", 2)")
+        LEFT JOIN ({CROSS_SQL}) c ON c.address = b.address""", *ENRICHED))

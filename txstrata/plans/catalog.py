@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analytics, learned, registry, structure
+from . import analytics, ingestion, learned, registry, structure
 
-for _module in (analytics, structure, learned):
+for _module in (analytics, structure, ingestion, learned):
     _module.register_all()
 
 

@@ -35,24 +35,58 @@ def _lof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _classified(kind: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts", "value", F.col("event_type").alias("truth"), F.hour("ts").alias("hour"), F.get_json_object("props", "$.k").cast("int").alias("k"))
-        split = metrics.temporal_split(rows, "ts", "event_id")
-        model = learning.train_classifier(split.filter("part = 'train'"), ["value", "hour", "k"], "truth", kind)
-        names = model.stages[-2].labels
-        out = model.transform(learning.as_doubles(split.filter("part = 'test'"), ["value", "hour", "k"]))
-        named = F.element_at(F.array(*map(F.lit, names)), F.col("prediction").cast("int") + 1)
-        return metrics.class_metrics(out.withColumn("predicted", named), "truth", "predicted")
+        split = _split_events(spark, sf_dir)
+        model = learning.train_classifier(split.filter("part = 'train'"), FIELDS, "truth", kind, rounds=10)
+        out, _ = learning.class_probabilities(model, learning.as_doubles(split.filter("part = 'test'"), FIELDS))
+        return metrics.class_metrics(out, "truth", "predicted")
 
     return run
 
 
+FIELDS = ["value", "hour", "k"]
+
+
+def _split_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts", "value", F.col("event_type").alias("truth"), F.hour("ts").alias("hour"), F.get_json_object("props", "$.k").cast("int").alias("k"))
+    return metrics.temporal_split(rows, "ts", "event_id").cache()
+
+
+def _supervised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Multi-class scores of calibrated probabilities on the test part."""
+    split = _split_events(spark, sf_dir)
+    fitted = learning.calibrate(split.filter("part = 'train'"), FIELDS, "truth", "event_id", "logistic")
+    test = learning.as_doubles(split.filter("part = 'test'"), FIELDS)
+    scored = fitted.transform(test, "event_id").join(test.select("event_id", "truth"), "event_id").cache()
+    return metrics.supervised_scores(scored, "truth", "probabilities", fitted.labels, "event_id")
+
+
+def _search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learning.validation_search(_split_events(spark, sf_dir), FIELDS, "truth", [("logistic", 42), ("logistic", 7)])
+
+
+def _diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learning.diagnostics(learning.train_classifier(_split_events(spark, sf_dir).filter("part = 'train'"), FIELDS, "truth"))
+
+
+def _challenge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many challenge transactions as there are orders, audited."""
+    c = generate.ChallengeConfig(spark.read.parquet(f"{sf_dir}/orders.parquet").count())
+    return generate.challenge_audit(generate.challenge_records(spark, c), generate.challenge_truth(spark, c))
+
+
+def _entity_challenge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = generate.EntityConfig(max(30, spark.read.parquet(f"{sf_dir}/orders.parquet").count()))
+    return generate.entity_audit(generate.entity_records(spark, c), generate.entity_truth(spark, c))
+
+
 def _communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = entities.cooccurrence_weights(canonical(spark, sf_dir))
     return communities.communities(edges)
 
 
 def _synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = generate.synthetic_records(spark, generate.SyntheticConfig(500, pattern_share=0.15))
+    """As many records as there are events."""
+    rows = generate.synthetic_records(spark, generate.SyntheticConfig(spark.read.parquet(f"{sf_dir}/events.parquet").count(), pattern_share=0.15))
     return rows.select("record_index", F.get_json_object("value", "$.txid").alias("txid"), F.get_json_object("value", "$.timestamp").alias("timestamp"), F.sha2("value", 256).alias("digest"))
 
 
@@ -68,7 +102,13 @@ def register_all() -> None:
     register("isolation_forest", _isolation)
     register("pca_reconstruction", _pca)
     register("local_outlier_factor", _lof)
-    register("logistic_regression", _classified("logistic"))
+    for name, kind in (("logistic_regression", "logistic"), ("random_forest", "forest"), ("gradient_boosting", "boosted")):
+        register(name, _classified(kind))
+    register("supervised_scores", _supervised)
+    register("validation_search", _search)
+    register("model_diagnostics", _diagnostics)
+    register("challenge_audit", _challenge)
+    register("entity_challenge_audit", _entity_challenge)
     register("topological_communities", _communities)
     register("synthetic_records", _synthetic)
     register("address_classes", _address_classes)

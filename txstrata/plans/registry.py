@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,21 +14,30 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def comparable(frame: DataFrame, places: int = 5, finer: dict[str, int] | None = None) -> DataFrame:
-    """Doubles rounded and exact sums as 64-bit integers, so that two engines give the same cells."""
+#: Places after the point to which doubles are compared, and those of amounts, whose doubles hold no more.
+PLACES = 9
+AMOUNTS = ((re.compile(r"mean_(input|output)_sats"), 4), (re.compile(r"(input|output)_value_std"), 2))
+
+
+def comparable(frame: DataFrame) -> DataFrame:
+    """The comparison layer: doubles to ``PLACES`` places and exact sums as 64-bit integers, so that two engines give the same cells.
+
+    Operators give full precision; only what is compared with SQL goes through here.
+    """
     kinds = dict(frame.dtypes)
 
     def cell(name: str):
         if kinds[name] in ("double", "float"):
-            return F.round(F.col(name).cast("double") + 0.0, (finer or {}).get(name, places)).alias(name)
+            places = next((n for pattern, n in AMOUNTS if pattern.fullmatch(name)), PLACES)
+            return F.round(F.col(name).cast("double") + 0.0, places).alias(name)
         return F.col(name).cast("long").alias(name) if kinds[name].startswith("decimal") or kinds[name] == "int" else F.col(name)
 
     return frame.select(*map(cell, frame.columns))
 
 
-def register(name: str, query: Query, sql: str | None = None, places: int = 5, finer: dict[str, int] | None = None) -> None:
+def register(name: str, query: Query, sql: str | None = None) -> None:
     if name in QUERIES:
         raise ValueError(f"{name} is registered twice")
-    QUERIES[name] = lambda spark, sf_dir: comparable(query(spark, sf_dir), places, finer)
+    QUERIES[name] = (lambda spark, sf_dir: comparable(query(spark, sf_dir))) if sql else query
     if sql:
         ORACLES[name] = sql

@@ -58,7 +58,7 @@ STARS = (
     ("equals", "SELECT txid, count(*) FILTER (c > 1) AS groups, max(c) AS most FROM (SELECT txid, amount_sats, count(*) AS c FROM transaction_outputs GROUP BY ALL) GROUP BY txid"),
     ("near", "SELECT o.txid, count(*) FILTER (amount_sats BETWEEN mean * 0.5 AND mean * 1.5) / max(n)::DOUBLE AS balanced FROM transaction_outputs o JOIN out_stats s ON s.txid = o.txid WHERE mean <> 0 GROUP BY o.txid"),
     ("detector", """SELECT t.txid, coalesce(i.k, 0) AS distinct_input_count, coalesce(outs, 0) AS distinct_output_count, coalesce(groups, 0) AS equal_output_group_count, coalesce(most, 0) AS max_equal_output_multiplicity,
-        coalesce(round(most / n::DOUBLE, 5), 0) AS equal_output_fraction, coalesce(round(balanced, 5), 0) AS balanced_output_fraction, coalesce(i.k >= 3 AND outs >= 3 AND most >= 2 AND 2 * most >= n, false) AS suspected FROM transactions t
+        coalesce(round(most / n::DOUBLE, 9), 0) AS equal_output_fraction, coalesce(round(balanced, 9), 0) AS balanced_output_fraction, coalesce(i.k >= 3 AND outs >= 3 AND most >= 2 AND 2 * most >= n, false) AS suspected FROM transactions t
         LEFT JOIN (SELECT txid, count(*) AS k FROM spent GROUP BY txid) i ON i.txid = t.txid LEFT JOIN out_stats s ON s.txid = t.txid LEFT JOIN equals e ON e.txid = t.txid LEFT JOIN near b ON b.txid = t.txid"""),
     ("evidence", "SELECT anchor, other, s.txid, suspected AS suppressed FROM stars s JOIN detector d ON d.txid = s.txid"),
     ("accepted", "SELECT DISTINCT anchor, other, txid FROM evidence WHERE NOT suppressed"),
@@ -71,7 +71,7 @@ STARS = (
     ("homes", "SELECT p.*, m.candidate FROM pairs p JOIN members m ON m.address = p.anchor"),
 )
 
-MEMBERSHIP_SQL = """SELECT m.candidate, m.address, round(CASE WHEN t.total IS NULL THEN 1 ELSE coalesce(o.own, 0) / t.total::DOUBLE END, 5) AS membership_support, m.address = m.candidate OR d.other IS NOT NULL AS direct_to_anchor,
+MEMBERSHIP_SQL = """SELECT m.candidate, m.address, round(CASE WHEN t.total IS NULL THEN 1 ELSE coalesce(o.own, 0) / t.total::DOUBLE END, 9) AS membership_support, m.address = m.candidate OR d.other IS NOT NULL AS direct_to_anchor,
     NOT (m.address = m.candidate OR d.other IS NOT NULL) AS transitive_only, coalesce(o.own, 0) AS accepted_evidence_count FROM members m
     LEFT JOIN (SELECT candidate, count(DISTINCT txid) AS total FROM accepted a JOIN members x ON x.address = a.anchor GROUP BY candidate) t ON t.candidate = m.candidate
     LEFT JOIN (SELECT v, count(DISTINCT txid) AS own FROM (SELECT unnest([anchor, other]) AS v, txid FROM accepted) GROUP BY v) o ON o.v = m.address
@@ -155,7 +155,7 @@ def register_all() -> None:
     register("candidate_memberships", on(lambda t: entities.candidate_memberships(*candidates(t)[:2])), sql(MEMBERSHIP_SQL, *STARS, recursive=True))
     register("candidate_entities", on(lambda t: entities.candidate_entities(*candidates(t)).select("candidate", "member_count", "strong_evidence_edge_count", "supporting_evidence_count", "merge_transaction_count", "edge_density", "minimum_degree", "transitive_only_member_count")), sql("""
         SELECT s.candidate, s.member_count, coalesce(e.n, 0) AS strong_evidence_edge_count, coalesce(u.n, 0) AS supporting_evidence_count, coalesce(g.n, 0) AS merge_transaction_count,
-            round(CASE WHEN member_count > 1 THEN e.n / (member_count * (member_count - 1) / 2.0) ELSE 0 END, 5) AS edge_density, coalesce(minimum_degree, 0) AS minimum_degree, coalesce(k.n, 0) AS transitive_only_member_count
+            round(CASE WHEN member_count > 1 THEN e.n / (member_count * (member_count - 1) / 2.0) ELSE 0 END, 9) AS edge_density, coalesce(minimum_degree, 0) AS minimum_degree, coalesce(k.n, 0) AS transitive_only_member_count
         FROM (SELECT candidate, count(*) AS member_count FROM members GROUP BY candidate) s LEFT JOIN (SELECT candidate, count(*) AS n FROM homes GROUP BY candidate) e ON e.candidate = s.candidate
         LEFT JOIN (SELECT candidate, count(DISTINCT txid) AS n FROM accepted a JOIN members m ON m.address = a.anchor GROUP BY candidate) g ON g.candidate = s.candidate
         LEFT JOIN (SELECT candidate, min(d) AS minimum_degree FROM (SELECT candidate, v, count(*) AS d FROM (SELECT candidate, unnest([anchor, other]) AS v FROM homes) GROUP BY ALL) GROUP BY candidate) i ON i.candidate = s.candidate
@@ -169,11 +169,11 @@ def register_all() -> None:
     cells = "SELECT t, p, n, (sum(n) OVER (PARTITION BY t))::BIGINT AS tn, (sum(n) OVER (PARTITION BY p))::BIGINT AS pn FROM (SELECT c_nationkey AS t, c_mktsegment AS p, count(*) AS n FROM customer GROUP BY ALL)"
     register("clustering_metrics", customers(entities.clustering_metrics), f"""WITH cells AS ({cells}), s AS (SELECT sum(n * (n - 1) / 2) AS tp, sum(n) AS total, sum(n * n / pn::DOUBLE) AS bp, sum(n * n / tn::DOUBLE) AS br FROM cells),
         a AS (SELECT sum(tn * (tn - 1) / 2) AS x, avg((k > 1)::INT) AS f FROM (SELECT t, max(tn) AS tn, count(*) AS k FROM cells GROUP BY t)), b AS (SELECT sum(pn * (pn - 1) / 2) AS y, avg((k > 1)::INT) AS o, count(*) AS c FROM (SELECT p, max(pn) AS pn, count(*) AS k FROM cells GROUP BY p))
-        SELECT round(tp / y, 5) AS pairwise_precision, round(tp / x, 5) AS pairwise_recall, round(2 * (tp / y) * (tp / x) / (tp / y + tp / x), 5) AS pairwise_f1, round(bp / total, 5) AS b_cubed_precision, round(br / total, 5) AS b_cubed_recall,
-        round(2 * (bp / total) * (br / total) / (bp / total + br / total), 5) AS b_cubed_f1, round((tp - x * y / (total * (total - 1) / 2)) / ((x + y) / 2 - x * y / (total * (total - 1) / 2)), 5) AS adjusted_rand_index,
-        round(o, 5) AS overmerged_candidate_rate, round(f, 5) AS fragmented_entity_rate, c AS candidate_count FROM s, a, b""")
+        SELECT round(tp / y, 9) AS pairwise_precision, round(tp / x, 9) AS pairwise_recall, round(2 * (tp / y) * (tp / x) / (tp / y + tp / x), 9) AS pairwise_f1, round(bp / total, 9) AS b_cubed_precision, round(br / total, 9) AS b_cubed_recall,
+        round(2 * (bp / total) * (br / total) / (bp / total + br / total), 9) AS b_cubed_f1, round((tp - x * y / (total * (total - 1) / 2)) / ((x + y) / 2 - x * y / (total * (total - 1) / 2)), 9) AS adjusted_rand_index,
+        round(o, 9) AS overmerged_candidate_rate, round(f, 9) AS fragmented_entity_rate, c AS candidate_count FROM s, a, b""")
     register("per_entity_overlap", customers(entities.per_entity_overlap), f"""WITH cells AS ({cells}) SELECT t::BIGINT AS truth_entity, max(tn) AS address_count, arg_max(p, n * 1000000 + r) AS best_candidate, max(n) AS best_overlap,
-        round(arg_max(n / pn::DOUBLE, n * 1000000 + r), 5) AS precision, round(max(n) / max(tn)::DOUBLE, 5) AS recall, count(*) AS fragment_count FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY p) AS r FROM cells) GROUP BY t""")
+        round(arg_max(n / pn::DOUBLE, n * 1000000 + r), 9) AS precision, round(max(n) / max(tn)::DOUBLE, 9) AS recall, count(*) AS fragment_count FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY p) AS r FROM cells) GROUP BY t""")
 
     scored = lambda f: lambda spark, d: f(predictions(spark, d))
     one = lambda text: f"WITH {PREDICTIONS[0]} AS ({PREDICTIONS[1]}) {text}"
@@ -182,20 +182,20 @@ def register_all() -> None:
     register("constant_columns", scored(lambda r: metrics.constant_columns(r.withColumn("zero", F.lit(0)), ["user_id", "value", "intensity", "zero"])), one("SELECT 'user_id' AS \"column\", min(user_id) = max(user_id) AS constant FROM scored UNION ALL SELECT 'value', min(value) = max(value) FROM scored UNION ALL SELECT 'intensity', min(intensity) = max(intensity) FROM scored UNION ALL SELECT 'zero', true"))
     register("group_split", scored(lambda r: metrics.split_audit(metrics.group_split(r, "user_id"), "user_id", "ts", "truth")))
     register("stratified_split", scored(lambda r: metrics.stratified_split(r, "truth", "event_id").groupBy("truth", "part").count()))
-    register("average_precision", scored(lambda r: metrics.average_precision(r, "value", positive(), "event_id")), one("SELECT round(avg(hits / i::DOUBLE), 5) AS average_precision, count(*) AS positives FROM (SELECT truth, row_number() OVER w AS i, sum((truth = 'error')::INT) OVER (w ROWS UNBOUNDED PRECEDING) AS hits FROM scored WINDOW w AS (ORDER BY value DESC, event_id)) WHERE truth = 'error'"))
-    register("roc_auc", scored(lambda r: metrics.roc_auc(r, "value", positive())), one("SELECT round((sum(r) FILTER (y) - max(np) * (max(np) + 1) / 2.0) / (max(np) * (max(n) - max(np))), 5) AS roc_auc FROM (SELECT truth = 'error' AS y, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2.0 AS r, count(*) FILTER (truth = 'error') OVER () AS np, count(*) OVER () AS n FROM scored)"))
-    register("top_budget_capture", scored(lambda r: metrics.top_budget(r, "value", positive(), "event_id")), one("SELECT p::BIGINT AS percent, k::BIGINT AS row_count, round(h / a::DOUBLE, 5) AS capture, round(h / k::DOUBLE, 5) AS precision FROM (SELECT p, k, count(*) FILTER (y AND i <= k) AS h, count(*) FILTER (y) AS a FROM (SELECT p, y, i, greatest(1, ceil(n * p / 100.0)) AS k FROM (SELECT truth = 'error' AS y, row_number() OVER (ORDER BY value DESC, event_id) AS i, count(*) OVER () AS n FROM scored), (SELECT unnest([1, 5, 10]) AS p)) GROUP BY p, k)"))
+    register("average_precision", scored(lambda r: metrics.average_precision(r, "value", positive(), "event_id")), one("SELECT round(avg(hits / i::DOUBLE), 9) AS average_precision, count(*) AS positives FROM (SELECT truth, row_number() OVER w AS i, sum((truth = 'error')::INT) OVER (w ROWS UNBOUNDED PRECEDING) AS hits FROM scored WINDOW w AS (ORDER BY value DESC, event_id)) WHERE truth = 'error'"))
+    register("roc_auc", scored(lambda r: metrics.roc_auc(r, "value", positive())), one("SELECT round((sum(r) FILTER (y) - max(np) * (max(np) + 1) / 2.0) / (max(np) * (max(n) - max(np))), 9) AS roc_auc FROM (SELECT truth = 'error' AS y, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2.0 AS r, count(*) FILTER (truth = 'error') OVER () AS np, count(*) OVER () AS n FROM scored)"))
+    register("top_budget_capture", scored(lambda r: metrics.top_budget(r, "value", positive(), "event_id")), one("SELECT p::BIGINT AS percent, k::BIGINT AS row_count, round(h / a::DOUBLE, 9) AS capture, round(h / k::DOUBLE, 9) AS precision FROM (SELECT p, k, count(*) FILTER (y AND i <= k) AS h, count(*) FILTER (y) AS a FROM (SELECT p, y, i, greatest(1, ceil(n * p / 100.0)) AS k FROM (SELECT truth = 'error' AS y, row_number() OVER (ORDER BY value DESC, event_id) AS i, count(*) OVER () AS n FROM scored), (SELECT unnest([1, 5, 10]) AS p)) GROUP BY p, k)"))
     register("confusion_matrix", scored(lambda r: metrics.confusion_matrix(r, "truth", "predicted")), one("SELECT truth, predicted, count(*) AS n FROM scored GROUP BY ALL"))
-    register("class_metrics", scored(lambda r: metrics.class_metrics(r, "truth", "predicted")), one("SELECT label, round(precision, 5) AS precision, round(recall, 5) AS recall, round(f1, 5) AS f1, support FROM (" + CLASSES_SQL + ")"))
-    register("f1_averages", scored(lambda r: metrics.averages(metrics.class_metrics(r, "truth", "predicted"))), one("SELECT round(avg(f1), 5) AS macro_f1, round(sum(f1 * support) / sum(support), 5) AS weighted_f1, round(avg(recall) FILTER (support > 0), 5) AS balanced_accuracy FROM (" + CLASSES_SQL + ")"))
-    register("brier_score", scored(lambda r: metrics.probability_scores(r, positive(), F.col("p"))), one("SELECT round(avg((p - y) ** 2), 5) AS brier, round(avg(-(y * ln(q) + (1 - y) * ln(1 - q))), 5) AS log_loss FROM (SELECT p, (truth = 'error')::INT AS y, greatest(least(p, 1 - 1e-15), 1e-15) AS q FROM scored)"))
-    register("recall_by_group", scored(lambda r: metrics.recall_by_group(r, "truth", "predicted", "intensity")), one("SELECT truth, intensity::BIGINT AS intensity, round(avg((truth = predicted)::INT), 5) AS recall, count(*) AS support FROM scored GROUP BY ALL"))
-    register("score_summary", scored(lambda r: metrics.score_summary(r, "value", "truth")), one("SELECT truth, count(value) AS n, min(value) AS least, round(avg(value), 5) AS mean, round(median(value), 5) AS median, round(quantile_cont(value, 0.95), 5) AS p95, max(value) AS greatest FROM scored GROUP BY truth"))
+    register("class_metrics", scored(lambda r: metrics.class_metrics(r, "truth", "predicted")), one("SELECT label, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1, support FROM (" + CLASSES_SQL + ")"))
+    register("f1_averages", scored(lambda r: metrics.averages(metrics.class_metrics(r, "truth", "predicted"))), one("SELECT round(avg(f1), 9) AS macro_f1, round(sum(f1 * support) / sum(support), 9) AS weighted_f1, round(avg(recall) FILTER (support > 0), 9) AS balanced_accuracy FROM (" + CLASSES_SQL + ")"))
+    register("brier_score", scored(lambda r: metrics.probability_scores(r, positive(), F.col("p"))), one("SELECT round(avg((p - y) ** 2), 9) AS brier, round(avg(-(y * ln(q) + (1 - y) * ln(1 - q))), 9) AS log_loss FROM (SELECT p, (truth = 'error')::INT AS y, greatest(least(p, 1 - 1e-15), 1e-15) AS q FROM scored)"))
+    register("recall_by_group", scored(lambda r: metrics.recall_by_group(r, "truth", "predicted", "intensity")), one("SELECT truth, intensity::BIGINT AS intensity, round(avg((truth = predicted)::INT), 9) AS recall, count(*) AS support FROM scored GROUP BY ALL"))
+    register("score_summary", scored(lambda r: metrics.score_summary(r, "value", "truth")), one("SELECT truth, count(value) AS n, min(value) AS least, round(avg(value), 9) AS mean, round(median(value), 9) AS median, round(quantile_cont(value, 0.95), 9) AS p95, max(value) AS greatest FROM scored GROUP BY truth"))
     values = ", ".join(str(m) for m in CANDIDATE_MODELS)
     register("decision_matrix", lambda spark, d: metrics.decision_matrix(spark.createDataFrame(CANDIDATE_MODELS, list(CANDIDATE_COLUMNS))), f"""WITH c AS (SELECT *, macro_f1 >= max(macro_f1) OVER () - 0.03 AS eligible FROM (VALUES {values}) v({", ".join(CANDIDATE_COLUMNS)})),
         m AS (SELECT max(train_seconds) AS a, max(infer_seconds) AS b, max(bytes) AS z FROM c WHERE eligible)
         SELECT name, macro_f1::DOUBLE AS macro_f1, eligible, CASE WHEN eligible THEN round((0.35 * macro_f1 + 0.15 * minimum_recall + 0.15 * weak_recall + 0.10 * greatest(0, 1 - brier / 2) + 0.10 * greatest(0, 1 - f1_std / 0.1)
-            + 0.05 * (3 - train_seconds / a - infer_seconds / b - bytes / z) / 3 + 0.05 * explainability + 0.05 * simplicity)::DOUBLE, 5) END AS selection_score FROM c, m""")
+            + 0.05 * (3 - train_seconds / a - infer_seconds / b - bytes / z) / 3 + 0.05 * explainability + 0.05 * simplicity)::DOUBLE, 9) END AS selection_score FROM c, m""")
 
 
 def _components() -> tuple[tuple[str, str], ...]:

@@ -7,6 +7,7 @@ import io
 import json
 from collections.abc import Iterator
 from decimal import Decimal
+from hashlib import sha256
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -211,8 +212,6 @@ def read_records(spark: SparkSession, path: str, source_format: str | None = Non
     files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
 
     def run(batches):
-        from hashlib import sha256
-
         decode = DECODERS[kind]
         for batch in batches:
             for name, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -227,3 +226,27 @@ def read_records(spark: SparkSession, path: str, source_format: str | None = Non
                     yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
     return files.mapInArrow(run, SCHEMA)
+
+
+def read_lines(rows: DataFrame, source: str, value: str = "value", index: str = "record_index") -> DataFrame:
+    """The same from a frame of JSON texts, one record each, wherever they lie; their places are given.
+
+    Sources of any size come in this form: the texts are never in one task.
+    """
+    base = {"source_file": source, "source_format": "json", "source_file_sha256": sha256(source.encode()).hexdigest()}
+    texts = rows.select(F.col(index).cast("long").alias("i"), F.col(value).cast("string").alias("v"))
+
+    def parse(text: str | None) -> tuple[dict | None, RecordError | None]:
+        try:
+            data = json.loads(text or "", parse_float=Decimal, parse_constant=str) if len(text or "") <= RECORD_CHARS else None
+        except ValueError:
+            data = None
+        return (data, None) if isinstance(data, dict) else (None, _malformed("the text holds no JSON object"))
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, BATCH_ROWS):
+                part = batch.slice(k, BATCH_ROWS)
+                yield pa.RecordBatch.from_pylist([_row(base, i, *parse(v)) for i, v in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)], schema=_ARROW)
+
+    return texts.mapInArrow(run, SCHEMA)
