@@ -459,10 +459,76 @@ def test_equal_hashes_are_told_apart(monkeypatch):
 
 
 def test_pipeline(spark, tmp_path):
+    """Against the stages' own brute force: rules in Python, the network's word for the language, all pairs, the library's ids."""
     import corpus_pipeline
-
-    rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    docs = read(spark, "documents")
-    assert {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"} <= set(rows.columns) and rows.select("doc_id").distinct().count() > 100
-    for _, stage in corpus_pipeline.STAGES[:3]:
-        assert stage(spark, docs, "").columns == docs.columns
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(21)
+    base = read(spark, "documents").filter("lang IS NOT NULL AND length(text) BETWEEN 800 AND 4000").orderBy("doc_id").limit(120).collect()
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"], "extra") for r in base]
+    words = base[0]["text"].split(" ")
+    near = words[:]
+    near[rng.randrange(20, len(near))] = "altered"
+    rows += [(900_001, base[0]["text"], "en", "s", 1, "copy"), (900_002, " ".join(near), "en", "s", 1, "near copy"), (900_003, None, "en", "s", 1, "null"), (900_004, "too short", "en", "s", 1, "short"), (900_005, "1234 5678 " * 60, "en", "s", 1, "no letters"), (None, base[1]["text"], "en", "s", 1, "no id"), rows[2]]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, component_id string").write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    good = corpus_pipeline.quality_stage(spark, docs, "")
+    spoken = corpus_pipeline.language_stage(spark, good, "")
+    ids = lambda f: sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in f.collect())
+    assert good.columns == spoken.columns == docs.columns
+    assert not {900_003, 900_004} & {r["doc_id"] for r in good.collect()} and 900_005 not in {r["doc_id"] for r in spoken.collect()}
+    texts = {r["doc_id"]: r["text"] for r in spoken.collect() if r["doc_id"] is not None}
+    groups = brute_components(texts)
+    want = sorted([(False, i) for i, (_, c) in groups.items() if i == c] + [(True, 0)])
+    single = corpus_pipeline.duplicate_stage(spark, spoken, "")
+    assert ids(single) == want and single.columns == docs.columns and not {900_001, 900_002} & {r["doc_id"] for r in single.collect()}
+    library, total = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), Counter()
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        total[r["doc_id"]] += r["length"]
+    assert total == Counter({r["doc_id"]: len(library.encode(r["text"], add_special_tokens=False).ids) + 1 for r in single.collect()})
+    none = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, "").count() == 0
+
+
+def odd_rows(spark, names="doc_id long, text string"):
+    """Null ids and texts, repeated rows, a very long text, columns named like outputs."""
+    long = " ".join(f"w{k % 5000}" for k in range(150_000))
+    rows = [(1, "one two three four five six"), (1, "one two three four five six"), (None, "one two three four five six"), (None, None), (2, None), (3, ""), (4, long), (5, long), (6, "one two three four five seven")]
+    return spark.createDataFrame([(*r, 0.5, "x", True) for r in rows], f"{names}, score double, component_id string, held_out boolean").repartition(3), long
+
+
+def test_odd_rows_of_counting_operators(spark):
+    rows, long = odd_rows(spark)
+    links = jaccard_join.jaccard_components(rows).collect()
+    assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in links) == [(0, 0, 0), (0, 2, 1), (1, 2, 1), (1, 2, 1), (2, 0, 2), (3, 0, 3), (4, 5000, 4), (5, 5000, 4), (6, 2, 6)]
+    scores = lm_scoring.score_documents(rows).collect()
+    held = lambda i: i is not None and crc32(str(i).encode()) % 5 == 1
+    size = {1: 7, 2: 1, 3: 1, 4: 150_001, 5: 150_001, 6: 7}
+    assert sorted(r["n_tokens"] for r in scores) == sorted([7, 7, 7, 1, 1, 1, 150_001, 150_001, 7])
+    assert {r["train_tokens"] for r in scores} == {sum(size[i] * (2 if i == 1 else 1) for i in size if not held(i)) + 8}
+    ledger = quality_rules.ledger(rows).collect()
+    assert sorted(r["n_words"] for r in ledger) == [0, 0, 0, 6, 6, 6, 6, 150_000, 150_000] and sum(r["doc_id"] is None for r in ledger) == 2
+    assert quality_rules.kept_documents(rows).columns == rows.columns
+    stats = quality_model.document_statistics(rows)
+    forest = quality_model.train(np.random.default_rng(1).normal(size=(300, len(quality_model.STATISTICS))).astype(np.float32), np.arange(300) % 2.0)
+    out = quality_model.score(stats, forest).collect()
+    assert len(out) == 9 and all(0 <= r["score"] <= 1 for r in out) and len({r["score"] for r in out if r["doc_id"] in (4, 5)}) == 1
+
+
+def test_flattened_trees_against_a_walk():
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(500, 4)).astype(np.float32)
+    forest = quality_model.train(x, (x[:, 0] * x[:, 1] > 0.1).astype(float), trees=12, depth=4)
+
+    def walk(row):
+        total = forest.base
+        for f, t, v in zip(forest.feature, forest.threshold, forest.value, strict=True):
+            node = 0
+            for _ in range(4):
+                node = 2 * node + (2 if row[f[node]] > t[node] else 1)
+            total += v[node - 15]
+        return 1 / (1 + math.exp(-total))
+
+    assert forest.scores(x[:100]) == pytest.approx([walk(r) for r in x[:100]])
