@@ -1,21 +1,27 @@
 """The corpus pipeline: quality rules, language identification, near-duplicate removal, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a frame; all but the last
-return the columns of ``documents``.  A runner writes each result as Parquet
-and reads it again for the next stage, as :func:`run` does.
+return the columns of ``documents``, whatever else those hold.  A runner writes
+each result as Parquet and reads it again for the next stage, as :func:`run`
+does; a table that the next stage has read is deleted.
+
+Defined results: null and empty texts fail the first stage (they have no
+words), so they go.  Rows without an id are judged by their text like others
+and stay through near-duplicate removal; of rows with one id and one text one
+stays.  Of linked documents the one with the least id stays.  Ties in a
+language's score go to the first name.  Repeated rows are judged one by one.
+An empty table gives no pieces.  Further columns are carried up to the packing.
 """
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from txstrata.llm import jaccard_join, language_id, packing, quality_rules
 from txstrata.llm.common import id_crc
 from txstrata.llm.queries import END_ID
-from txstrata.llm.storage import checkpoint_dir
+from txstrata.llm.storage import Rounds
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,11 +53,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; results between stages are tables in the shared folder."""
-    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    frame = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        frame = stage(spark, frame, sf_dir)
-        if k < len(STAGES) - 1:
-            frame.write.parquet(f"{folder}/{k}")
-            frame = spark.read.parquet(f"{folder}/{k}")
-    return frame
+    rounds = Rounds(spark)
+    frame = kept = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        kept, was = rounds.keep(stage(spark, frame, sf_dir)), kept
+        rounds.drop(was)
+        frame = kept
+    return STAGES[-1][1](spark, frame, sf_dir)
