@@ -202,6 +202,22 @@ def test_communities_beat_singletons(spark):
         groups.setdefault(r["community"], set()).add(r["vertex"])
     assert sorted(map(sorted, groups.values())) == [[0, 1, 2, 3, 4], [10, 11, 12, 13, 14]]
     assert communities.modularity(edges, found).collect()[0][0] > 0.4
+    # A ring of 30 pairs: one level joins neighbours, further levels join what it joined.
+    chain = spark.createDataFrame([(i, (i + 1) % 60 if i < 59 else 0, 3 if i % 2 == 0 else 1) for i in range(60)], "x long, y long, weight long").selectExpr("least(x, y) AS a", "greatest(x, y) AS b", "weight")
+    one, more = communities.communities(chain, levels=1), communities.communities(chain, levels=4)
+    worth = [communities.modularity(chain, f).collect()[0][0] for f in (one, more)]
+    assert worth[1] > worth[0] and more.select("community").distinct().count() < one.select("community").distinct().count()
+    assert communities.communities(edges.limit(0)).count() == 0
+
+
+def test_shared_transactions_against_brute_force(spark):
+    rng = np.random.default_rng(9)
+    pairs = sorted({(f"t{t}", f"a{a}") for t, a in zip(rng.integers(0, 12, 70).tolist(), rng.integers(0, 50, 70).tolist(), strict=True)})
+    want = {}
+    for t, a in pairs:
+        want.setdefault(a, set()).update(b for u, b in pairs if u == t and b != a)
+    found = {r["address"]: r["co_transaction_address_count"] for r in features.co_transaction_counts(spark.createDataFrame(pairs, "txid string, address string")).collect()}
+    assert found == {a: len(b) for a, b in want.items() if b}
 
 
 def test_detectors_rank_an_outlier_first(spark):

@@ -103,13 +103,14 @@ def bursts(rows: DataFrame, key: str) -> DataFrame:
 
 
 def distinct_counts(rows: DataFrame, key: str, columns: dict[str, Column]) -> DataFrame:
-    """Distinct non-null values of several expressions for each key.
+    """Distinct non-null values of several expressions for each key; 0 where a key has none.
 
     The values are stacked as (key, name, value) and made distinct first, so
     that each row is sent once instead of being expanded for every aggregate.
+    A key without values has one row, which is counted for no name.
     """
-    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), c.cast("string").alias("v")) for n, c in columns.items()]))
-    distinct = rows.select(key, pairs.alias("p")).select(key, "p.n", "p.v").filter("v IS NOT NULL").distinct()
+    pairs = F.filter(F.array(*[F.struct(F.lit(n).alias("n"), c.cast("string").alias("v")) for n, c in columns.items()]), lambda p: p["v"].isNotNull())
+    distinct = rows.select(key, F.explode_outer(pairs).alias("p")).select(key, "p.n", "p.v").distinct()
     return distinct.groupBy(key).agg(*[F.count_if(F.col("n") == n).alias(n) for n in columns])
 
 
@@ -137,9 +138,18 @@ _TIMES = ("first_observed_at", "last_observed_at", "observation_span_seconds", "
 
 
 def co_transaction_counts(pairs: DataFrame) -> DataFrame:
-    """For each address the other addresses that share a transaction with it."""
+    """For each address the other addresses that share a transaction with it.
+
+    An address of one transaction has the size of that less itself, whatever
+    the size; only addresses of several meet the other members of each.
+    """
+    sizes = pairs.groupBy("txid").agg(F.count("*").alias("size"))
+    own = pairs.groupBy("address").agg(F.count("*").alias("uses"), F.min("txid").alias("txid"))
+    once = own.filter("uses = 1").join(sizes, "txid").filter("size > 1").select("address", (F.col("size") - 1).alias("co_transaction_address_count"))
     other = pairs.select("txid", F.col("address").alias("other"))
-    return pairs.join(other, "txid").filter("address <> other").groupBy("address").agg(F.count_distinct("other").alias("co_transaction_address_count"))
+    several = pairs.join(own.filter("uses > 1").select("address"), "address")
+    met = several.join(other, "txid").filter("address <> other").select("address", "other").distinct()
+    return once.unionByName(met.groupBy("address").agg(F.count("*").alias("co_transaction_address_count")))
 
 
 def component_sizes(pairs: DataFrame) -> DataFrame:
