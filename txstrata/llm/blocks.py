@@ -30,7 +30,7 @@ from . import elias_fano
 from .common import BATCH_BYTES, by_bytes, texts_only
 
 #: Bytes of text in a block, about; bytes a task holds before it sends what it has for each block.
-BLOCK_BYTES, HELD_BYTES = 8 << 20, 16 << 20
+BLOCK_BYTES, HELD_BYTES = 8 << 20, 32 << 20
 
 
 #: Bits of a key that a level of routing looks at; a node takes in and sends out up to 2**FAN_BITS messages.
@@ -162,7 +162,7 @@ class Corpus:
             for end in ends.tolist():
                 sink = pa.BufferOutputStream()
                 part = rows.take(pa.array(order[start:end]))
-                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))) as writer:
                     writer.write_table(part)
                 yield pa.RecordBatch.from_arrays([pa.array([int(block[order[start]])], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "payload"])
                 start = end

@@ -24,7 +24,7 @@ add-half estimate of words, with a pseudo-count s = k c(h)**e for each order
 the quantisation.  Keys are hashed as wholes, so a
 word that makes up a third of all text loads all shards alike.  Of the bits of
 a trigram's key, the bigram takes as many as tell the corpus' words apart and
-six more; a word w1 has 20 within its node, so an unseen one passes for one of
+four more; a word w1 has 20 within its node, so an unseen one passes for one of
 the node's with a chance of their number over a million.
 
 Defined results: null and empty texts consist of their end alone; repeated rows
@@ -178,8 +178,8 @@ def score_documents(docs: DataFrame, folds: int = 5, fold: int = 1, pseudo: tupl
     """Scores of all texts under a model of those whose CRC-32 of the id modulo ``folds`` is not ``fold``."""
     corpus = Corpus(docs, id_col, text_col)
     known = max(14, corpus.word_bits, corpus.shard_bits)
-    node = min(44, known + 6)
-    bits = (min(64, known + 14), node, min(64, known + 26) - node)  # of a bigram, of a node, of a word within it
+    node = min(44, known + 4)
+    bits = (min(64, known + 14), node, min(64, known + 24) - node)  # of a bigram, of a node, of a word within it
 
     def block_of(batches) -> Block:
         return Block(batches, folds, fold, bits, pseudo)
