@@ -12,8 +12,8 @@ from :mod:`blocks`; a shingle that no other document has is never sent.
 
 Equal sets are one class, with one row for each block of documents.  The least
 class that has a shingle leads it; the classes of one leader meet in tasks of
-about ``CHUNK``, each with the leader's own set, where sets are compared one
-after another and pairs that are connected already are passed over.  Where a
+about ``CHUNK``, each with the leader's own set and a few others, where sets are
+compared one after another and pairs that are connected already are passed over.  Where a
 leader has several such chunks and its classes aren't all connected yet, its
 chunks are compared with each other as well, ``TOGETHER`` at once, so every pair
 of classes that shares a shingle meets in a task unless links connect it anyway.  A shingle's rows are
@@ -85,7 +85,9 @@ def choose_prefix(freq: np.ndarray, percent: int = PERCENT) -> tuple[int, int]:
 
 
 #: Rows of a shingle or leader that one task takes; more are salted or dealt into chunks.
-CHUNK = 256
+CHUNK = 512
+#: Classes of a leader that meet all others of it, about, so that those alike are connected however many chunks they are dealt into.
+PIVOTS = 24
 #: Chunks that are taken together where the chunks of a leader are compared with each other.
 TOGETHER = 4
 #: Tasks among which the rows of a leader are spread while its chunks are counted.
@@ -280,7 +282,8 @@ def class_components(rows: DataFrame, percent: int) -> DataFrame:
     met = stored(_meetings(rows).withColumn("chunk", _salt("class", F.col("chunks"))))
     of_set = ("class", "n_shingles", "matches", "tokens", "levels", "positions", "shingles")
     sets = rows.filter("tokens IS NOT NULL").select(*of_set).join(met.select("class").distinct(), "class", "left_semi").dropDuplicates(["class"])
-    guests = met.filter("leader = class AND chunks > 1").withColumn("chunk", F.explode(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: c != F.col("chunk"))))
+    chosen = (F.col("leader") == F.col("class")) | (F.pmod(F.xxhash64("class", F.lit("pivot")), F.col("chunks") * CHUNK) < PIVOTS)
+    guests = met.filter((F.col("chunks") > 1) & chosen).withColumn("chunk", F.explode(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: c != F.col("chunk"))))
     tasks = met.unionByName(guests).select("leader", "chunk", "class").join(sets, "class").withColumns({"component": F.lit(None).cast("binary"), "side": F.lit(0)})
     links = stored(tasks.groupBy("leader", "chunk").applyInArrow(_compare(percent), "a binary, b binary").distinct())
     groups = connected_components(links, "a", "b")
