@@ -163,6 +163,27 @@ def test_experiments_are_kept_and_verified(spark, tmp_path):
         experiments.inspect_experiment(spark, path)
 
 
+def test_graph_and_entity_stores(spark, tmp_path):
+    from txstrata.sources import sinks
+
+    c = generate.EntityConfig(60)
+    t = canonical_tables(read_lines(generate.entity_records(spark, c).withColumnRenamed("position", "record_index"), "g"))
+    root = publish(t, str(tmp_path / "canonical"), "1")
+    t, _ = open_store(spark, str(tmp_path / "canonical"), "1", verify=True)
+    sinks.publish_graph(t, str(tmp_path / "graph"), root["dataset_id"])
+    assert sinks.read_back(spark, str(tmp_path / "graph"), "1", {"canonical": str(tmp_path / "canonical")}, "GRAPH").filter("breaches > 0").count() == 0
+    assert sinks.read_back(spark, str(tmp_path / "canonical"), "1", {}, "CANONICAL").filter("breaches > 0").count() == 0
+    sinks.import_files(t, str(tmp_path / "csv"))
+    edges = spark.read.option("header", True).csv(str(tmp_path / "csv" / "edges_spent_in"))
+    assert edges.columns[:2] == [":START_ID(address)", ":END_ID(transaction)"] and edges.count() == t["transaction_inputs"].count()
+    detector = entities.collaborative_detector(t)
+    evidence = entities.cospend_evidence(t, detector)
+    members = entities.memberships(entities.all_addresses(t), evidence)
+    sinks.publish_entities({"members": members, "evidence": evidence, "detector": detector}, str(tmp_path / "entities"), root["dataset_id"], "none")
+    wrong = {r["code"]: r["breaches"] for r in sinks.read_back(spark, str(tmp_path / "entities"), "1", {"canonical": str(tmp_path / "canonical"), "feature": str(tmp_path / "graph")}, "ENTITY").collect()}
+    assert wrong["CANONICAL_LINEAGE_MISMATCH"] == 0 and wrong["FEATURE_LINEAGE_MISMATCH"] == 1 and wrong["ENTITY_DATASET_ID_MISMATCH"] == 0
+
+
 # Learning
 
 

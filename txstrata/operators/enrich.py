@@ -31,6 +31,19 @@ def _key(ip: pd.Series) -> pd.Series:
     return ip.map(lambda x: None if x is None else key_of(x))
 
 
+#: Dotted IPv4 text in its canonical form.
+_PART = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_IPV4 = rf"^({_PART}\.){{3}}{_PART}$"
+
+
+def with_keys(ips: DataFrame) -> DataFrame:
+    """(ip, key): IPv4 texts by expressions, only others by Python."""
+    part = F.split("ip", "\\.")
+    number = sum((part[i].cast("long") * (1 << (8 * (3 - i))) for i in range(4)), F.lit(0).cast("long"))
+    four = ips.filter(F.col("ip").rlike(_IPV4)).select("ip", F.concat(F.lit("4"), F.lpad(F.lower(F.hex(number)), 32, "0")).alias("key"))
+    return four.unionByName(ips.filter(~F.coalesce(F.col("ip").rlike(_IPV4), F.lit(False))).select("ip", _key("ip").alias("key")))
+
+
 def enrich(ips: DataFrame, ranges: DataFrame) -> DataFrame:
     """One row per IP: country, number, holder and network of its longest match; misses are null and marked.
 
@@ -41,7 +54,7 @@ def enrich(ips: DataFrame, ranges: DataFrame) -> DataFrame:
     """
     lengths = sorted({(r["first"][0], r["bits"]) for r in ranges.select("first", "bits").distinct().collect()})
     small = ranges.limit(BROADCAST_RANGES + 1).count() <= BROADCAST_RANGES
-    keyed = ips.withColumn("key", _key("ip"))
+    keyed = with_keys(ips.select("ip"))
     starts = F.array(*[F.struct(F.lit(b).alias("bits"), _network_start(F.col("key"), v, b).alias("first")) for v, b in lengths]) if lengths else F.array().cast("array<struct<bits:int,first:string>>")
     tries = keyed.select("ip", F.explode(F.filter(starts, lambda s: s["first"].isNotNull())).alias("s")).select("ip", F.col("s.first").alias("first"), F.col("s.bits").alias("bits"))
     side = F.broadcast(ranges) if small else ranges

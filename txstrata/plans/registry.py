@@ -14,9 +14,10 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-#: Places after the point to which doubles are compared, and those of amounts, whose doubles hold no more.
+#: Places after the point to which doubles are compared; fewer for amounts, whose doubles hold no more, and more for ratios to
+#: round amounts, which have ties at nine.
 PLACES = 9
-AMOUNTS = ((re.compile(r"mean_(input|output)_sats"), 4), (re.compile(r"(input|output)_value_std"), 2))
+AMOUNTS = ((re.compile(r"mean_(input|output)_sats"), 4), (re.compile(r"(input|output)_value_std"), 2), (re.compile(r"input_output_value_ratio"), 12))
 
 
 def comparable(frame: DataFrame) -> DataFrame:

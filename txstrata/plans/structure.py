@@ -49,6 +49,38 @@ def _negative_sql() -> str:
     return " UNION ALL ".join(f"SELECT '{code}' AS code, count(*) FILTER ({c} < 0) AS breaches FROM {_SQL_NAME.get(n, n)}" for code, (n, c) in integrity.NOT_NEGATIVE.items())
 
 
+# The property graph of the damaged tables against that of the canonical ones
+
+_OBSERVED = "observation_id, observed_at, src_port, dst_port, reported_geo_country, reported_asn, source_record_id"
+
+
+def _graph_relations(prefix: str, tx: str, inputs: str, seen: str) -> tuple[tuple[str, str], ...]:
+    """Nodes and edges as named relations."""
+    return (
+        (f"{prefix}_transaction", tx), (f"{prefix}_address", f"SELECT address FROM {inputs} UNION SELECT address FROM transaction_outputs"), (f"{prefix}_ip", f"SELECT src_ip AS ip FROM {seen} UNION SELECT dst_ip FROM {seen}"),
+        (f"{prefix}_observation", f"SELECT {_OBSERVED} FROM {seen}"), (f"{prefix}_spent_in", f"SELECT address, txid, input_index, amount_sats FROM {inputs}"),
+        (f"{prefix}_created_output", "SELECT txid, address, output_index, amount_sats FROM transaction_outputs"), (f"{prefix}_observed_transaction", f"SELECT observation_id, txid FROM {seen}"),
+        (f"{prefix}_source_ip", f"SELECT observation_id, src_ip AS ip FROM {seen}"), (f"{prefix}_destination_ip", f"SELECT observation_id, dst_ip AS ip FROM {seen}"),
+    )
+
+
+GRAPHS = (
+    *_graph_relations("kept", "SELECT txid, fee_sats, script_type FROM transactions", "transaction_inputs", "network_observations"),
+    *_graph_relations("torn", "SELECT txid, CASE WHEN txid LIKE '%5' THEN -fee_sats ELSE fee_sats END AS fee_sats, script_type FROM transactions WHERE txid NOT LIKE '%77'", "d_inputs", "d_seen"),
+)
+
+
+def _graph_checks_sql() -> str:
+    key, ends = graph._KEYS, graph._ENDS
+    parts = [f"SELECT 'DUPLICATE_{k.upper()}_ID' AS code, count(*) - count(DISTINCT {c}) AS breaches FROM torn_{k}" for k, c in key.items()]
+    parts += [f"SELECT 'ORPHAN_{name}_{side}', count(*) FROM torn_{name.lower()} e ANTI JOIN torn_{kind} n ON n.{key[kind]} = e.{key[kind]}" for name, kinds in ends.items() for side, kind in zip(("START", "END"), kinds, strict=True)]
+    counted = " ".join(f"LEFT JOIN (SELECT observation_id, count(*) AS n FROM torn_{name} GROUP BY 1) {name} ON {name}.observation_id = o.observation_id" for name in ("observed_transaction", "source_ip", "destination_ip"))
+    parts.append(f"SELECT 'INVALID_OBSERVATION_RELATIONSHIP_CARDINALITY', count(*) FROM torn_observation o {counted} WHERE coalesce(observed_transaction.n, 0) <> 1 OR coalesce(source_ip.n, 0) <> 1 OR coalesce(destination_ip.n, 0) <> 1")
+    differ = lambda n: f"(SELECT count(*) FROM ((FROM kept_{n} EXCEPT ALL FROM torn_{n}) UNION ALL (FROM torn_{n} EXCEPT ALL FROM kept_{n})))"
+    parts += [f"SELECT '{k.upper()}_VALUE_MISMATCH', {differ(k)}" for k in key] + [f"SELECT '{k}_SET_MISMATCH', {differ(k.lower())}" for k in ends]
+    return " UNION ALL ".join(parts)
+
+
 # Entities
 
 STARS = (
@@ -146,7 +178,7 @@ def register_all() -> None:
         ("steps(v, d) USING KEY (v)", f"SELECT 'address:{ADDRESS}', 0::BIGINT UNION (SELECT b, min(d) + 1 FROM ways JOIN steps ON a = v WHERE d < 8 AND b NOT IN (SELECT v FROM recurring.steps) GROUP BY b)"), recursive=True))
     register("wcc_count", on(graph.component_count), sql("SELECT count(*) AS components, max(n) AS largest, cast(sum(n) AS BIGINT) AS vertices FROM (SELECT c, count(*) AS n FROM reach GROUP BY c)", *_components(), recursive=True))
     register("wcc_sizes", on(lambda t: features.component_sizes(features.scope(t)["address_transactions"])), sql("SELECT v[3:] AS address, n AS bipartite_component_size FROM sized WHERE v LIKE 'a:%'", *_components(), recursive=True))
-    register("graph_checks", on(lambda t: graph.graph_checks(t, graph.nodes(damaged(t)), graph.edges(damaged(t)))))
+    register("graph_checks", on(lambda t: graph.graph_checks(t, graph.nodes(damaged(t)), graph.edges(damaged(t)))), sql(_graph_checks_sql(), *DAMAGED, *GRAPHS))
 
     register("collaborative_detector", on(entities.collaborative_detector), sql("SELECT * FROM detector", *STARS))
     register("star_pairs", on(lambda t: entities.star_pairs(t["transaction_inputs"], "txid")), sql("SELECT * FROM stars", *STARS))
