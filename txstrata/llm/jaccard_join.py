@@ -38,7 +38,7 @@ from ..operators.components import connected_components
 from . import elias_fano
 from .blocks import Answered, Asked, Corpus
 from .common import ascending, free_name, mix64, text_buffer, word_hashes, word_spans
-from .storage import stored
+from .storage import Rounds, stored
 
 WIDTH, PERCENT = 5, 75
 #: The longest multi-match considered, and the work of a verification in entries met.
@@ -243,14 +243,14 @@ def _salt(of: str, spread) -> F.Column:
     return F.pmod(F.xxhash64(of), spread).cast("int")
 
 
-def _meetings(rows: DataFrame) -> DataFrame:
+def _meetings(rows: DataFrame, rounds: Rounds) -> DataFrame:
     """(leader, chunks, class): the classes that share a shingle with a leader, which is one of them."""
     heads = rows.filter("tokens IS NOT NULL").select("class", "tokens", "spread").dropDuplicates(["class"])
     every = heads.select("class", F.explode(F.arrays_zip("tokens", "spread")).alias("t")).select("class", F.col("t.tokens").alias("token"), "t.spread").withColumn("salt", _salt("class", F.col("spread")))
-    # Partial results of each salt first, so that no task sees all rows of a shingle.
-    least = every.groupBy("token", "spread", "salt").agg(F.min("class").alias("first"), F.max("class").alias("last")).groupBy("token", "spread").agg(F.min("first").alias("leader"), F.max("last").alias("last"))
+    # Each task sends one partial row for a shingle, so its leader is found without salt; only the join back needs it.
+    least = every.groupBy("token").agg(F.min("class").alias("leader"), F.max("class").alias("last"), F.max("spread").alias("spread"))
     lead = least.filter("leader < last").select("token", "leader", F.explode(F.sequence(F.lit(0), F.col("spread") - 1)).alias("salt"))
-    met = stored(every.select("class", "token", "salt").join(lead, ["token", "salt"]).select("leader", "class").distinct())
+    met = rounds.keep(every.select("class", "token", "salt").join(lead, ["token", "salt"]).select("leader", "class").distinct())
     chunks = met.groupBy("leader").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return met.withColumn("salt", _salt("class", F.lit(SALTS))).join(chunks, ["leader", "salt"]).select("leader", "chunks", "class")
 
@@ -277,27 +277,27 @@ def _compare(percent: int):
     return compare
 
 
-def class_components(rows: DataFrame, percent: int) -> DataFrame:
+def class_components(rows: DataFrame, percent: int, rounds: Rounds) -> DataFrame:
     """(vertex, component) of every class that has a link."""
-    met = stored(_meetings(rows).withColumn("chunk", _salt("class", F.col("chunks"))))
+    met = rounds.keep(_meetings(rows, rounds).withColumn("chunk", _salt("class", F.col("chunks"))))
     of_set = ("class", "n_shingles", "matches", "tokens", "levels", "positions", "shingles")
     sets = rows.filter("tokens IS NOT NULL").select(*of_set).join(met.select("class").distinct(), "class", "left_semi").dropDuplicates(["class"])
     chosen = (F.col("leader") == F.col("class")) | (F.pmod(F.xxhash64("class", F.lit("pivot")), F.col("chunks") * CHUNK) < PIVOTS)
     guests = met.filter((F.col("chunks") > 1) & chosen).withColumn("chunk", F.explode(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: c != F.col("chunk"))))
     tasks = met.unionByName(guests).select("leader", "chunk", "class").join(sets, "class").withColumns({"component": F.lit(None).cast("binary"), "side": F.lit(0)})
-    links = stored(tasks.groupBy("leader", "chunk").applyInArrow(_compare(percent), "a binary, b binary").distinct())
+    links = rounds.keep(tasks.groupBy("leader", "chunk").applyInArrow(_compare(percent), "a binary, b binary").distinct())
     groups = connected_components(links, "a", "b")
     large = met.filter("chunks > 1")
     if not large.limit(1).count():
         return groups
-    named = stored(large.join(groups.withColumnRenamed("vertex", "class"), "class", "left").withColumn("component", F.coalesce("component", "class")))
+    named = rounds.keep(large.join(groups.withColumnRenamed("vertex", "class"), "class", "left").withColumn("component", F.coalesce("component", "class")))
     torn = named.groupBy("leader").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("leader").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     left = named.withColumn("salt", _salt("class", F.lit(SALTS))).join(torn, ["leader", "salt"], "left_semi").drop("salt")
     own, last = F.floor(F.col("chunk") / TOGETHER).cast("int"), F.floor((F.col("chunks") - 1) / TOGETHER).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("last")), lambda k: F.struct(F.least(k, F.col("side")).alias("i"), F.greatest(k, F.col("side")).alias("j")))
     across = left.withColumns({"side": own, "last": last}).select("leader", "class", "component", "side", F.explode(pairs).alias("p"))
     across = across.select("leader", "p.i", "p.j", "class", "component", "side").join(sets, "class")
-    more = stored(across.groupBy("leader", "i", "j").applyInArrow(_compare(percent), "a binary, b binary").distinct())
+    more = rounds.keep(across.groupBy("leader", "i", "j").applyInArrow(_compare(percent), "a binary, b binary").distinct())
     return connected_components(links.union(more), "a", "b") if more.limit(1).count() else groups
 
 
@@ -306,13 +306,15 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     corpus = Corpus(docs, id_col, text_col)
     bits = min(56, max(corpus.word_bits + 5, corpus.shard_bits))
     answers = corpus.answers(_ask(bits, width), _answer)
-    rows = stored(corpus.with_answers(answers, _use(bits, width, percent), SCHEMA))
-    groups = class_components(rows, percent)
+    rounds = Rounds(docs.sparkSession)
+    rows = rounds.keep(corpus.with_answers(answers, _use(bits, width, percent), SCHEMA))
+    groups = class_components(rows, percent, rounds)
 
     # One row for each block and class, so even a class of a third of all documents has few.
     own = rows.filter("class IS NOT NULL").select("block", "class", F.array_min("ids").alias("least"))
     by_class = own.groupBy("class").agg(F.min("least").alias("least"))
-    linked = stored(by_class.join(groups.withColumnRenamed("vertex", "class"), "class"))
+    linked = rounds.keep(by_class.join(groups.withColumnRenamed("vertex", "class"), "class"))
+    rounds.only(rows, linked)
     least = linked.groupBy("component").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     named = linked.withColumn("salt", _salt("class", F.lit(SALTS))).join(least, ["component", "salt"]).select("class", "component_id")
     homes = own.select("block", "class").join(by_class.join(named, "class", "left").select("class", F.coalesce("component_id", "least").alias("component_id")), "class")
