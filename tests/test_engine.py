@@ -1,5 +1,6 @@
 """Features, lookups, checks, graph, entities and learning against hand-made cases."""
 
+import os
 from datetime import datetime
 
 import numpy as np
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from txstrata.operators import communities, enrich, entities, features, graph, integrity, learning, lookups, metrics
 from txstrata.operators.components import connected_components
 from txstrata.operators.ranking import with_rank
-from txstrata.operators.rounds import Rounds
+from txstrata.operators.rounds import Rounds, checkpoint_dir
 from txstrata.streaming.activity import streaming_activity
 
 COIN = 100_000_000
@@ -163,8 +164,12 @@ def test_components_and_bridges_against_brute_force(spark):
 def test_rounds_of_a_long_path_keep_estimates_bounded(spark):
     order = np.random.default_rng(3).permutation(5000).tolist()
     path = spark.createDataFrame([(f"v{a:04d}", f"v{b:04d}") for a, b in zip(order, order[1:], strict=False)], "a string, b string")
+    folder = checkpoint_dir(spark)
+    before = set(os.listdir(folder))
     found = connected_components(path, "a", "b", one_task=0)
     assert found.agg(F.count("*"), F.min("component"), F.max("component")).first() == (5000, "v0000", "v0000")
+    new = {f for f in os.listdir(folder) if f.startswith("rounds-")} - before
+    assert [len(os.listdir(f"{folder}/{f}")) for f in new] == [1]  # nothing but the result is left
     frame, rounds = spark.range(10).toDF("k"), Rounds(spark)
     for _ in range(30):  # a join of a frame with itself, round after round
         was, frame = frame, rounds.keep(frame.join(frame.select("k"), "k"))

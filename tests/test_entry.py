@@ -22,7 +22,7 @@ def test_queries_give_what_sql_gives(spark):
     db.sql("SET TimeZone = 'UTC'")
     for name in ("orders", "lineitem", "events", "customer"):
         db.sql(f"CREATE VIEW {name} AS SELECT * FROM '{path}/{name}.parquet'")
-    for name in ("transaction_summary", "ip_activity", "tx_bursts", "prefix_lookup", "orphan_checks", "collaborative_detector", "top_budget_capture"):
+    for name in ("transaction_summary", "ip_activity", "tx_bursts", "prefix_lookup", "orphan_checks", "collaborative_detector", "top_budget_capture", "ingestion_rejects", "ingested_observations", "enrichment_recheck", "address_classes", "feature_key_checks", "graph_checks"):
         want = db.sql(entry.oracle_sql()[name])
         columns = sorted(want.columns)
         at = [want.columns.index(c) for c in columns]

@@ -15,7 +15,7 @@ from txstrata.plans import structure
 from txstrata.plans.testdata import canonical
 from txstrata.sources import experiments, mmdb, truth
 from txstrata.sources.records import read_lines
-from txstrata.sources.store import StoreError, open_store, publish, store_checks, unchanged, write_layout
+from txstrata.sources.store import StoreError, materialised, open_store, publish, store_checks, unchanged, write_layout
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -133,6 +133,11 @@ def test_a_store_that_was_changed_is_found_out(spark, tmp_path):
     assert len(list((tmp_path / "many").glob("*.parquet"))) == 4
     with pytest.raises(StoreError):
         write_layout(rows, str(tmp_path / "bad"), codec="gzip9")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS copies LOCATION '{tmp_path}/copies'")
+    assert materialised(rows, "copies.kept").count() == 100
+    with pytest.raises(Exception, match="already exists"):
+        materialised(rows, "copies.kept")
+    spark.sql("DROP DATABASE copies CASCADE")
 
 
 def labelled(spark, n=240):
@@ -209,6 +214,9 @@ def test_classifiers_calibration_search_and_diagnostics(spark):
     assert [r["kind"] for r in found] == ["logistic", "forest"] and {r["validation_rows"] for r in found} == {rows.filter("part = 'validation'").count()}
     with pytest.raises(ValueError):
         learning.validation_search(rows, ["x"], "label", [])
+    for kind in ("xgboost", "lightgbm", "other"):
+        with pytest.raises(ValueError):
+            learning.classifier(kind)
     with pytest.raises(Exception, match="not finite"):
         learning.check_scores(spark.createDataFrame([(float("nan"),)], "anomaly_score double")).collect()
 

@@ -70,7 +70,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", o
     by_number = names if labels is None else names.join(labels, "v", "left")
     rooted = by_number.select("vertex", F.col("v") if labels is None else F.coalesce("root", "v").alias("root")).toDF("vertex", "root")
     least = rooted.groupBy("root").agg(F.min("vertex").alias("component"))
-    return rounds.keep(rooted.join(least, "root").select("vertex", "component"))
+    found = rounds.keep(rooted.join(least, "root").select("vertex", "component"))
+    rounds.only(found)
+    return found
 
 
 def _plain(frame: DataFrame, x: str, y: str) -> DataFrame:

@@ -12,6 +12,12 @@ from pyspark.sql import functions as F
 
 from .learning import distances, reference_points
 
+# The columns of an address that tell how it behaves.
+BEHAVIOUR = (
+    "input_occurrence_count", "output_occurrence_count", "unique_input_tx_count", "unique_output_tx_count", "unique_tx_count", "total_input_sats", "total_output_sats", "mean_input_sats", "mean_output_sats", "input_output_tx_ratio",
+    "input_output_value_ratio", "co_transaction_address_count", "network_observation_count", "observation_span_seconds", "mean_inter_observation_seconds", "active_hour_count", "observations_per_active_hour", "bipartite_component_size",
+)
+
 #: Points that are clustered together; of more, these are chosen by a hash and the others follow their nearest.
 LIMIT = 4_000
 
@@ -137,6 +143,18 @@ def hdbscan(x: np.ndarray, least: int, near: int) -> Clustering:
     return Clustering(labels, strength, core)
 
 
+def behaviour(features: DataFrame, addresses: DataFrame, key: str = "address") -> DataFrame:
+    """(address, features): the behaviour of every address, gaps filled with medians, scaled; raises if one has none.
+
+    Only the columns of behaviour are read from the feature table.
+    """
+    from ..sources.truth import joined
+    from .learning import as_doubles, prepared
+
+    rows = as_doubles(joined(addresses.select(key), features.select(key, *BEHAVIOUR), key, "feature table"), list(BEHAVIOUR)).cache()
+    return prepared(rows, list(BEHAVIOUR)).transform(rows).select(key, "features")
+
+
 def behavioural_communities(points: DataFrame, key: str, least: int = 5, near: int = 5, features: str = "features", limit: int = LIMIT) -> DataFrame:
     """(key, community, community_size, is_noise) of every point; a community is named by its least key, noise has none.
 

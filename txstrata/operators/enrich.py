@@ -83,3 +83,20 @@ def address_classes(ips: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["ip", "ip_version", *CLASSES])
 
     return ips.select("ip").mapInPandas(run, "ip string, ip_version int, " + ", ".join(f"{c} boolean" for c in CLASSES))
+
+
+def lookup_counts(enrichment: DataFrame) -> DataFrame:
+    """One row: how many addresses were looked up and how many of them each kind of range knew."""
+    found = lambda c: F.count_if(c)
+    return enrichment.agg(
+        F.count("*").alias("lookups"), found("country_found").alias("country_hits"), found(~F.col("country_found")).alias("country_misses"),
+        found("asn_found").alias("asn_hits"), found(~F.col("asn_found")).alias("asn_misses"), found(F.col("country_found") & F.col("asn_found")).alias("both"),
+    )
+
+
+def value_checks(enrichment: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(code, breaches): stored rows that looking their address up again doesn't give."""
+    from .integrity import bag_difference, tagged
+
+    columns = ("ip", "country_code", "asn", "holder", "network", "country_found", "asn_found")
+    return tagged("ENRICHMENT_VALUE_MISMATCH", bag_difference(enrichment.select(*columns), enrich(enrichment.select("ip"), ranges).select(*columns)))

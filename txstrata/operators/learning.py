@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from importlib import import_module
 
 import numpy as np
 import pandas as pd
@@ -209,6 +210,13 @@ def local_outlier_factor(points: DataFrame, key: str, k: int = 20, features: str
     return points.select(F.col(key).alias("id"), vector_to_array(features).alias("x")).mapInPandas(score, f"{key} {kind}, anomaly_score double")
 
 
+# Settings of the two optional boosting libraries, by their Spark estimators.
+_ADAPTERS = {
+    "xgboost": ("xgboost.spark", "SparkXGBClassifier", {"n_estimators": 300, "learning_rate": 0.06, "max_depth": 6, "min_child_weight": 2.0, "subsample": 0.85, "colsample_bytree": 0.85, "reg_alpha": 0.05, "reg_lambda": 1.0, "label_col": "_label", "weight_col": "weight"}),
+    "lightgbm": ("synapse.ml.lightgbm", "LightGBMClassifier", {"numIterations": 300, "learningRate": 0.06, "numLeaves": 31, "minDataInLeaf": 20, "baggingFraction": 0.85, "featureFraction": 0.85, "lambdaL1": 0.05, "lambdaL2": 1.0, "labelCol": "_label", "weightCol": "weight", "objective": "multiclass"}),
+}
+
+
 def classifier(kind: str, seed: int = 42, rounds: int = 60):
     """An estimator over ``features``, ``_label`` and ``weight``.
 
@@ -221,6 +229,12 @@ def classifier(kind: str, seed: int = 42, rounds: int = 60):
         return RandomForestClassifier(numTrees=300, maxDepth=16, minInstancesPerNode=2, weightCol="weight", labelCol="_label", seed=seed)
     if kind == "boosted":
         return OneVsRest(labelCol="_label", classifier=GBTClassifier(maxIter=rounds, maxDepth=5, stepSize=0.08, seed=seed))
+    if kind in _ADAPTERS:
+        module, name, settings = _ADAPTERS[kind]
+        try:
+            return getattr(import_module(module), name)(**settings, seed=seed)
+        except ImportError:
+            raise ValueError(f"{kind} needs the package {module.split('.')[0]}, which is not installed") from None
     raise ValueError(f"no such classifier: {kind}")
 
 

@@ -154,3 +154,12 @@ def temporal_activity(t: Tables, bucket: str, start: datetime | None = None, end
 
 def summary_scan(t: Tables) -> DataFrame:
     return transaction_summary(t).agg(F.count("*").alias("n"), exact_sum("total_output_sats").alias("output_sats"), F.sum("observation_count").alias("observations"))
+
+
+def layout_queries(observations: DataFrame, txid: str, start: datetime, end: datetime) -> DataFrame:
+    """(query, rows, transactions): a whole scan, one transaction, and a range of time, as layouts of a table are compared by."""
+    at = F.col("observed_at")
+    within = (at >= F.lit(start).cast("timestamp_ntz")) & (at < F.lit(end).cast("timestamp_ntz"))
+    parts = (("full_scan", observations), ("selective_txid", observations.filter(F.col("txid") == txid)), ("time_range", observations.filter(within)))
+    counted = [f.agg(F.count("*").alias("rows"), F.count_distinct("txid").alias("transactions")).select(F.lit(name).alias("query"), "rows", "transactions") for name, f in parts]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2])

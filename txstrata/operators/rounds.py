@@ -39,6 +39,11 @@ class Rounds:
         self._frames.append(back)
         return back
 
+    def only(self, *frames: DataFrame) -> None:
+        """Removes all tables but these."""
+        kept = {id(f) for f in frames}
+        self.drop(*[f for f in self._frames if id(f) not in kept])
+
     def drop(self, *frames: DataFrame) -> None:
         """Removes tables that no later round reads."""
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()

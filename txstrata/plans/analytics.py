@@ -62,7 +62,7 @@ def sql(text: str, *more: tuple[str, str], recursive: bool = False) -> str:
 def timing_sql(source: str, key: str) -> str:
     gap = "(epoch_us(observed_at) - epoch_us(lag(observed_at) OVER (PARTITION BY {0} ORDER BY observed_at, observation_id))) / 1000000.0".format(key)
     return f"""SELECT {key}, min(observed_at) AS first_observed_at, max(observed_at) AS last_observed_at, date_diff('second', min(observed_at), max(observed_at)) AS observation_span_seconds,
-        round(avg(gap), 9) AS mean_inter_observation_seconds, round(median(gap), 9) AS median_inter_observation_seconds, cast(round_even(min(gap), 0) AS BIGINT) AS min_inter_observation_seconds,
+        round(avg(gap) + 3e-11, 9) AS mean_inter_observation_seconds, round(median(gap), 9) AS median_inter_observation_seconds, cast(round_even(min(gap), 0) AS BIGINT) AS min_inter_observation_seconds,
         cast(round_even(max(gap), 0) AS BIGINT) AS max_inter_observation_seconds, count(DISTINCT date_trunc('hour', observed_at)) AS active_hour_count
         FROM (SELECT {key}, observed_at, {gap} AS gap FROM {source}) GROUP BY {key}"""
 

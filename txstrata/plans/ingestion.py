@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import density, entities, features, integrity, learning
+from ..operators import density, enrich, entities, features, integrity
 from ..operators.ingest import canonical_tables
+from ..operators.lookups import layout_queries
+from ..operators.rounds import stored
 from ..sources.records import read_lines
-from .analytics import on, sql
+from .analytics import ENRICHED, enrichment, on, sql
 from .registry import register
 from .structure import STARS, candidates, damaged
-from .testdata import canonical
+from .testdata import NETWORKS, canonical
 
 #: Defects by record number, in the order in which the rules find them: modulus, remainder, code, field.
 DEFECTS = ((41, 17, "MALFORMED_SOURCE_RECORD", None), (19, 3, "INVALID_PORT", "src_port"), (23, 5, "NEGATIVE_AMOUNT", "fee"), (29, 7, "INVALID_COUNTRY", "geo_country"), (37, 13, "INPUT_CARDINALITY_MISMATCH", None))
@@ -123,10 +127,9 @@ RAW = (
 
 
 def behaviour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Density communities of IPs by what they do."""
-    from .learned import _ips
-
-    return density.behavioural_communities(_ips(spark, sf_dir).cache(), "ip")
+    """Density communities of addresses by what they do."""
+    t = canonical(spark, sf_dir)
+    return density.behavioural_communities(density.behaviour(stored(features.address_features(features.scope(t))), entities.all_addresses(t)).cache(), "address")
 
 
 def false_merges(t: dict[str, DataFrame]) -> DataFrame:
@@ -148,7 +151,28 @@ def mutual_information(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([("independent", entities.adjusted_mutual_information(rows, "t", "p")), ("equal", entities.adjusted_mutual_information(rows, "t", "t"))], "partitions string, adjusted_mutual_information double")
 
 
+def enrichment_recheck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lookups done again over enriched rows of which some were changed."""
+    found = enrichment(spark, canonical(spark, sf_dir))
+    changed = found.withColumn("asn", F.when(F.col("ip").like("%7"), F.col("asn") + 1).otherwise(F.col("asn")))
+    return enrich.value_checks(changed, enrich.range_table(spark, NETWORKS))
+
+
+_NUMBER = lambda ip: sum(int(p) << (8 * (3 - i)) for i, p in enumerate(ip.split(".")))
+#: Address classes of IPv4 as ranges.
+_CLASS = {
+    "private": ("10.0.0.0", 8), "shared": ("172.16.0.0", 12), "home": ("192.168.0.0", 16), "is_loopback": ("127.0.0.0", 8), "is_link_local": ("169.254.0.0", 16), "is_multicast": ("224.0.0.0", 4), "is_reserved": ("240.0.0.0", 4),
+}
+_IN = {n: f"num >> {32 - b} = {_NUMBER(a) >> (32 - b)}" for n, (a, b) in _CLASS.items()}
+_PRIVATE = " OR ".join(_IN[n] for n in ("private", "shared", "home", "is_loopback", "is_link_local", "is_reserved"))
+CLASSES_SQL = f"""SELECT ip, 4::BIGINT AS ip_version, {_PRIVATE} AS is_private, NOT ({_PRIVATE}) AS is_global, {", ".join(f"{_IN[n]} AS {n}" for n in ("is_loopback", "is_link_local", "is_multicast", "is_reserved"))} FROM ip_numbers"""
+
+
 def register_all() -> None:
+    register("enrichment_counters", lambda spark, d: enrich.lookup_counts(enrichment(spark, canonical(spark, d))), sql(
+        "SELECT count(*) AS lookups, count(country_code) AS country_hits, count(*) - count(country_code) AS country_misses, count(asn) AS asn_hits, count(*) - count(asn) AS asn_misses, count(*) FILTER (country_code IS NOT NULL AND asn IS NOT NULL) AS both FROM enrichment", *ENRICHED))
+    register("enrichment_recheck", enrichment_recheck, sql("SELECT 'ENRICHMENT_VALUE_MISMATCH' AS code, 2 * count(*) AS breaches FROM enrichment WHERE ip LIKE '%7' AND asn IS NOT NULL", *ENRICHED))
+    register("address_classes", on(lambda t: enrich.address_classes(enrich.distinct_ips(t["network_observations"]))), sql(CLASSES_SQL, *ENRICHED))
     register("ingestion_rejects", ingested("rejected_records", "record_index", "error_code", "field_name"), sql("""
         SELECT e AS record_index, coalesce(code, 'TXID_CONTENT_CONFLICT') AS error_code, CASE WHEN code IS NULL THEN 'txid' ELSE field END AS field_name FROM told LEFT JOIN first_told f ON f.hid = told.hid WHERE code IS NOT NULL OR f.fee <> told.fee""", *SOURCE))
     register("ingested_transactions", ingested("transactions", "txid", "fee_sats", "script_type"), sql("SELECT hid AS txid, fee AS fee_sats, script_type FROM first_told", *SOURCE))
@@ -165,5 +189,9 @@ def register_all() -> None:
     register("collaborative_false_merges", on(false_merges), sql(MERGES_SQL, *STARS, recursive=True))
     register("candidate_fragility", on(lambda t: entities.candidate_entities(*candidates(t)).select("candidate", "member_count", "strong_evidence_edge_count", "fragile_bridge_count", "robustness_score")))
     register("behavioural_communities", behaviour)
+    span = (datetime(2024, 1, 15), datetime(2024, 1, 16))
+    counts = "count(*) AS rows, count(DISTINCT txid) AS transactions FROM network_observations"
+    register("layout_queries", on(lambda t: layout_queries(t["network_observations"], "T7", *span)), sql(
+        f"SELECT 'full_scan' AS query, {counts} UNION ALL SELECT 'selective_txid', {counts} WHERE txid = 'T7' UNION ALL SELECT 'time_range', {counts} WHERE observed_at >= TIMESTAMP '{span[0]}' AND observed_at < TIMESTAMP '{span[1]}'"))
     register("adjusted_mutual_information", mutual_information)
     register("deterministic_sample", on(lambda t: integrity.sample(t["transactions"].select("txid", "fee_sats"), "txid")), sql("SELECT txid, fee_sats FROM transactions ORDER BY txid LIMIT 100"))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import communities, entities, enrich, features, generate, learning, metrics
+from ..operators import communities, entities, features, generate, learning, metrics
 from ..streaming.activity import streaming_activity
 from .registry import register
 from .testdata import canonical
@@ -90,10 +90,6 @@ def _synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("record_index", F.get_json_object("value", "$.txid").alias("txid"), F.get_json_object("value", "$.timestamp").alias("timestamp"), F.sha2("value", 256).alias("digest"))
 
 
-def _address_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enrich.address_classes(enrich.distinct_ips(canonical(spark, sf_dir)["network_observations"]))
-
-
 def _stream_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streaming_activity(canonical(spark, sf_dir)["network_observations"]).select(F.col("bucket_start").cast("timestamp_ntz").alias("bucket_start"), "observation_count")
 
@@ -111,5 +107,4 @@ def register_all() -> None:
     register("entity_challenge_audit", _entity_challenge)
     register("topological_communities", _communities)
     register("synthetic_records", _synthetic)
-    register("address_classes", _address_classes)
     register("window_activity", _stream_form, "SELECT date_trunc('hour', ts) AS bucket_start, count(*) AS observation_count FROM events GROUP BY 1")
