@@ -85,11 +85,11 @@ def choose_prefix(freq: np.ndarray, percent: int = PERCENT) -> tuple[int, int]:
 
 
 #: Rows of a shingle or leader that one task takes; more are salted or dealt into chunks.
-CHUNK = 512
+CHUNK = 2048
 #: Classes of a leader that meet all others of it, about, so that those alike are connected however many chunks they are dealt into.
 PIVOTS = 24
 #: Chunks that are taken together where the chunks of a leader are compared with each other.
-TOGETHER = 4
+TOGETHER = 1
 #: Tasks among which the rows of a leader are spread while its chunks are counted.
 SALTS = 16
 
