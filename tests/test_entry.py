@@ -3,6 +3,8 @@
 import subprocess
 import sys
 
+import pytest
+
 import __spark_entry__ as entry
 
 
@@ -31,6 +33,41 @@ def test_queries_give_what_sql_gives(spark):
         assert sorted(str([r[c] for c in columns]) for r in found.collect()) == sorted(str([r[i] for i in at]) for r in want.fetchall()), name
 
 
+@pytest.fixture(scope="module")
+def many_users(tmp_path_factory):
+    """The smallest tables, with users whose hosts have a third part beyond 255 and beyond 65,535."""
+    import duckdb
+
+    at = tmp_path_factory.mktemp("many")
+    for name in ("orders", "lineitem"):
+        (at / f"{name}.parquet").symlink_to(f"/root/testdata/sf0.001/{name}.parquet")
+    duckdb.sql(f"COPY (SELECT * REPLACE (CASE event_id % 4 WHEN 0 THEN user_id + 65536 WHEN 1 THEN user_id + 16777216 ELSE user_id END AS user_id) FROM '/root/testdata/sf0.001/events.parquet') TO '{at}/events.parquet'")
+    return str(at)
+
+
+@pytest.mark.parametrize("name", ["address_classes"])
+def test_users_without_a_host_in_10_0_give_what_sql_gives(spark, many_users, name):
+    import duckdb
+
+    db = duckdb.connect()
+    db.sql("SET TimeZone = 'UTC'")
+    for table in ("orders", "lineitem", "events"):
+        db.sql(f"CREATE VIEW {table} AS SELECT * FROM '{many_users}/{table}.parquet'")
+    want = db.sql(entry.oracle_sql()[name])
+    columns = sorted(want.columns)
+    found = entry.queries()[name](spark, many_users)
+    rows = sorted(str([r[want.columns.index(c)] for c in columns]) for r in want.fetchall())
+    assert len(rows) > 0 and sorted(found.columns) == columns and sorted(str([r[c] for c in columns]) for r in found.collect()) == rows
+
+
+def test_texts_that_are_no_address_have_no_class(spark):
+    from txstrata.operators.enrich import address_classes
+
+    rows = {r["ip"]: tuple(r)[1:] for r in address_classes(spark.createDataFrame([("10.0.300.5",), ("",), (None,), ("10.0.0.1",), ("ff02::1",)], "ip string")).collect()}
+    assert rows["10.0.300.5"] == rows[""] == rows[None] == (None,) * 7
+    assert rows["10.0.0.1"] == (4, True, False, False, False, False, False) and rows["ff02::1"][0] == 6 and rows["ff02::1"][5]
+
+
 def test_the_rest_imports_without_the_corpus_operators():
     code = (
         "import sys\n"

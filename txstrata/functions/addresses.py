@@ -22,7 +22,12 @@ def range_of(network: str) -> tuple[str, str, int]:
     return f"{n.version}{int(n.network_address):032x}", f"{n.version}{int(n.broadcast_address):032x}", n.prefixlen
 
 
-def classes_of(ip: str) -> tuple[int, bool, bool, bool, bool, bool, bool]:
-    """Version and the six class flags."""
-    a = ip_address(ip)
+def classes_of(ip: str | None) -> tuple[int | None, bool | None, bool | None, bool | None, bool | None, bool | None, bool | None]:
+    """Version and the six class flags; None for what is no address."""
+    try:
+        a = ip_address(ip) if ip is not None else None
+    except ValueError:
+        a = None
+    if a is None:
+        return (None,) * (1 + len(CLASSES))
     return (a.version, *(bool(getattr(a, c)) for c in CLASSES))

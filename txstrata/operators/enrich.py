@@ -74,15 +74,18 @@ def _network_start(key, family: str, bits: int):
     return F.when(key.startswith(family), F.concat(body, F.lit("0" * digits)))
 
 
-def address_classes(ips: DataFrame) -> DataFrame:
-    """IP, version and the six class flags of distinct IPs."""
+def address_classes(ips: DataFrame, address: str = "ip") -> DataFrame:
+    """IP, version and the six class flags of distinct IPs; null where the text is no address.
+
+    ``address`` names the column that is classified, where IPs go by other names.
+    """
 
     def run(batches):
         for pdf in batches:
-            rows = [(ip, *classes_of(ip)) for ip in pdf["ip"]]
-            yield pd.DataFrame(rows, columns=["ip", "ip_version", *CLASSES])
+            rows = [(ip, *classes_of(a)) for ip, a in zip(pdf["ip"], pdf["a"], strict=True)]
+            yield pd.DataFrame(rows, columns=["ip", "ip_version", *CLASSES], dtype=object)
 
-    return ips.select("ip").mapInPandas(run, "ip string, ip_version int, " + ", ".join(f"{c} boolean" for c in CLASSES))
+    return ips.select("ip", F.col(address).alias("a")).mapInPandas(run, "ip string, ip_version int, " + ", ".join(f"{c} boolean" for c in CLASSES))
 
 
 def lookup_counts(enrichment: DataFrame) -> DataFrame:
