@@ -45,7 +45,7 @@ def many_users(tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("name", ["address_classes"])
+@pytest.mark.parametrize("name", ["address_classes", "ingested_observations", "ingested_transactions", "ingestion_rejects"])
 def test_users_without_a_host_in_10_0_give_what_sql_gives(spark, many_users, name):
     import duckdb
 
