@@ -72,6 +72,21 @@ def test_hosts_and_addresses_name_each_other(spark):
     assert rows[3]["a"] == "10.1.44.5" and rows[-1]["back"] is None
 
 
+def test_ingestion_refuses_texts_that_are_no_address_but_plants_none(spark, many_users):
+    import json
+
+    from pyspark.sql import functions as F
+    from txstrata.plans import ingestion
+    from txstrata.plans.testdata import canonical
+    from txstrata.sources.records import read_lines
+
+    found = {r["error_code"] for r in entry.queries()["ingestion_rejects"](spark, many_users).select("error_code").distinct().collect()}
+    assert len(found) > 1 and found <= {"TXID_CONTENT_CONFLICT", *(d[2] for d in ingestion.DEFECTS)}
+    told = ingestion.source_texts(canonical(spark, many_users)).filter("record_index % 41 <> 17").limit(1).first()
+    bad = json.dumps(json.loads(told["value"]) | {"src_ip": "10.0.300.5"})
+    assert read_lines(spark.createDataFrame([(0, bad)], "record_index long, value string"), "x").select(F.col("error_code")).first()[0] == "INVALID_IP"
+
+
 def test_texts_that_are_no_address_have_no_class(spark):
     from txstrata.operators.enrich import address_classes
 
