@@ -9,12 +9,14 @@ from importlib import import_module
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
 from pyspark.ml.feature import PCA, Imputer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .forests import Forest
+
 #: Columns that tell who a row is, not how it behaves; a model that sees them is refused.
 IDENTITY = frozenset({"txid", "address", "ip", "observation_id", "source_record_id", "scenario_class", "scenario_group", "truth", "label", "event_id", "doc_id", "vec_id"})
 
@@ -226,7 +228,7 @@ def classifier(kind: str, seed: int = 42, rounds: int = 60):
     if kind == "logistic":
         return LogisticRegression(maxIter=1000, regParam=1e-3, weightCol="weight", labelCol="_label", family="multinomial")
     if kind == "forest":
-        return RandomForestClassifier(numTrees=300, maxDepth=16, minInstancesPerNode=2, weightCol="weight", labelCol="_label", seed=seed)
+        return Forest(trees=300, depth=16, least=2, seed=seed)
     if kind == "boosted":
         return OneVsRest(labelCol="_label", classifier=GBTClassifier(maxIter=rounds, maxDepth=5, stepSize=0.08, seed=seed))
     if kind in _ADAPTERS:
