@@ -89,6 +89,7 @@ def test_forest_agrees_with_mllib_and_with_itself(spark, tmp_path, monkeypatch):
     assert np.array_equal(p, back)
     monkeypatch.setattr(forests, "BROADCAST", 0)
     monkeypatch.setattr(forests, "BLOCK", 16)
+    monkeypatch.setattr(forests, "HELD", 100)
     assert np.array_equal(p, shares(model, other)[0])
     assert model.transform(other.limit(0)).count() == 0 and model.transform(other.union(other)).count() == 1400
 

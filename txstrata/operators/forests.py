@@ -34,6 +34,8 @@ BINS, LIMIT = 32, 1 << 20
 GRID = 4096
 #: Rows scored at once, and the unit of a tree's probabilities: whole numbers, so that sums don't depend on their order.
 BLOCK, UNIT = 1 << 15, 1 << 40
+#: Rows of bins whose sums a task holds; small blocks of many parts are held together.
+HELD = 1 << 19
 #: Bytes of bins to score up to which they are sent to the trees, and not paired with them.
 BROADCAST = 1 << 23
 #: Parts of a forest that score side by side.
@@ -214,6 +216,7 @@ class ForestModel(Model, MLWritable, MLReadable):
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[bytes, np.ndarray] = {}
+            held_cells = 0
 
             def given(cells: bytes, total: np.ndarray) -> pa.RecordBatch:
                 own = [cells[k : k + width] for k in range(0, len(cells), width)]
@@ -230,9 +233,11 @@ class ForestModel(Model, MLWritable, MLReadable):
                     if t["cells"] in sums:
                         sums[t["cells"]] += found
                     else:
-                        if len(sums) == 16:
-                            yield given(*sums.popitem())
+                        if held_cells + len(x) > HELD:
+                            yield from (given(*s) for s in sums.items())
+                            sums, held_cells = {}, 0
                         sums[t["cells"]] = found
+                        held_cells += len(x)
             for cells, total in sums.items():
                 yield given(cells, total)
 
